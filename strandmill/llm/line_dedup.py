@@ -62,7 +62,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     A line is compared by its text without white space at the ends; blank lines have no spread and
     stay. Null text stays null, with 0 lines. Null source counts as one more site. Rows with the same
     id and text lose the same lines; of rows with the same id and different texts each has its own. An
-    empty table gives an empty result; further columns pass through, whatever their names.
+    empty table gives an empty result; further columns pass
+    through, but for n_lines and n_removed, which are replaced.
     """
     lines = lines_of(docs)
     bad = spool(boilerplate(lines, min_sites), "boilerplate").select("line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
@@ -72,14 +73,14 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     first = hits.groupBy("line").agg(F.min(at).alias("first")).select(F.col("first.*"), F.lit(True).alias("keep"))
     first = first.toDF("_d", "place", "mark", "keep").distinct()
     gone = hits.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).join(first, ["_d", "place", "mark"], "left_anti")
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("place").alias("_gone"))
-    joined = docs.withColumn("_m", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
+    gone = gone.groupBy(F.col("doc_id").alias("__sm_id"), F.col("mark").alias("__sm_mark")).agg(F.collect_set("place").alias("__sm_gone"))
+    joined = docs.withColumn("__sm_m", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__sm_id")) & (F.col("__sm_m") == F.col("__sm_mark")), "left")
     split = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("__sm_gone", i), x)), lambda x: x.isNotNull())
+    text = F.when(F.col("__sm_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long")
-    removed = F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long")
-    names = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    removed = F.coalesce(F.when(F.col("__sm_gone").isNotNull(), F.size("__sm_gone")), F.lit(0)).cast("long")
+    names = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*names, n.alias("n_lines"), removed.alias("n_removed"))
 
 

@@ -125,12 +125,12 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of ``docs`` in training order, each as often as the plan takes it (``taken``
     over ``size``, rounded, so only the one document of a source that the plan cuts differs). Documents
     without words stay once, at the end. Columns are those of ``docs``."""
-    plan = mix(docs, in_order=False, **how).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"), F.min("position").alias("_position"))
-    plan = plan.withColumnRenamed("doc_id", "_id")
-    times = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1)).cast("int")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_times", times).where("_times > 0")
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.repartitionByRange(F.col("_position").asc_nulls_last(), F.col("doc_id"), F.col("_copy")).sortWithinPartitions(F.col("_position").asc_nulls_last(), "doc_id").select(*docs.columns)
+    plan = mix(docs, in_order=False, **how).groupBy("doc_id").agg(F.max("size").alias("__sm_size"), F.max("taken").alias("__sm_taken"), F.min("position").alias("__sm_position"))
+    plan = plan.withColumnRenamed("doc_id", "__sm_id")
+    times = F.when(F.col("__sm_size") > 0, F.round(F.col("__sm_taken") / F.col("__sm_size"))).otherwise(F.lit(1)).cast("int")
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__sm_id"))).withColumn("__sm_times", times).where("__sm_times > 0")
+    copies = joined.withColumn("__sm_copy", F.explode(F.sequence(F.lit(1), F.col("__sm_times"))))
+    return copies.repartitionByRange(F.col("__sm_position").asc_nulls_last(), F.col("doc_id"), F.col("__sm_copy")).sortWithinPartitions(F.col("__sm_position").asc_nulls_last(), "doc_id").select(*docs.columns)
 
 
 def oracle() -> str:
