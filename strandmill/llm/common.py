@@ -57,3 +57,23 @@ def ascii_lower(c: Column) -> Column:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (null id: that of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+
+
+#: A side of a join is broadcast only up to these measured limits.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salt: int = 16) -> DataFrame:
+    """Join ``big`` with ``small``, a spooled table of one row for each ``key``.
+
+    ``small`` is counted first. Within BROADCAST_ROWS and BROADCAST_BYTES it is broadcast and ``big`` stays
+    where it is; beyond, both sides are shuffled by key and a salt, so a key with many rows of ``big``
+    is dealt over ``salt`` tasks.
+    """
+    wide = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(1)) for f in small.schema), F.lit(8))
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(wide), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), key, how)
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(salt)).cast("int"))
+    return salted.join(dealt, [key, "__salt"], how).drop("__salt")

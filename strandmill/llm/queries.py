@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import langid, line_dedup, media, mixing, quality, url_filter
+from . import html_wrapper, langid, line_dedup, media, mixing, quality, topk, url_filter
 from .common import fold
 
 
@@ -42,10 +42,19 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media)}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op9_topk, op10_html)}
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.oracle(),
     "op3_mixing": mixing.oracle(),
     "op4_line_dedup": line_dedup.oracle(),
+    "op9_topk": topk.oracle(),
 }
