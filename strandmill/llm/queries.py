@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import html_wrapper, langid, line_dedup, media, mixing, quality, topk, url_filter
+from . import html_wrapper, langid, line_dedup, media, mixing, packing, quality, topk, url_filter
 from .common import fold
 
 
@@ -50,7 +50,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op9_topk, op10_html)}
+def tokenizer_files() -> dict[str, str]:
+    """Where the public tokenizer's files lie on this machine; every executor has them at the same place."""
+    import public_tokenizers
+
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files()).drop("ids")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op7_packing, op9_topk, op10_html)}
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.oracle(),
