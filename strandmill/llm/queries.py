@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import html_wrapper, langid, line_dedup, media, mixing, packing, quality, topk, url_filter
+from . import html_wrapper, langid, line_dedup, media, minhash, mixing, packing, quality, topk, url_filter
 from .common import fold
 
 
@@ -42,6 +42,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +65,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files()).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op7_packing, op9_topk, op10_html)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op7_packing, op8_minhash, op9_topk, op10_html)}
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.oracle(),
