@@ -233,8 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, all columns as they are; of rows that repeat the id that stays, one."""
-    judged = near_duplicates(docs)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__sm_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__sm_id"), "left_anti")
-    return kept
+    """``docs`` without the documents that are not kept: of each component the least id stays. Columns are
+    those of ``docs``; rows with a null id stay, and so do rows that repeat an id that stays."""
+    gone = spool(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__sm_id")).distinct(), "gone")
+    return lookup_join(docs.withColumn("__sm_id", F.col("doc_id").cast("long")), gone, "__sm_id", "left_anti").drop("__sm_id")
