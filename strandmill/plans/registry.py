@@ -1,6 +1,305 @@
-"""Queries of the genome comparison engine and the SQL that each is held against."""
+"""Queries of the genome comparison engine over the driver's tables, and the SQL that each is held against.
+
+Sequences are the ACGT letters of texts, a stand-in for DNA that both engines can make; genomes are languages,
+roles, suppliers and the like.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.lcp import both_strands, cores, cores_by_window
+from ..operators import distance, tree
+from ..operators.signature import SET, VECTOR, signature, sizes
+from ..session import table
+from ..sources import phylip, sequences
+
+DIGITS = 9
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _register(name: str, query: Query, oracle: str | None = None) -> None:
+    QUERIES[name] = query
+    if oracle:
+        ORACLES[name] = oracle
+
+
+# --- sequences and cores -----------------------------------------------------------------------
+
+
+def dna(docs: DataFrame, genome: str, record: str) -> DataFrame:
+    """(genome_idx, record, seq): the ACGT letters of a text."""
+    return docs.select(F.col(genome).alias("genome_idx"), F.col(record).alias("record"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+
+
+def sql_cores(source: str) -> str:
+    """CTEs up to ``cores(g, rec, start, end_, label, len)``, level 1, from a query with columns g, rec, seq."""
+    by = "partition by rec order by pos"
+    return f"""
+    src as ({source}),
+    letters as (select g, rec, unnest(string_split(seq, '')) as letter, generate_subscripts(string_split(seq, ''), 1) - 1 as pos from src where seq <> ''),
+    coded as (select g, rec, pos, instr('ACGT', letter) - 1 as s, count(*) over (partition by rec) as n from letters),
+    edges as (select *, lag(s) over ({by}) as before from coded),
+    runs as (select g, rec, pos, s, n, coalesce(lead(pos) over ({by}), n) - pos as size, lag(s) over ({by}) as l1, lag(s, 2) over ({by}) as l2,
+             lead(s) over ({by}) as r1, lead(s, 2) over ({by}) as r2 from edges where before is null or before <> s),
+    sided as (select *, lag(size) over ({by}) as lsize, lead(size) over ({by}) as rsize from runs),
+    found as (select g, rec, pos - 1 as first, pos + size as last, l1 as a, s as b, size + 2 as m, r1 as z from sided where l1 is not null and r1 is not null and
+              (size >= 2 or (l1 > s and s < r1) or (l1 < s and s > r1 and (lsize >= 2 or l2 < l1) and (rsize >= 2 or r2 < r1)))),
+    gaps as (select * from (select g, rec, lag(last) over (partition by rec order by first) as gs, first as ge from found) where gs + 1 < ge),
+    filled as (select gaps.g, gaps.rec, gs as first, ge as last, x.s as a, y.s as b, ge - gs + 1 as m, w.s as z from gaps
+               join coded x on x.rec = gaps.rec and x.pos = gs join coded y on y.rec = gaps.rec and y.pos = gs + 1 join coded w on w.rec = gaps.rec and w.pos = ge),
+    cores as (select g, rec, first::bigint as start, (last + 1)::bigint as end_, ('0x' || substr(md5(concat_ws('|', a, b, m, z)), 1, 15))::bigint as label, (last + 1 - first)::int as len
+              from (select * from found union all select * from filled))"""
+
+
+DNA = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
+BY_LANGUAGE = f"select lang as g, doc_id as rec, {DNA} as seq from documents"
+ROLES = f"select role as g, conv_id * 1000 + turn as rec, {DNA} as seq from conversations"
+
+
+def language_cores(spark: SparkSession, sf_dir: str, level: int = 1) -> DataFrame:
+    return cores(dna(table(spark, sf_dir, "documents"), "lang", "doc_id"), level)
+
+
+def role_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return cores(dna(turns, "role", "id"))
+
+
+PLACE = ("genome_idx", "record", "start", "end", "label", "len")
+CORES_SQL = 'select g as genome_idx, rec as record, start, end_ as "end", label, len from cores'
+_register("cores_level1", lambda s, d: language_cores(s, d).select(*PLACE), f"with {sql_cores(BY_LANGUAGE)} {CORES_SQL}")
+_register("cores_level1_reads", lambda s, d: role_cores(s, d).select(*PLACE), f"with {sql_cores(ROLES)} {CORES_SQL}")
+_register(
+    "cores_level1_window",
+    lambda s, d: cores_by_window(dna(table(s, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "role", "id").select("record", "seq"), "record"),
+    f'with {sql_cores(ROLES)} select rec as record, start, end_ as "end", label, len from cores',
+)
+_register("cores_level2", lambda s, d: language_cores(s, d, 2).select(*PLACE))
+_register("cores_level4", lambda s, d: language_cores(s, d, 4).select(*PLACE))
+STRANDS = f"""select g, rec * 2 + k as rec, case k when 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end as seq
+              from (select role as g, conv_id * 1000 + turn as rec, {DNA} as seq from conversations), (values (0), (1)) t(k)"""
+_register(
+    "cores_both_strands",
+    lambda s, d: cores(both_strands(dna(table(s, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "role", "id"))).groupBy("genome_idx", "strand").agg(F.count("*").alias("n"), F.sum("len").alias("total_len")),
+    f"with {sql_cores(STRANDS)} select g as genome_idx, case rec % 2 when 0 then '+' else '-' end as strand, count(*) as n, sum(len)::bigint as total_len from cores group by all",
+)
+_register(
+    "core_codes",
+    lambda s, d: language_cores(s, d).groupBy("len").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), F.bit_xor(F.col("label").bitwiseAND(4294967295) * 256 + F.col("len")).alias("packed")),
+    f"with {sql_cores(BY_LANGUAGE)} select len, count(*) as n, count(distinct label) as labels, bit_xor((label & 4294967295) * 256 + len) as packed from cores group by len",
+)
+
+# --- signatures --------------------------------------------------------------------------------
+
+SIG = "sig as (select g, label, len, count(*) as cnt from cores group by all)"
+
+
+def language_signature(spark: SparkSession, sf_dir: str, band: tuple[int, int] | None = None) -> DataFrame:
+    return signature(language_cores(spark, sf_dir), band=band)
+
+
+_register("signature", language_signature, f"with {sql_cores(BY_LANGUAGE)}, {SIG} select g as genome_idx, label, len, cnt from sig")
+_register(
+    "signature_band",
+    lambda s, d: language_signature(s, d, (15, 256)),
+    f"with {sql_cores(BY_LANGUAGE)}, {SIG} select g as genome_idx, label, len, cnt from sig where cnt between 15 and 256",
+)
+
+
+def bands(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("de", 5, 256), ("en", 6, 436), ("es", 10, None)], "genome_idx string, min_cc long, max_cc long")
+
+
+BANDS = "bands(k, lo, hi) as (values ('de', 5, 256), ('en', 6, 436), ('es', 10, null))"
+_register(
+    "signature_bands",
+    lambda s, d: signature(language_cores(s, d), bands=bands(s)),
+    f"with {sql_cores(BY_LANGUAGE)}, {SIG}, {BANDS} select g as genome_idx, label, len, cnt from sig left join bands on g = k where cnt between coalesce(lo, 0) and coalesce(hi, 4294967295)",
+)
+for _mode, _n, _t in ((SET, "count(*)", "sum(len)"), (VECTOR, "sum(cnt)", "sum(len * cnt)")):
+    _register(
+        f"sizes_{_mode}",
+        lambda s, d, mode=_mode: sizes(language_signature(s, d), mode),
+        f"with {sql_cores(BY_LANGUAGE)}, {SIG} select g as genome_idx, {_n}::bigint as n, {_t}::bigint as total_len from sig group by g",
+    )
+
+# --- distances ---------------------------------------------------------------------------------
+
+
+def sql_distances(mode: str, element: str, length: str | None) -> str:
+    """CTE ``dist`` over ``sig(g, <element>, cnt)``."""
+    vec = mode == VECTOR
+    n, total = ("sum(cnt)", f"sum({length} * cnt)") if vec else ("count(*)", f"sum({length})")
+    total = total if length else "null"
+    h = "(1 - pow(inter / uni, 1 / ((ta + tb) / (na + nb))))"
+    return f"""
+    per as (select g, ({n})::double as n, ({total})::double as t from sig group by g),
+    met as (select a.g as i, b.g as j, sum({'least(a.cnt, b.cnt)' if vec else '1'})::bigint as inter from sig a join sig b using ({element}) where a.g < b.g group by all),
+    pairs as (select a.g as i, b.g as j, a.n as na, b.n as nb, a.t as ta, b.t as tb, coalesce(inter, 0) as inter, a.n + b.n - coalesce(inter, 0) as uni
+              from per a join per b on a.g < b.g left join met on met.i = a.g and met.j = b.g),
+    dist as (select i, j, inter::bigint as inter, uni::bigint as uni, 1 - 2 * inter / (na + nb) as dice, 1 - inter / uni as jaccard,
+             case when ta is not null and ta + tb > 0 and 1 - {h} * 4 / 3 > 0 then -0.75 * ln(1 - {h} * 4 / 3) + 0.0 end as jc from pairs)"""
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+ROUNDED = f"select i, j, inter, uni, round(dice, {DIGITS}) as dice, round(jaccard, {DIGITS}) as jaccard, round(jc, {DIGITS}) as jc from dist"
+for _mode in (SET, VECTOR):
+    _register(
+        f"distances_{_mode}",
+        lambda s, d, mode=_mode: rounded(distance.distances(language_signature(s, d), mode=mode)),
+        f"with {sql_cores(BY_LANGUAGE)}, {SIG}, {sql_distances(_mode, 'label, len', 'len')} {ROUNDED}",
+    )
+_register(
+    "distances_band_vec",
+    lambda s, d: rounded(distance.distances(language_signature(s, d, (2, 64)), mode=VECTOR)),
+    f"with {sql_cores(BY_LANGUAGE)}, all_sig as (select g, label, len, count(*) as cnt from cores group by all), sig as (select * from all_sig where cnt between 2 and 64), {sql_distances(VECTOR, 'label, len', 'len')} {ROUNDED}",
+)
+_register("distances_level4", lambda s, d: rounded(distance.distances(signature(language_cores(s, d, 4)))))
+
+#: (name, table, genome, element) of signatures over other tables, where elements have no length.
+ITEMS = (
+    ("suppliers", "lineitem", "l_suppkey", "l_partkey"),
+    ("return_flags", "lineitem", "l_returnflag", "l_partkey"),
+    ("event_types", "events", "event_type", "user_id"),
+    ("priorities", "orders", "o_orderpriority", "o_custkey"),
+)
+
+
+def item_signature(spark: SparkSession, sf_dir: str, name: str, genome: str, item: str) -> DataFrame:
+    return signature(table(spark, sf_dir, name).select(F.col(genome).alias("genome_idx"), F.col(item).alias("item")), ("item",))
+
+
+for _name, _table, _genome, _item in ITEMS:
+    for _mode in (SET, VECTOR):
+        _register(
+            f"items_{_name}_{_mode}",
+            lambda s, d, t=_table, g=_genome, x=_item, mode=_mode: rounded(distance.distances(item_signature(s, d, t, g, x), ("item",), mode=mode, length=None)),
+            f"with sig as (select {_genome} as g, {_item} as item, count(*) as cnt from {_table} group by all), {sql_distances(_mode, 'item', None)} {ROUNDED.replace('jc from', 'jc from').replace('round(jc, 9)', 'jc::double')}",
+        )
+
+# --- matrices ----------------------------------------------------------------------------------
+
+LANGUAGES = f"{sql_cores(BY_LANGUAGE)}, {SIG}, {sql_distances(SET, 'label, len', 'len')}"
+SQUARE = """square as (select i, j, dice, jaccard, jc from dist union all select j, i, dice, jaccard, jc from dist
+            union all select distinct g, g, 0.0::double, 0.0::double, 0.0::double from sig)"""
+
+
+def language_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sig = language_signature(spark, sf_dir)
+    return distance.square(distance.distances(sig), sig.select("genome_idx").distinct())
+
+
+def numbered_names(square: DataFrame) -> DataFrame:
+    """(genome_idx, short_name): genomes in order, as a matrix file numbers them."""
+    return square.select(F.col("i").alias("short_name")).distinct().withColumn("genome_idx", F.row_number().over(Window.orderBy("short_name")) - 1)
+
+
+def matrix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    square = language_square(spark, sf_dir)
+    names = numbered_names(square)
+    number = names.select(F.col("genome_idx").alias("k"), F.col("short_name").alias("s"))
+    digits = square.withColumn("jaccard", F.round("jaccard", DIGITS))
+    by_number = digits.join(number.toDF("ki", "i"), "i").join(number.toDF("kj", "j"), "j").select(F.col("ki").alias("i"), F.col("kj").alias("j"), "jaccard")
+    return phylip.matrix_lines(by_number, names, "jaccard")
+
+
+_register(
+    "matrix_square",
+    lambda s, d: rounded(language_square(s, d)),
+    f"with {LANGUAGES}, {SQUARE} select i, j, round(dice, {DIGITS}) as dice, round(jaccard, {DIGITS}) as jaccard, round(jc, {DIGITS}) as jc from square",
+)
+_register(
+    "matrix_phylip",
+    matrix_text,
+    f"""with {LANGUAGES}, {SQUARE}, t as (select i, printf('%10s', i) || string_agg(printf(' %.15f', round(jaccard, {DIGITS})), '' order by j) as line from square group by i)
+    select 0::bigint as nr, (select count(*)::varchar from t) as line union all select row_number() over (order by i), line from t""",
+)
+_register(
+    "matrix_lower_normalised",
+    lambda s, d: rounded(language_square(s, d).where("j <= i").select("i", "j", (F.col("dice") / F.max("dice").over(Window.partitionBy())).alias("d"))),
+    f"with {LANGUAGES}, {SQUARE} select i, j, round(dice / max(dice) over (), {DIGITS}) as d from square where j <= i",
+)
+_register(
+    "nearest",
+    lambda s, d: rounded(distance.nearest(distance.distances(item_signature(s, d, "lineitem", "l_suppkey", "l_partkey"), ("item",), length=None), 3)),
+    f"""with sig as (select l_suppkey as g, l_partkey as item, count(*) as cnt from lineitem group by all), {sql_distances(SET, 'item', None)},
+    two as (select i, j, jaccard from dist union all select j, i, jaccard from dist), r as (select *, row_number() over (partition by i order by jaccard, j)::int as rank from two)
+    select i, rank, j, round(jaccard, {DIGITS}) as distance from r where rank <= 3""",
+)
+_register(
+    "nj_criterion",
+    lambda s, d: rounded(tree.q_matrix(language_square(s, d), "dice")),
+    f"""with {LANGUAGES}, {SQUARE}, r as (select i, sum(dice) as r, count(*) as n from square group by i)
+    select q.i, q.j, round((a.n - 2) * dice - a.r - b.r, {DIGITS}) as q from square q join r a on a.i = q.i join r b on b.i = q.j where q.i < q.j""",
+)
+SHORT = "short as (select n_nationkey as k, n_name as name, substr(n_name, 1, 10) as short from nation)"
+_register(
+    "short_names",
+    lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.substring("n_name", 1, 10).alias("short"), F.format_string("%10s", F.substring("n_name", 1, 10)).alias("padded")),
+    f"with {SHORT} select k, short, printf('%10s', short) as padded from short",
+)
+
+# --- trees and files: nothing that SQL expresses ----------------------------------------------
+
+
+def language_tree(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    rows = language_square(spark, sf_dir).orderBy("i", "j").collect()
+    names = sorted({r["i"] for r in rows})
+    d = np.array([r["dice"] for r in rows]).reshape(len(names), len(names))
+    root = tree.upgma(d, names) if method == "upgma" else tree.root_at_midpoint(tree.neighbour_joining(d, names))
+    root = tree.ordered(root)
+    return rounded(tree.edges(spark, root)).withColumn("newick", F.lit(tree.to_newick(root)))
+
+
+for _method in tree.METHODS:
+    _register(f"tree_{_method}", lambda s, d, m=_method: language_tree(s, d, m))
+
+
+def _work_folder(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share; a temporary one on a single machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base.rstrip('/')}/files-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}" if base else tempfile.mkdtemp(prefix="strandmill-")
+
+
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write each language's sequences as FASTA, wrapped at 60, and read them back."""
+    path = _work_folder(spark) + "/fasta"
+    docs = dna(table(spark, sf_dir, "documents"), "lang", "doc_id").where("seq <> ''")
+    docs.select("genome_idx", F.concat(F.lit(">"), F.col("record").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value")).write.partitionBy("genome_idx").text(path)
+    files = spark.read.text(path).select(F.input_file_name().alias("in_path"), "genome_idx").distinct()
+    return sequences.read_fasta(spark, files).groupBy("genome_idx", "seq").agg(F.count("*").alias("n"))
+
+
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write each role's turns as gzipped FASTQ and read them back."""
+    path = _work_folder(spark) + "/fastq"
+    turns = dna(table(spark, sf_dir, "conversations"), "role", "conv_id").where("seq <> ''")
+    read = F.concat(F.lit("@"), F.col("record").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.regexp_replace("seq", ".", "I"))
+    turns.select("genome_idx", read.alias("value")).write.partitionBy("genome_idx").option("compression", "gzip").text(path)
+    files = spark.read.text(path).select(F.input_file_name().alias("in_path"), "genome_idx").distinct()
+    return sequences.read_fastq(spark, files).groupBy("genome_idx", "seq").agg(F.count("*").alias("n"))
+
+
+def core_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store level-1 cores, read them back and sign them."""
+    path = _work_folder(spark) + "/cores"
+    sequences.write_cores(language_cores(spark, sf_dir).withColumn("level", F.lit(1)), path)
+    return signature(sequences.read_cores(spark, path, 1))
+
+
+_register("fasta_scan", fasta_round_trip, f"with src as ({BY_LANGUAGE}) select g as genome_idx, seq, count(*) as n from src where seq <> '' group by all")
+_register("fastq_scan", fastq_round_trip, f"with src as ({ROLES}) select g as genome_idx, seq, count(*) as n from src where seq <> '' group by all")
+_register("core_store", core_store_round_trip, ORACLES["signature"])
