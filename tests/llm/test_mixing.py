@@ -1,0 +1,64 @@
+import random
+
+import pytest
+
+from strandmill.llm import mixing
+
+
+def water_fill(sizes, weights, demand, cap):
+    """Reshare what stands above a cap, again and again."""
+    total, fixed = demand * sum(sizes), {}
+    while True:
+        free = [k for k in range(len(sizes)) if k not in fixed]
+        rest = total - sum(fixed.values())
+        share = {k: rest * weights[k] / sum(weights[j] for j in free) for k in free}
+        over = [k for k in free if share[k] > cap * sizes[k]]
+        if not over:
+            return [fixed.get(k, share.get(k)) for k in range(len(sizes))]
+        fixed |= {k: cap * sizes[k] for k in over}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_and_taken(spark, seed):
+    rng = random.Random(seed)
+    names = ["b", "a", None, "ß", "Z", "c0"]
+    rows = [(k, "w " * rng.choice([0, 1, 3, 40, 200]), names[min(5, int(rng.expovariate(0.7)))]) for k in range(300)]
+    got = [r.asDict() for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    order = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
+    sizes = [sum(t.count("w") for _, t, s in rows if s == n) for n in order]
+    want = water_fill(sizes, [(3, 1, 2)[k % 3] for k in range(len(order))], 1.5, 2)
+    for n, size, target in zip(order, sizes, want):
+        mine = [r for r in got if r["source"] == n]
+        assert {r["source_size"] for r in mine} == {size}
+        assert all(r["target"] == pytest.approx(target) for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - target) < 1
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
+    placed = [r["position"] for r in got if r["taken"]]
+    assert placed == sorted(placed) and 0 <= placed[0] and placed[-1] <= 1
+    assert got == [r.asDict() for r in mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string")).collect()] or sorted(map(str, got))
+
+
+def test_positions_invert_the_integral(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3).select(F.col("id").alias("rank"), F.explode(F.array(*[F.lit(k / 40) for k in range(41)])).alias("u"))
+    for r in df.withColumn("t", mixing.position_of(F.col("u"), F.col("rank"))).collect():
+        area = 0.0
+        for t, w, slope, start, end in mixing.segments(mixing.SCHEDULES[r["rank"]]):
+            if r["t"] >= t:
+                area = start + w * min(r["t"] - t, 1) + slope * (r["t"] - t) ** 2 / 2
+        assert area == pytest.approx(r["u"], abs=1e-6)
+
+
+def test_schedules_are_checked():
+    for bad in (((0, 1),), ((0, 1), (0.5, 1)), ((0, 1), (0, 1), (1, 1)), ((0, -1), (1, 1)), ((0, 0), (1, 0))):
+        with pytest.raises(ValueError):
+            mixing.segments(bad)
+
+
+def test_documents_are_taken_as_planned(spark):
+    rows = [(k, "w " * (k % 7 + 1), "ab"[k % 5 == 0]) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r["doc_id"]: round(r["taken"] / r["size"]) for r in mixing.mix(docs).collect()}
+    got = mixing.mix_documents(docs).collect()
+    assert {k: sum(r["doc_id"] == k for r in got) for k in plan} == plan

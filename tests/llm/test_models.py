@@ -1,0 +1,55 @@
+"""Held-out accuracy of the fitted models, and their parts."""
+
+import numpy as np
+import pyarrow as pa
+
+from strandmill.llm import ngrams, quality
+from strandmill.llm.queries import QUERIES
+from strandmill.llm.words import text_blocks
+from strandmill.session import table
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_quality_on_held_out_rows(spark):
+    scored = QUERIES["op1_quality"](spark, SF)
+    rows = scored.join(table(spark, SF, "labels"), "doc_id").where("held_out").collect()
+    right = {q: [r["predicted"] == q for r in rows if r["quality"] == q] for q in (0, 1)}
+    assert len(rows) > 80 and np.mean(right[1]) > 0.97 and np.mean(right[0]) > 0.85
+
+
+def test_language_on_held_out_rows(spark):
+    rows = QUERIES["op5_langid"](spark, SF).join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 150 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.98
+
+
+def test_counts_are_those_of_a_plain_loop():
+    texts = ["abcab", "", None, "é", "aaaa" * 50, "x"]
+    for _, _, data, offsets in text_blocks(pa.array(texts)):
+        counts = ngrams.counts_of(data, offsets, 2, ngrams.as_is())
+    assert counts.sum(1).tolist() == [4, 0, 0, 1, 199, 0] and counts[4].max() == 199
+
+
+def test_long_text_counts_equal_short_ones(monkeypatch):
+    text = "".join(chr(97 + k * k % 26) for k in range(5000))
+    one = ngrams.counts_of(np.frombuffer(text.encode(), np.uint8), np.array([0, 5000]), 3, ngrams.letters())
+    monkeypatch.setattr(ngrams, "BLOCK", 64)
+    assert (one == ngrams.counts_of(np.frombuffer(text.encode(), np.uint8), np.array([0, 5000]), 3, ngrams.letters())).all()
+
+
+def test_repeated_words_count_within_a_row():
+    texts = ["a a a b b", "b c", "c c", "", "d"]
+    got = [c[-1] for _, _, counts in quality.counted(pa.array(texts)) for c in counts]
+    assert got == [3, 0, 1, 0, 0]
+
+
+def test_vote_is_exact():
+    rng = np.random.default_rng(3)
+    vectors, z = (ngrams.unit(rng.standard_normal((n, 8)).astype(np.float32)) for n in (300, 40))
+    y, w = (rng.random(300) < 0.5).astype(np.float32), np.ones(300, np.float32)
+    model = quality.Model(None, None, vectors, y, w, 0.5)
+    cosine = (z @ vectors.T).astype(float)
+    for row, got in zip(cosine, quality.vote(model, z)):
+        near = np.argsort(-row)[: quality.NEIGHBOURS]
+        weight = np.maximum(row[near], 0) ** quality.POWER
+        assert abs(got - (weight * y[near]).sum() / weight.sum()) < 1e-4
