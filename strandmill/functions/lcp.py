@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Symbol codes, and the reduced symbol of equal neighbours.
 CODES, EQUAL = {"A": 0, "C": 1, "G": 2, "T": 3}, 120
+#: Bases that are parsed at a time.
+CHUNK = 1 << 18
 CORE_FIELDS = "start long, end long, label long, len int"
 
 
@@ -30,31 +32,46 @@ def label_of(first: int, second: int, n: int, last: int) -> int:
     return int(hashlib.md5(f"{first}|{second}|{n}|{last}".encode()).hexdigest()[:15], 16)
 
 
-def cut(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last positions (both included) of the cores of one sequence of symbols."""
-    none = np.zeros(0, np.int64)
-    if len(x) < 3:
-        return none, none
-    starts = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
-    if len(starts) < 3:
-        return none, none
+def run_cores(x: np.ndarray, segment: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the runs of equal symbols, their sizes, and the runs that make a core of their own.
+
+    ``segment`` numbers the sequences that ``x`` holds one after the other; nothing crosses from one to the next.
+    """
+    if not len(x):
+        return (np.zeros(0, np.int64),) * 3
+    change = x[1:] != x[:-1]
+    if segment is not None:
+        change |= segment[1:] != segment[:-1]
+    starts = np.concatenate([[0], np.flatnonzero(change) + 1])
     s, size = x[starts].astype(np.int64), np.diff(np.concatenate([starts, [len(x)]]))
-    low = np.zeros(len(s), bool)
-    low[1:-1] = (size[1:-1] >= 2) | ((s[:-2] > s[1:-1]) & (s[1:-1] < s[2:]))
+    if len(starts) < 3:
+        return starts, size, np.zeros(0, np.int64)
+    same = np.ones(len(s) - 1, bool) if segment is None else segment[starts[1:]] == segment[starts[:-1]]
+    inside, low, high = same[:-1] & same[1:], np.zeros(len(s), bool), np.zeros(len(s), bool)
+    low[1:-1] = inside & ((size[1:-1] >= 2) | ((s[:-2] > s[1:-1]) & (s[1:-1] < s[2:])))
     # A neighbour of a maximum is no minimum if it repeats, or if the symbol beyond it is smaller.
     left, right = size >= 2, size >= 2
-    left[1:] |= s[:-1] < s[1:]
-    right[:-1] |= s[1:] < s[:-1]
-    high = np.zeros(len(s), bool)
-    high[1:-1] = (size[1:-1] == 1) & (s[:-2] < s[1:-1]) & (s[1:-1] > s[2:]) & left[:-2] & right[2:]
-    runs = np.flatnonzero(low | high)
-    first, last = starts[runs] - 1, starts[runs] + size[runs]
-    gap = np.flatnonzero(last[:-1] + 1 < first[1:])
+    left[1:] |= same & (s[:-1] < s[1:])
+    right[:-1] |= same & (s[1:] < s[:-1])
+    high[1:-1] = inside & (size[1:-1] == 1) & (s[:-2] < s[1:-1]) & (s[1:-1] > s[2:]) & left[:-2] & right[2:]
+    return starts, size, np.flatnonzero(low | high)
+
+
+def with_gaps(first: np.ndarray, last: np.ndarray, segment: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cores and, between consecutive ones of a segment that leave something out, the cores that fill the gap; in order."""
+    apart = last[:-1] + 1 < first[1:]
+    gap = np.flatnonzero(apart if segment is None else apart & (segment[first[:-1]] == segment[first[1:]]))
     first, last = np.concatenate([first, last[gap]]), np.concatenate([last, first[gap + 1]])
     order = np.argsort(first, kind="stable")
     return first[order], last[order]
 
 
+def cut(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions (both included) of the cores of one whole sequence of symbols."""
+    starts, size, runs = run_cores(x)
+    return with_gaps(starts[runs] - 1, starts[runs] + size[runs])
+
+
 def reduce_labels(labels: np.ndarray) -> np.ndarray:
     """Deterministic coin tossing: the lowest bit in which a label differs from its left neighbour, and that bit's value."""
     a, b = labels[:-1].astype(np.uint64), labels[1:].astype(np.uint64)
@@ -66,42 +83,133 @@ def reduce_labels(labels: np.ndarray) -> np.ndarray:
 
 def label_cores(tokens: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Labels of cores over ``tokens``; equal content is hashed once."""
-    content = np.stack([tokens[first], tokens[first + 1], last - first + 1, tokens[last]], 1) if len(first) else np.zeros((0, 4), np.int64)
-    kinds, which = np.unique(content, axis=0, return_inverse=True)
-    return np.array([label_of(*map(int, k)) for k in kinds], np.int64)[which.ravel()] if len(kinds) else np.zeros(0, np.int64)
-
-
-def parse_segment(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, label) of the level's cores of one segment; ends are exclusive."""
-    first, last = cut(codes)
-    labels, start, end = label_cores(codes.astype(np.int64), first, last), first, last + 1
-    for _ in range(level - 1):
-        if len(labels) < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        symbols = reduce_labels(labels)
-        tokens, start, end = labels[1:], start[1:], end[1:]  # the first token has no left neighbour
-        first, last = cut(symbols)
-        labels, start, end = label_cores(tokens, first, last), start[first], end[last]
+    if not len(first):
+        return np.zeros(0, np.int64)
+    content = np.stack([tokens[first], tokens[first + 1], last - first + 1, tokens[last]], 1)
+    if content[:, [0, 1, 3]].max() < 4:  # bases: the content fits into one number
+        _, one, which = np.unique(content @ np.array([16, 4, 64, 1]), return_index=True, return_inverse=True)
+    else:
+        _, one, which = np.unique(content, axis=0, return_index=True, return_inverse=True)
+    return np.array([label_of(*map(int, k)) for k in content[one]], np.int64)[which.ravel()]
+
+
+def parse_many(codes: np.ndarray, place: np.ndarray, segment: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, label) of the level's cores of many short segments at once; ``place`` has each symbol's coordinate."""
+    symbols, labels, start, end = codes, codes.astype(np.int64), place, place + 1
+    for k in range(level):
+        if k:
+            joined = segment[1:] == segment[:-1]  # the first token of a segment has no left neighbour and drops
+            symbols = reduce_labels(labels)[joined] if len(labels) else labels
+            labels, start, end, segment = (v[1:][joined] for v in (labels, start, end, segment))
+        begin, size, runs = run_cores(symbols, segment)
+        first, last = with_gaps(begin[runs] - 1, begin[runs] + size[runs], segment)
+        labels, start, end, segment = label_cores(labels, first, last), start[first], end[last], segment[first]
     return start, end, labels
 
 
-def parse(sequence: str, level: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cores of a whole sequence, segment by segment; lower case counts as upper case."""
+class Level:
+    """One level of parsing over a stream of tokens. It holds on to as many as the next core can depend on: a
+    core depends on two runs of equal symbols on either side, and a gap on the cores next to it."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []  # symbols, labels, starts, ends of the tokens that are still needed
+        self.at = -1  # where the last core that was told of starts in them
+
+    def feed(self, tokens: list[np.ndarray], final: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(label, start, end) of the cores that are settled by now; all that are left if ``final``."""
+        self.held = [np.concatenate(x) for x in zip(self.held, tokens)] if self.held else tokens
+        symbols, labels, starts, ends = self.held
+        begin, size, runs = run_cores(symbols)
+        runs = runs if final else runs[runs < len(begin) - 2]
+        first, last = begin[runs] - 1, begin[runs] + size[runs]
+        known = int(np.searchsorted(first, self.at)) if self.at >= 0 else -1
+        if len(runs) <= known + 1:
+            return (np.zeros(0, np.int64),) * 3
+        f, t = with_gaps(first[max(known, 0) :], last[max(known, 0) :])
+        if known >= 0:
+            f, t = f[1:], t[1:]
+        out = label_cores(labels, f, t), starts[f], ends[t]
+        keep = int(begin[max(0, runs[-1] - 3)])
+        self.held, self.at = [x[keep:] for x in self.held], int(first[-1]) - keep
+        return out
+
+
+def parse_segment(codes: np.ndarray, level: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, end, label) of the level's cores of one segment, in batches; ends are exclusive."""
+    levels, before = [Level() for _ in range(level)], [None] * level
+    for at in range(0, len(codes), chunk):
+        final, x = at + chunk >= len(codes), codes[at : at + chunk].astype(np.int64)
+        place = np.arange(at, at + len(x))
+        labels, start, end = levels[0].feed([x, x, place, place + 1], final)
+        for k in range(1, level):
+            if before[k] is not None:  # the first token of all has no left neighbour and drops
+                labels, start, end = (np.concatenate([[b], v]) for b, v in zip(before[k], (labels, start, end)))
+            if len(labels):
+                before[k] = labels[-1], start[-1], end[-1]
+            symbols = reduce_labels(labels) if len(labels) > 1 else np.zeros(0, np.int64)
+            labels, start, end = levels[k].feed([symbols, labels[1:], start[1:], end[1:]], final)
+        if len(labels):
+            yield start, end, labels
+
+
+def coded(sequence: bytes) -> np.ndarray:
+    """Symbol codes of letters, of either case; 4 for what is no symbol."""
     table = np.full(256, 4, np.uint8)
     for letter, code in CODES.items():
         table[ord(letter)] = table[ord(letter.lower())] = code
-    x = table[np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)]
+    return table[np.frombuffer(sequence, np.uint8)]
+
+
+def parse_chunks(sequence: str, level: int = 1, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cores of one long sequence, segment by segment, in batches. Beyond the sequence itself, memory is bounded by
+    ``chunk`` bases and what they depend on."""
+    x = coded(sequence.encode("latin-1", "replace"))
     edges = np.flatnonzero(np.diff(np.concatenate([[True], x == 4, [True]]).astype(np.int8)))
-    found = [(a, parse_segment(x[a:b], level)) for a, b in edges.reshape(-1, 2) if b - a >= 3]
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate([v[k] + (a if k < 2 else 0) for a, v in found]) for k in range(3))
+    for a, b in edges.reshape(-1, 2):
+        for start, end, label in parse_segment(x[a:b], level, chunk) if b - a >= 3 else ():
+            yield start + a, end + a, label
+
+
+def parse_records(sequences: list[str | None], level: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(record number, start, end, label) of the cores of many sequences, in batches: short ones together, long ones in chunks."""
+    held, numbers, size = [], [], 0
+
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x = coded(b"\n".join(held))
+        begins = np.cumsum([0, *(len(h) + 1 for h in held[:-1])])
+        good = x != 4
+        place, segment = np.flatnonzero(good), np.cumsum(~good)[good]
+        start, end, label = parse_many(x[good], place, segment, level)
+        which = np.searchsorted(begins, start, "right") - 1
+        return np.array(numbers, np.int64)[which], start - begins[which], end - begins[which], label
+
+    for number, sequence in enumerate(sequences):
+        if not sequence:
+            continue
+        if len(sequence) > CHUNK:
+            for start, end, label in parse_chunks(sequence, level):
+                yield np.full(len(start), number, np.int64), start, end, label
+            continue
+        held.append(sequence.encode("latin-1", "replace"))
+        numbers.append(number)
+        size += len(held[-1])
+        if size > CHUNK:
+            yield together()
+            held, numbers, size = [], [], 0
+    if held:
+        yield together()
+
+
+def parse(sequence: str, level: int = 1, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, label) of all cores of a sequence."""
+    found = list(parse_chunks(sequence, level, chunk))
+    return tuple(np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def cores(sequences: DataFrame, level: int = 1) -> DataFrame:
     """Cores of ``sequences(…, seq)``: all columns but seq, and start, end, label, len.
 
-    Null and short sequences give no cores. Records are parsed one by one, in Arrow batches.
+    Null and short sequences give no cores. Short records are parsed together, long ones in chunks, in Arrow batches.
     """
     if level < 1:
         raise ValueError("the level starts at 1")
@@ -109,15 +217,9 @@ def cores(sequences: DataFrame, level: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, seq in enumerate(b.column(b.schema.get_field_index("seq")).to_pylist()):
-                start, end, label = parse(seq or "", level)
-                for at in range(0, len(start), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    index = pa.array(np.full(len(start[part]), row, np.int64))
-                    cols = [b.column(b.schema.get_field_index(c)).take(index) for c in keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [*cols, pa.array(start[part]), pa.array(end[part]), pa.array(label[part]), pa.array((end[part] - start[part]).astype(np.int32))], [*keep, "start", "end", "label", "len"]
-                    )
+            for record, start, end, label in parse_records(b.column(b.schema.get_field_index("seq")).to_pylist(), level):
+                cols = [b.column(b.schema.get_field_index(c)).take(pa.array(record)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(start), pa.array(end), pa.array(label), pa.array((end - start).astype(np.int32))], [*keep, "start", "end", "label", "len"])
 
     kept = ", ".join(f"`{c}` {sequences.schema[c].dataType.simpleString()}" for c in keep)
     return sequences.mapInArrow(run, f"{kept}, {CORE_FIELDS}" if kept else CORE_FIELDS)

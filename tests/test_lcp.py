@@ -83,6 +83,42 @@ def test_levels_shrink_and_cover_bases():
         assert (end > start).all() and end.max() <= 5000
 
 
+def whole(x, level):
+    """Cores of one segment without chunks."""
+    codes = np.array([lcp.CODES[c] for c in x], np.int64)
+    first, last = lcp.cut(codes)
+    labels, start, end = lcp.label_cores(codes, first, last), first, last + 1
+    for _ in range(level - 1):
+        if len(labels) < 2:
+            return []
+        symbols, tokens, start, end = lcp.reduce_labels(labels), labels[1:], start[1:], end[1:]
+        first, last = lcp.cut(symbols)
+        labels, start, end = lcp.label_cores(tokens, first, last), start[first], end[last]
+    return list(zip(start.tolist(), end.tolist(), labels.tolist()))
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.text("ACGT", min_size=3, max_size=150), st.integers(1, 4), st.integers(1, 40))
+def test_chunks_do_not_show(x, level, chunk):
+    x = x + x[:20] * 2 + "A" * (len(x) % 9)
+    assert list(zip(*(v.tolist() for v in lcp.parse(x, level, chunk)))) == whole(x, level)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ACGTN", max_size=60)), max_size=12), st.integers(1, 4))
+def test_many_records_at_once(records, level):
+    got = [row for batch in lcp.parse_records(records, level) for row in zip(*(v.tolist() for v in batch))]
+    want = [(k, *row) for k, seq in enumerate(records) if seq for row in zip(*(v.tolist() for v in lcp.parse(seq, level)))]
+    assert sorted(got) == sorted(want)
+
+
+def test_long_sequences_in_chunks():
+    rng = random.Random(10)
+    x = "".join(rng.choice("ACGT") * rng.choice([1, 1, 1, 2, 40]) for _ in range(4000))
+    for level in (1, 2, 3, 4):
+        assert list(zip(*(v.tolist() for v in lcp.parse(x, level, 97)))) == whole(x, level)
+
+
 def test_coin_tossing():
     assert lcp.reduce_labels(np.array([4, 6, 6, 7])).tolist() == [2 * 1 + 1, lcp.EQUAL, 2 * 0 + 1]
 
