@@ -9,10 +9,11 @@
    into an index once for each way to leave ERRORS symbols out, and every such pair shares a key.
 3. A key's classes are not expanded into pairs. Each is first compared with the least one of the key
    (a star), the best of its stars only; confirmed links give components. What then still shares a key across two
-   components is compared by signature, in blocks of bounded size, and every pair within DISTANCE is
-   confirmed or refuted, the best of each two components first. Pairs inside one component need no look:
-   they can't change it.
-4. Confirmation recomputes both full sets from the texts of the candidates alone.
+   components is compared by signature, in blocks of bounded size, and the classes that are left with a pair
+   within DISTANCE are compared on full sets, again in blocks, each pair in the first key that it shares.
+   Pairs inside one component need no look, as they can't change it, and a block tells only of links that join
+   components. So no step hands on pairs in a number that grows with the square of a group.
+4. Links are confirmed on full sets, recomputed from the texts of the candidates alone.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PERCENT = 75
 DISTANCE, CHUNKS, ERRORS = 22, 12, 1
 #: Classes of a key that are compared in one block; larger keys are cut into blocks, all pairs of which are compared.
 BLOCK = 2048
+#: Shingles of a block's full sets, about.
+SET_BLOCK = 1 << 20
 
 
 def chunk_keys(symbols: int = SYMBOLS, chunks: int = CHUNKS, errors: int = ERRORS, distance: int = DISTANCE) -> list[tuple[int, ...]]:
@@ -78,7 +81,7 @@ def index(classes: DataFrame) -> DataFrame:
                     key = np.full(len(reps), k + 1, np.uint64)
                     for s in symbols:
                         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, s].astype(np.uint64))
-                    keys[k] = key
+                    keys[k] = (key & ~np.uint64(63)) | np.uint64(k)  # which key it is, in its last bits
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(reps, len(kept)))], ["key", "rep"])
 
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
@@ -139,60 +142,149 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     return spool(both.mapInArrow(run, "a long, b long").distinct(), "confirmed")
 
 
-def across(hits: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b, differ) for classes that share a key, lie in different components and are within DISTANCE and the size bound."""
-    named = hits.select("key", "rep").join(component, "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+def _wrong(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of signatures, the symbols that differ as the bits of a number."""
+    bits = np.packbits(a != b, axis=1, bitorder="little")
+    return np.pad(bits, ((0, 0), (0, 8 - bits.shape[1]))).view(np.uint64)[:, 0]
+
+
+def owned_pairs(group: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (p, q) of the pairs of a key's block that are to be settled there: of different components, within the
+    bound that their sizes set and within DISTANCE, and with no earlier key in common."""
+    c, n, sig, mine, k = group["c"], group["n"], group["sig"], group["mine"], int(group["key"][0] & 63)
+    masks = [np.uint64(sum(1 << s for s in kept)) for kept in chunk_keys()[:k]]
+    for at in range(0, len(c), 256):
+        rows = slice(at, at + 256)
+        near = (c[rows, None] < c[None, :]) & (100 * np.minimum(n[rows, None], n[None, :]) >= PERCENT * np.maximum(n[rows, None], n[None, :]))
+        if group["i"][0] != group["j"][0]:
+            near &= mine[rows, None] != mine[None, :]
+        x, y = np.nonzero(near)
+        for part in range(0, len(x), 1 << 16):
+            p, q = x[part : part + (1 << 16)] + at, y[part : part + (1 << 16)]
+            wrong = _wrong(sig[p], sig[q])
+            mine_to_settle = np.bitwise_count(wrong) <= DISTANCE
+            for m in masks:
+                mine_to_settle &= (wrong & m) != 0
+            yield p[mine_to_settle], q[mine_to_settle]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The blocks of keys, one after the other, of rows that are sorted by key, i and j."""
+
+    def whole(held: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        out = {k: t.column(k).to_numpy() for k in t.column_names if k not in ("sig", "set")}
+        out["sig"] = _matrix(t.column("sig"))
+        if "set" in t.column_names:
+            out["set"] = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        return out
+
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, i, j = (b.column(k).to_numpy() for k in range(3))
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), b.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            now = (key[start], i[start], j[start])
+            if held and now != last:
+                yield whole(held)
+                held = []
+            held.append(b.slice(start, end - start))
+            last = now
+    if held:
+        yield whole(held)
+
+
+def _blocked(rows: DataFrame, keys: DataFrame, more: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows(key, rep, …)`` dealt out in blocks of their keys, with what ``more`` has of each class, in order.
+
+    ``keys(key, blocks)`` says into how many blocks a key is cut; each then meets each other one, and itself, in one group.
+    """
+    rows = rows.join(keys, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+    dealt = rows.join(more, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c", "rep")
+    return dealt.select("key", "i", "j", "mine", "rep", "c", "n", "sig", *columns)
+
+
+def unsettled(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, rep) of the classes that have a pair to settle in that key: see owned_pairs. ``named(key, rep, c)``."""
     keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     keys = keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = named.select("key", "rep", "c").join(keys, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    # A key of several blocks: each block meets each other block, and itself, in one group.
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", F.explode(others))
-    rows = rows.select("rep", "c", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    rows = rows.join(classes.select("rep", "n", "sig"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c", "rep")
-    rows = rows.select("key", "i", "j", "mine", "rep", "c", "n", "sig")
-
-    def compare(rep, c, n, sig, mine, i, j) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for at in range(0, len(rep), 256):
-            rows = slice(at, at + 256)
-            near = (c[rows, None] < c[None, :]) & (100 * np.minimum(n[rows, None], n[None, :]) >= PERCENT * np.maximum(n[rows, None], n[None, :]))
-            if i != j:
-                near &= mine[rows, None] != mine[None, :]
-            x, y = np.nonzero(near)
-            for part in range(0, len(x), 1 << 16):
-                p, q = x[part : part + (1 << 16)] + at, y[part : part + (1 << 16)]
-                differ = (sig[p] != sig[q]).sum(1)
-                ok = differ <= DISTANCE
-                yield rep[p[ok]], rep[q[ok]], differ[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for group in _groups(batches):
+            open_rows = np.zeros(len(group["rep"]), bool)
+            for p, q in owned_pairs(group):
+                open_rows[p] = open_rows[q] = True
+            if open_rows.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group["key"][open_rows]), pa.array(group["rep"][open_rows])], ["key", "rep"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            group = pa.Table.from_batches(held).combine_chunks()
-            cols = {k: group.column(k).to_numpy() for k in ("rep", "c", "n", "mine")}
-            sig = _matrix(group.column("sig"))
-            for a, b, d in compare(cols["rep"], cols["c"], cols["n"], sig, cols["mine"], group.column("i")[0].as_py(), group.column("j")[0].as_py()):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int64))], ["a", "b", "differ"])
+    return spool(_blocked(named, keys, classes.select("rep", "n", "sig"), []).mapInArrow(run, "key long, rep long").distinct(), "unsettled")
 
-        last = None
+
+def full_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, set): the sorted 64-bit hashes of the shingles of each of ``reps(doc_id)``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            key, i, j = (b.column(k).to_numpy() for k in range(3))
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), b.num_rows]
-            for start, end in zip(cuts[:-1], cuts[1:]):
-                now = (key[start], i[start], j[start])
-                if held and now != last:
-                    yield from flush()
-                    held = []
-                held.append(b.slice(start, end - start))
-                last = now
-        if held:
-            yield from flush()
+            ids = b.column(0)
+            for row, end, hashes, offsets in shingle_sets(b.column(1)):
+                sets = [hashes[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:])]
+                yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(sets, pa.binary())], ["rep", "set"])
+
+    return spool(lookup_join(texts, reps, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "rep long, set binary"), "sets")
+
+
+def settled(named: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): confirmed links that join the components of ``named(key, rep, c)`` as all pairs that share a key would.
 
-    return spool(rows.mapInArrow(run, "a long, b long, differ long").distinct(), "across")
+    Pairs are compared in the blocks of their keys, on full sets, and a block only tells of links that join what it has
+    not joined yet; so what comes out grows with the classes, not with their pairs.
+    """
+    rows = unsettled(named, classes)
+    sets = full_sets(spool(rows.select(F.col("rep").alias("doc_id")).distinct(), "ends"), docs)
+    rows = rows.join(named.select("rep", "c").distinct(), "rep").select("key", "rep", "c")
+    sized = rows.join(classes.select("rep", "n"), "rep").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    keys = sized.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / SET_BLOCK)).cast("int").alias("blocks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            rep, c, sets = group["rep"], group["c"], group["set"]
+            parent: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while parent.get(x, x) != x:
+                    parent[x] = x = parent.get(parent[x], parent[x])
+                return x
+
+            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            codes = np.split(codes, np.cumsum([len(s) for s in sets])[:-1])
+            marked, found = np.zeros(len(values), np.int64), []
+            for p, q in owned_pairs(group):
+                for x, partners in zip(*_runs(p, q)):
+                    partners = [y for y in partners if find(c[x]) != find(c[y])]
+                    if not partners:
+                        continue
+                    marked[codes[x]] = 1
+                    for y in partners:
+                        common = int(marked[codes[y]].sum())
+                        if 100 * common >= PERCENT * (len(codes[x]) + len(codes[y]) - common) and find(c[x]) != find(c[y]):
+                            parent[find(c[x])] = find(c[y])
+                            found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                    marked[codes[x]] = 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return spool(_blocked(rows, keys, classes.select("rep", "n", "sig").join(sets, "rep"), ["set"]).mapInArrow(run, "a long, b long").distinct(), "settled")
+
+
+def _runs(p: np.ndarray, q: np.ndarray) -> tuple[list[int], list[list[int]]]:
+    """The rows of p, each once, and their partners in q; p is sorted."""
+    heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, int)
+    return p[heads].tolist(), [x.tolist() for x in np.split(q, heads[1:])] if len(p) else []
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,15 +307,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(best.select("a", "b"), docs)
     component = spool(connected_components(links).toDF("rep", "component"), "component")
 
-    open_pairs = across(hits, classes, component)
-    for last in (False, True):  # the best pair of each two components, then all that still matter
-        named = open_pairs.join(component.toDF("a", "ca"), "a", "left").join(component.toDF("b", "cb"), "b", "left")
-        named = named.select("a", "b", "differ", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        if not last:
-            best = named.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("differ", "a", "b")).alias("p"))
-            named = best.select("p.a", "p.b")
-        links = links.union(confirmed(named.select("a", "b"), docs))
-        component = spool(connected_components(links).toDF("rep", "component"), "component")
+    named = spool(hits.select("key", "rep").join(component, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "named")
+    links = links.union(settled(named, classes, docs))
+    component = spool(connected_components(links).toDF("rep", "component"), "component")
 
     fate = classes.select("p1", "p2", "rep").join(component, "rep", "left").select("p1", "p2", F.coalesce("component", "rep").alias("least"))
     judged = rows.select("doc_id", "n", "p1", "p2").join(fate, ["p1", "p2"], "left")

@@ -71,6 +71,7 @@ def test_components_are_those_of_all_pairs(spark, seed):
 def test_blocks_of_a_large_key(spark, monkeypatch):
     """Keys cut into several blocks lose no pair."""
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 400)
     rows = corpus(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_force(rows)
