@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     empty table gives an empty result; further columns pass
     through, but for n_lines and n_removed, which are replaced.
     """
-    lines = lines_of(docs)
+    lines = spool(lines_of(docs), "lines")  # hashes of lines, read three times; texts are split once
     bad = spool(boilerplate(lines, min_sites), "boilerplate").select("line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALT)).cast("int"))
     hits = spool(salted.join(bad, ["line", "salt"]).select("doc_id", "mark", "place", "line"), "hits")
