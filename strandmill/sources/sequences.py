@@ -93,3 +93,22 @@ def read_cores(spark: SparkSession, path: str, level: int | None = None) -> Data
     """Cores of a store, of one level or all."""
     found = spark.read.parquet(path)
     return found.where(F.col("level") == level) if level is not None else found
+
+
+def write_core_files(cores: DataFrame, genomes: DataFrame) -> None:
+    """Store each genome's cores in a folder of its own, the manifest's ``out_path``.
+
+    ``cores`` should be persisted or read from a store: it is filtered once for each genome.
+    """
+    for r in genomes.select("genome_idx", "out_path").where("out_path is not null").orderBy("genome_idx").collect():
+        cores.where(F.col("genome_idx") == r["genome_idx"]).drop("genome_idx").write.mode("overwrite").parquet(r["out_path"])
+
+
+def read_core_files(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail", level: int | None = None) -> DataFrame:
+    """Cores of genomes whose manifest lists a folder of cores for each, as write_core_files makes them."""
+    paths = _present(spark, manifest, on_missing)
+    if not paths:
+        return spark.createDataFrame([], "genome_idx int, record_idx long, start long, end long, label long, len int, level int")
+    raw = spark.read.parquet(*paths).select("*", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("path"))
+    found = _with_genome(raw, manifest.withColumn("in_path", F.regexp_replace("in_path", "/$", ""))).drop("path", "_file")
+    return found.where(F.col("level") == level) if level is not None else found

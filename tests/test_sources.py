@@ -71,6 +71,22 @@ def test_matrix_text(spark, tmp_path):
     assert phylip.file_name("gc", "set", "jaccard", 4) == "gc.set.jaccard.lvl4.phy"
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from strandmill.__main__ import main
+
+    text = ["ACCTGACCATTGCAGGTCCATTACG" * 4, "ACCTGACCATTGCAGGTCCATTACG" * 3 + "TTGGA", "TTGACCGATACCAGTGGGCATTCCA" * 4]
+    files = [write(tmp_path / f"{k}.fq", f"@r\n{x}\n+\n{'I' * len(x)}\n") for k, x in enumerate(text)]
+    paths, names, prefix = write(tmp_path / "g.txt", "\n".join(files)), write(tmp_path / "n.txt", "a\nb\nc"), str(tmp_path / "x")
+    main(["fq", "-i", paths, "-s", names, "-p", prefix, "-l", "1", "--vec", "--min-cc", "1"])
+    assert f"{prefix}.vec.jc.lvl1.phy" in capsys.readouterr().out
+    main(["tree", f"{prefix}.vec.dice.lvl1.phy", "--upgma", "--normalize"])
+    tree = capsys.readouterr().out
+    assert tree.startswith("((a:") and (tmp_path / "x.vec.dice.lvl1.upgma.newick").read_text() == tree
+    for bad in (["fq"], ["tree", "x.txt"], ["fa", "-i", paths, "-l", "0"], ["fa", "-i", paths, "--min-cc", "-3"]):
+        with pytest.raises((SystemExit, ValueError)):
+            main(bad)
+
+
 def test_end_to_end(spark, tmp_path):
     import random
 
@@ -84,6 +100,10 @@ def test_end_to_end(spark, tmp_path):
     assert first[0, 1] < min(v for k, v in first.items() if k != (0, 1))
     again = compare.from_cores(spark, run)
     assert {(r["i"], r["j"]): r["jaccard"] for r in again.distances.collect()} == first
+    outputs = write(tmp_path / "o.txt", "\n".join(str(tmp_path / f"cores{k}") for k in range(4)))
+    compare.from_fasta(spark, compare.Run(run.paths, level=2, outputs=outputs))
+    listed = compare.from_cores(spark, compare.Run(outputs, level=2))
+    assert {(r["i"], r["j"]): r["jaccard"] for r in listed.distances.collect()} == first
     out = done.write()
     assert out[1].endswith("gc.set.jaccard.lvl2.phy")
     for method in ("nj", "upgma"):
