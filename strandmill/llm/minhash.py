@@ -204,7 +204,9 @@ def _blocked(rows: DataFrame, keys: DataFrame, more: DataFrame, columns: list[st
     rows = rows.join(keys, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
-    dealt = rows.join(more, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c", "rep")
+    # A fixed number of partitions, as comparing takes far longer than the bytes of a partition suggest.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(more, "rep").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "c", "rep")
     return dealt.select("key", "i", "j", "mine", "rep", "c", "n", "sig", *columns)
 
 
