@@ -22,7 +22,7 @@ import array
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,30 @@ from .common import fresh_path, lookup_join, spool
 
 LENGTH, WINDOW, END = 2048, 64 * 2048, 1
 #: Most sources whose shares are controlled, and most entries of a task's word cache before it starts anew.
-MOST_SOURCES, MOST_CACHED = 10_000, 400_000
+MOST_SOURCES, MOST_CACHED = 10_000, 600_000
 #: A single space between two visible characters: pieces of text on either side are tokenised alike apart or together.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _OtherSpace(Exception):
+    """A part of a text is empty or has white space at an end, so the text has more than single spaces between words."""
+
+
+class _Parts(dict):
+    """Ids of ``" part"`` by part, encoded when they are first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _OtherSpace
+        if len(self) >= MOST_CACHED:
+            self.clear()
+        ids = self[part] = self.encode(" " + part)
+        return ids
+
+
 class WordTokenizer:
     """Ids of a byte-level BPE by way of a cache of words.
 
@@ -61,7 +80,7 @@ class WordTokenizer:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
+        self.parts = _Parts(self.encode)
 
     def encode(self, text: str) -> bytes:
         """Ids of one string, as they lie in memory."""
@@ -75,19 +94,12 @@ class WordTokenizer:
         if not text:
             return b""
         head, *rest = text.split(" ")
-        cache = self.cache
+        if not head or head[-1].isspace():
+            return self._whole(text)
         try:
-            return self.encode(head) + b"".join(map(cache.__getitem__, rest)) if head and not head[-1].isspace() else self._whole(text)
-        except KeyError:
-            pass
-        if len(cache) > MOST_CACHED:
-            cache.clear()
-        for part in rest:
-            if part not in cache:
-                if not part or part[0].isspace() or part[-1].isspace():
-                    return self._whole(text)
-                cache[part] = self.encode(" " + part)
-        return self.encode(head) + b"".join(map(cache.__getitem__, rest))
+            return self.encode(head) + b"".join(map(self.parts.__getitem__, rest))
+        except _OtherSpace:
+            return self._whole(text)
 
     def _whole(self, text: str) -> bytes:
         """For texts with other white space: cut only where it is safe."""
