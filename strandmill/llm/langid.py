@@ -77,7 +77,7 @@ def fit(docs: DataFrame, train: Column) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), ngrams.packed(_counted(b.column("text")))], ["id", "lang", "counts"])
 
     got = sorted(sample.mapInArrow(count, "id string, lang string, counts binary").collect(), key=lambda r: (r["lang"], r["id"] or "", r["counts"]))
-    counts, lang = ngrams.unpacked([r["counts"] for r in got]), np.array([r["lang"] for r in got])
+    counts, lang = ngrams.unpacked((r["counts"] for r in got), len(got)), np.array([r["lang"] for r in got])
     idf = ngrams.idf_of(counts)
     x = ngrams.tfidf(counts, idf)
     names = sorted(set(lang.tolist()))

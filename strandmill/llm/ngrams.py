@@ -5,7 +5,8 @@ Counts cover whole texts; memory is bounded by BLOCK bytes of text at a time, wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +59,16 @@ def counts_of(data: np.ndarray, offsets: np.ndarray, n: int, table: np.ndarray)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1; zero rows stay."""
+    """Rows scaled to length 1, in place; zero rows stay."""
     length = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    return x / np.where(length > 0, length, 1)
+    x /= np.where(length > 0, length, 1)
+    return x
 
 
 def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return unit(np.log1p(counts) * idf)
+    x = np.log1p(counts)
+    x *= idf
+    return unit(x)
 
 
 def idf_of(counts: np.ndarray) -> np.ndarray:
@@ -72,9 +76,12 @@ def idf_of(counts: np.ndarray) -> np.ndarray:
 
 
 def packed(blocks: Iterator[np.ndarray]) -> pa.Array:
-    """Rows of counts as little-endian float32 bytes, for a bounded training sample."""
-    return pa.array([x.astype("<f4").tobytes() for block in blocks for x in block], pa.binary())
+    """Rows of counts as compressed little-endian float32, for a bounded training sample; most counts are 0."""
+    return pa.array([zlib.compress(x.astype("<f4").tobytes(), 1) for block in blocks for x in block], pa.binary())
 
 
-def unpacked(rows: list[bytes], width: int = BUCKETS) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<f4") for x in rows]) if rows else np.zeros((0, width), np.float32)
+def unpacked(rows: Iterable[bytes], n: int, width: int = BUCKETS) -> np.ndarray:
+    out = np.zeros((n, width), np.float32)
+    for k, x in enumerate(rows):
+        out[k] = np.frombuffer(zlib.decompress(x), "<f4")
+    return out

@@ -91,10 +91,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Fit on the bounded sample. Without labelled rows the model votes 0.5 for everything."""
     rows, shares = labelled_sample(docs, labels, per_label)
-    counts, y = ngrams.unpacked([r["counts"] for r in rows], TERMS), np.array([r["q"] for r in rows], np.float32)
+    counts, y = ngrams.unpacked((r["counts"] for r in rows), len(rows), TERMS), np.array([r["q"] for r in rows], np.float32)
     idf = ngrams.idf_of(counts)
     idf[-1] *= REPEATS
     x = ngrams.tfidf(counts, idf)
+    del counts
     axes = latent_axes(x, DIMENSIONS) if len(x) else np.zeros((TERMS, 1), np.float32)
     held = {q: max(1, int((y == q).sum())) for q in (0, 1)}
     weights = np.where(y == 1, shares.get(1, 0) / held[1], shares.get(0, 0) / held[0]).astype(np.float32)
