@@ -34,10 +34,11 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (
 BUCKET_DIGITS = 3
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the queue order ``h`` of every row; the only pass over the texts."""
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, the queue order ``h`` of every row and the columns ``carry``; the only pass over the texts."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", words.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")
+    return docs.select("doc_id", "source", words.alias("size"), h, F.xxhash64("text").alias("mark"), *carry)
 
 
 def source_targets(sums: DataFrame, weights: tuple[float, ...] = WEIGHTS, demand: float = DEMAND, repeat_cap: float = REPEAT_CAP) -> DataFrame:
@@ -87,7 +88,7 @@ def position_of(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return F.round(F.least(position, F.lit(1.0)), 9)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeat_cap: float = REPEAT_CAP, schedules=SCHEDULES, in_order: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeat_cap: float = REPEAT_CAP, schedules=SCHEDULES, in_order: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Plan the mix of ``docs(doc_id, source, text)``: doc_id, source, size, source_size, target, taken, position.
 
     ``taken`` is the number of words the mix takes of the document, repeats counted: a whole multiple
@@ -96,10 +97,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeat_cap: fl
 
     Null text has size 0 and null source is a source, ranked last. Documents without words take 0.
     Repeated rows are separate documents; which of two equal rows is read first does not show. Order
-    depends on ids and sizes alone, so reruns agree. An empty table gives an empty result; if nothing
-    has words, all targets are 0. Other columns are ignored.
+    depends on ids, sizes and texts alone, so reruns agree. An empty table gives an empty result; if nothing
+    has words, all targets are 0. Columns named in ``carry`` come along, the others are ignored.
     """
-    rows = spool(sized(docs).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)), "sizes")
+    rows = spool(sized(docs, carry).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)), "sizes")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     sums = buckets.groupBy("source").agg(F.sum("held").alias("source_size"))
     targets = source_targets(sums, weights, demand, repeat_cap)
@@ -108,14 +109,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeat_cap: fl
     plan = starts.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "held")
     plan = plan.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "before", "source_size", "rank", "target")
 
-    within = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id"), "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("earlier", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
     at, goal, whole = F.col("before") + F.col("earlier"), F.floor("target"), F.greatest("source_size", F.lit(1))
     rounds = F.floor(goal / whole).cast("long")
     taken = (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), goal - rounds * F.col("source_size") - at))).cast("long")
     share = at / F.greatest(F.col("target"), F.lit(1.0))
-    out = placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, position_of(share, F.col("rank"), schedules)).alias("position"))
+    out = placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, position_of(share, F.col("rank"), schedules)).alias("position"), *carry)
     if in_order:
         out = out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
     return out
@@ -124,13 +125,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeat_cap: fl
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of ``docs`` in training order, each as often as the plan takes it (``taken``
     over ``size``, rounded, so only the one document of a source that the plan cuts differs). Documents
-    without words stay once, at the end. Columns are those of ``docs``."""
-    plan = mix(docs, in_order=False, **how).groupBy("doc_id").agg(F.max("size").alias("__sm_size"), F.max("taken").alias("__sm_taken"), F.min("position").alias("__sm_position"))
-    plan = plan.withColumnRenamed("doc_id", "__sm_id")
-    times = F.when(F.col("__sm_size") > 0, F.round(F.col("__sm_taken") / F.col("__sm_size"))).otherwise(F.lit(1)).cast("int")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__sm_id"))).withColumn("__sm_times", times).where("__sm_times > 0")
+    without words stay once, at the end. Columns are those of ``docs``. Rows are numbered and written
+    first, so that each is repeated by its own plan, whatever ids they share or lack."""
+    numbered = spool(docs.withColumn("__sm_row", F.monotonically_increasing_id()), "numbered")
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
+    plan = mix(numbered, in_order=False, carry=("__sm_row",), **how).select("__sm_row", times.alias("__sm_times"), F.col("position").alias("__sm_position"))
+    joined = numbered.join(plan.where("__sm_times > 0"), "__sm_row")
     copies = joined.withColumn("__sm_copy", F.explode(F.sequence(F.lit(1), F.col("__sm_times"))))
-    return copies.repartitionByRange(F.col("__sm_position").asc_nulls_last(), F.col("doc_id"), F.col("__sm_copy")).sortWithinPartitions(F.col("__sm_position").asc_nulls_last(), "doc_id").select(*docs.columns)
+    place = [F.col("__sm_position").asc_nulls_last(), F.col("doc_id"), F.col("__sm_row")]
+    return copies.repartitionByRange(*place, F.col("__sm_copy")).sortWithinPartitions(*place).select(*docs.columns)
 
 
 def oracle() -> str:

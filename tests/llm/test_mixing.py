@@ -62,3 +62,17 @@ def test_documents_are_taken_as_planned(spark):
     plan = {r["doc_id"]: round(r["taken"] / r["size"]) for r in mixing.mix(docs).collect()}
     got = mixing.mix_documents(docs).collect()
     assert {k: sum(r["doc_id"] == k for r in got) for k in plan} == plan
+
+
+def test_rows_with_null_or_shared_ids_go_by_their_own_plan(spark):
+    rng = random.Random(5)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"t{k} " + "w " * rng.choice([0, 2, 9, 60, 400]), "abcdef"[min(5, int(rng.expovariate(0.6)))]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(docs).collect()
+    got = [tuple(r) for r in mixing.mix_documents(docs).collect()]
+    assert set(got) <= set(rows) and max(map(got.count, got)) <= 2
+    for source in {s for _, _, s in rows}:
+        mine = [r for r in plan if r["source"] == source]
+        words = sum(len(t.split()) for _, t, s in got if s == source)
+        assert abs(words - mine[0]["target"]) <= max(r["size"] for r in mine)
+        assert sum(s == source for _, _, s in got) == sum(round(r["taken"] / r["size"]) for r in mine)
