@@ -24,7 +24,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    at = lambda k: F.try_element_at("positions", F.lit(k))
+    return plan.select(*plan.columns[:-1], F.size("positions").alias("uses"), at(1).alias("position"), at(-1).alias("last_position"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_mixing(docs):
     assert {r["doc_id"] for r in got if r["size"] == 0} == {2, 3, 5}
     assert mixing.mix(docs.limit(0)).count() == 0
     blank = mixing.mix(docs.where("doc_id in (2, 3, 5)"))
-    assert {(r["target"], r["taken"], r["position"]) for r in rows_of(blank)} == {(0, 0, None)}
+    assert {(r["target"], r["taken"], len(r["positions"])) for r in rows_of(blank)} == {(0, 0, 0)}
     copies = mixing.mix_documents(docs)
     assert copies.columns == docs.columns and copies.where("doc_id = 3").count() == 1
     assert mixing.mix_documents(docs.limit(0)).count() == 0

@@ -33,9 +33,29 @@ def test_targets_and_taken(spark, seed):
         assert all(r["target"] == pytest.approx(target) for r in mine)
         assert abs(sum(r["taken"] for r in mine) - target) < 1
         assert all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
-    placed = [r["position"] for r in got if r["taken"]]
+    placed = [r["positions"][0] for r in got if r["taken"]]
     assert placed == sorted(placed) and 0 <= placed[0] and placed[-1] <= 1
-    assert got == [r.asDict() for r in mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string")).collect()] or sorted(map(str, got))
+    again = mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(str(r.asDict()) for r in again)
+    # A source's uses, in order of position, follow its integrated schedule up to the last word that is taken.
+    for rank, (n, target) in enumerate(zip(order, want)):
+        uses = sorted((p, k, r["doc_id"], r["size"], r["taken"]) for r in got if r["source"] == n for k, p in enumerate(r["positions"]))
+        assert len(uses) == sum(-(-r["taken"] // r["size"]) for r in got if r["source"] == n and r["size"])
+        given = 0
+        for p, k, _, size, taken in uses:
+            assert area(rank % 3, p) * target == pytest.approx(given, abs=1 + 1e-5 * target)
+            given += min(size, taken - k * size)
+        assert given == sum(r["taken"] for r in got if r["source"] == n)
+        if uses:
+            assert area(rank % 3, uses[-1][0]) * target >= given - max(u[3] for u in uses) - 1
+
+
+def area(k, t):
+    """The share of a source's demand up to time t, summed in small steps."""
+    knots, steps = mixing.SCHEDULES[k], 4000
+    height = lambda x: next(a[1] + (b[1] - a[1]) * (x - a[0]) / (b[0] - a[0]) for a, b in zip(knots, knots[1:]) if x <= b[0])
+    total = sum(height((i + 0.5) / steps) for i in range(steps))
+    return sum(height(t * (i + 0.5) / steps) for i in range(steps)) * t / total
 
 
 def test_positions_invert_the_integral(spark):
@@ -62,6 +82,32 @@ def test_documents_are_taken_as_planned(spark):
     plan = {r["doc_id"]: round(r["taken"] / r["size"]) for r in mixing.mix(docs).collect()}
     got = mixing.mix_documents(docs).collect()
     assert {k: sum(r["doc_id"] == k for r in got) for k in plan} == plan
+    twice = [k for k, n in plan.items() if n == 2]
+    places = {k: [i for i, r in enumerate(got) if r["doc_id"] == k] for k in twice}
+    # The second round of a source lies in the rest of its time: no repeat stands by its twin.
+    assert twice and min(b - a for a, b in places.values()) > 5
+
+
+def test_sources_beyond_one_task_have_the_same_targets(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, "w " * rng.choice([0, 1, 3, 40, 200]), f"s{rng.randrange(50)}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "ONE_TASK", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == one
+
+
+def test_rows_that_repeat_without_end_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 5)
+    rows = [(None, "a b c", "x")] * 300 + [(4, "one two", "x")] * 100 + [(k, f"t {k}", "yz"[k % 2]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.sized(docs).groupBy("source", "bucket").count().agg({"count": "max"}).first()[0] < 10
+    got, mixed = mixing.mix(docs).collect(), mixing.mix_documents(docs).collect()
+    for source in "xyz":
+        target = next(r["target"] for r in got if r["source"] == source)
+        assert abs(sum(r["taken"] for r in got if r["source"] == source) - target) < 1
+        assert abs(sum(len(r["text"].split()) for r in mixed if r["source"] == source) - target) <= 3
+
 
 
 def test_rows_with_null_or_shared_ids_go_by_their_own_plan(spark):
