@@ -35,7 +35,8 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def spool(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, so a lost
-    executor costs a reread rather than a recomputation, and rows keep their order and identity."""
+    executor costs a reread rather than a recomputation, and rows keep their identity. Their order is that of the files' numbers and of the rows in each
+    file; Spark reads large files first, so whoever needs the order takes it from there (see packing.in_file_order)."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -63,8 +63,12 @@ def tokenizer_files() -> dict[str, str]:
     return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+#: Target token proportions of the sources by code point, in turn.
+PACKING_WEIGHTS = (3.0, 1.0, 2.0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files()).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files(), weights=PACKING_WEIGHTS).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op7_packing, op8_minhash, op9_topk, op10_html)}

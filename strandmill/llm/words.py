@@ -16,10 +16,10 @@ _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _SEED = 20240607
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, size: int = BLOCK, rows: int = MOST_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in them) of a string column; null counts as empty.
 
-    A block has up to BLOCK bytes and MOST_ROWS rows, or one longer row.
+    A block has up to ``size`` bytes and ``rows`` rows, or one longer row.
     """
     if not len(column):
         return
@@ -31,8 +31,8 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1)
-        end = min(end, row + MOST_ROWS, len(column))
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+        end = min(end, row + rows, len(column))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 

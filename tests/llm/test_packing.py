@@ -1,8 +1,9 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,9 +15,7 @@ from strandmill.llm.queries import tokenizer_files
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(tokenizer_files()["tokenizer_path"])
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_files()["tokenizer_path"])
 
 
 @pytest.fixture(scope="module")
@@ -24,17 +23,48 @@ def words():
     return packing.WordTokenizer(*tokenizer_files().values())
 
 
-@settings(max_examples=400, deadline=None)
-@given(text=st.text(st.sampled_from(list("ab Z9'.,!é\n\t\r\u00a0\u3000\x1c\x85ñßǅʹ中😀\u0301<|>")), max_size=40))
+def of(words, text):
+    return np.frombuffer(words(text), words.dtype).tolist()
+
+
+PIECES = [*"ab Z9'.,!é\n\t\r\u00a0\u3000\x1c\x85ñßǅʹ中😀\u0301<|>", " ", " ", "<|endoftext|>", "word", "  "]
+
+
+@settings(max_examples=500, deadline=None)
+@given(text=st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
 def test_ids_are_those_of_the_tokenizer(plain, words, text):
-    assert np.frombuffer(words(text), words.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert of(words, text) == plain.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(max_size=60))
 def test_ids_of_any_text(plain, words, text):
     text = text.encode("utf-8", "replace").decode()
-    assert np.frombuffer(words(text), words.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert of(words, text) == plain.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=80, deadline=None)
+@given(texts=st.lists(st.none() | st.lists(st.sampled_from(PIECES), max_size=30).map("".join), max_size=12), piece=st.sampled_from([5, 40, 1000]))
+def test_blocks_of_documents(plain, words, texts, piece):
+    """Documents of a block, and long ones cut into pieces, have the ids that each has alone."""
+    had, packing.PIECE = packing.PIECE, piece
+    try:
+        got = []
+        for row, end, ids, sizes in words.documents(pa.array(texts, pa.string())):
+            assert end - row == len(sizes) and len(ids) == sum(sizes)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    finally:
+        packing.PIECE = had
+
+
+def test_the_cache_starts_anew(plain, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_CACHED", 10)
+    words, rng = packing.WordTokenizer(*tokenizer_files().values()), random.Random(1)
+    for _ in range(20):
+        text = " ".join(f"w{rng.randrange(50)}" for _ in range(30))
+        assert of(words, text) == plain.encode(text, add_special_tokens=False).ids
+    assert len(words.parts) <= 60
 
 
 @settings(max_examples=60, deadline=None)
@@ -72,19 +102,90 @@ def test_given_shares_hold_until_a_queue_is_dry():
         packing.Rounds([10, 5], [1.0, 0.0])
 
 
-def test_pieces_hold_the_documents(spark, plain):
-    rng = random.Random(2)
-    rows = [(k, " ".join(f"tok{rng.randrange(999)}" for _ in range(rng.choice([0, 3, 50, 4000]))), rng.choice(["a", "a", "a", "b", None])) for k in range(120)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), **tokenizer_files(), window=4096).collect()
-    by_doc, by_seq = defaultdict(list), defaultdict(int)
+def test_stretches_are_followed():
+    """Window by window, what is served is what the input has in that stretch of its order."""
+    stretches = np.array([[900, 100], [0, 1000], [500, 500]])
+    rounds = packing.Rounds([1400, 1600], None, 100, stretches)
+    served = np.array([rounds.served(w)[0] for w in range(31)])
+    assert served[10].tolist() == [900, 100] and served[20].tolist() == [900, 1100] and served[30].tolist() == [1400, 1600]
+    assert (abs(np.diff(served, axis=0)[:10] - [90, 10]) <= 1).all()
+    taken = set()
+    for source, total in enumerate([1400, 1600]):
+        for start, size, sequence, offset, _ in rounds.pieces(source, 0, total, 64):
+            taken |= set(range(sequence * 64 + offset, sequence * 64 + offset + size))
+    assert taken == set(range(3000))
+
+
+def documents(spark, rows, parts=5):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+
+
+def assert_packed(got, rows, plain):
+    """Every id lies in exactly one piece, and sequences are full but for the last."""
+    by_doc, spans = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r["doc_id"]].append(r)
-        by_seq[r["sequence_id"]] += r["length"]
+        spans[r["sequence_id"]].append((r["offset"], r["length"]))
     for doc_id, text, _ in rows:
-        ids, at = np.array(plain.encode(text, add_special_tokens=False).ids + [1], "<u4"), 0
+        ids, at = np.array(plain.encode(text or "", add_special_tokens=False).ids + [1], "<u4"), 0
         for r in sorted(by_doc[doc_id], key=lambda r: r["start"]):
             part = ids[at : at + r["length"]].tobytes()
             assert (r["start"], r["doc_tokens"], r["ids_crc32"], bytes(r["ids"])) == (at, len(ids), zlib.crc32(part), part)
             at += r["length"]
         assert at == len(ids)
-    assert sorted(by_seq) == list(range(len(by_seq))) and sum(v < 2048 for v in by_seq.values()) <= 1
+    assert sorted(spans) == list(range(len(spans)))
+    for s, found in spans.items():
+        at = 0
+        for offset, size in sorted(found):
+            assert offset == at
+            at += size
+        assert at == 2048 or s == len(spans) - 1
+
+
+def corpus(seed, sources):
+    rng = random.Random(seed)
+    return [(k, " ".join(f"tok{rng.randrange(999)}" for _ in range(rng.choice([0, 3, 50, 4000]))) + rng.choice(["", " <|endoftext|> x", "\n"]), rng.choice(sources)) for k in range(120)]
+
+
+@pytest.mark.parametrize("how", [{}, {"window": 4096}, {"weights": (3.0, 1.0, 2.0)}, {"shares": {"a": 1.0, "b": 5.0, None: 2.0}}, {"follow": True}])
+def test_pieces_hold_the_documents(spark, plain, how):
+    rows = corpus(2, ["a", "a", "a", "b", None])
+    assert_packed(packing.pack(documents(spark, rows), **tokenizer_files(), **how).collect(), rows, plain)
+
+
+def test_windows_have_the_given_proportions(spark):
+    rows = [(k, "word " * 3000, "abc"[k % 3]) for k in range(60)]
+    got = packing.pack(documents(spark, rows), **tokenizer_files(), weights=(3.0, 1.0, 2.0)).collect()
+    source = {k: s for k, _, s in rows}
+    for window in range(5):
+        held = Counter()
+        for r in got:
+            if r["window"] == window:
+                held[source[r["doc_id"]]] += r["length"]
+        total = sum(held.values())
+        assert all(abs(held[s] / total - w / 6) < 0.01 for s, w in zip("abc", (3, 1, 2)))
+    with pytest.raises(ValueError):
+        packing.pack(documents(spark, rows), **tokenizer_files(), shares={"a": 1.0})
+
+
+def test_more_sources_than_queues(spark, plain, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_SOURCES", 4)
+    monkeypatch.setattr(packing, "FOLDED", 3)
+    rows = corpus(5, [f"s{k}" for k in range(20)] + [None])
+    for how in ({}, {"weights": (2.0, 1.0)}, {"follow": True}):
+        assert_packed(packing.pack(documents(spark, rows), **tokenizer_files(), **how).collect(), rows, plain)
+
+
+def test_files_are_packed_in_the_order_they_were_written(spark, tmp_path):
+    """Files of unlike sizes, which Spark reads largest first: each source's documents follow each other as written."""
+    rows = [(k, "w " * (3000 if k in (40, 41) else 5 + k % 30), "ab"[k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert docs.rdd.getNumPartitions() > 1 or [r["doc_id"] for r in docs.collect()] != list(range(60))
+    for how in ({}, {"follow": True}):
+        got = packing.pack(docs, **tokenizer_files(), **how).collect()
+        for source in (0, 1):
+            mine = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in got if r["doc_id"] % 2 == source)
+            order = list(dict.fromkeys(d for _, _, d in mine))
+            assert order == sorted(order)
