@@ -14,15 +14,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import ngrams
 from .words import text_blocks
 
-#: Texts for each language that centroids are fitted on, about; centroids of a language; most languages.
-PER_LANGUAGE, CENTROIDS, MOST_LANGUAGES = 600, 6, 500
+#: Texts for each language that centroids are fitted on, at most; centroids of a language; most languages that are learned.
+PER_LANGUAGE, CENTROIDS, MOST_LANGUAGES = 600, 6, 256
+#: Texts that centroids are fitted on in all, if languages are so many that each gets less than PER_LANGUAGE.
+LEARNED = 6000
 #: A text is rejected below this quantile of the training texts' own best cosines, taken by half.
 REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.5
 GRAM = 3
@@ -46,8 +48,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) ->
         own = (x @ centres.T).argmax(1)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
-        full = np.bincount(own, minlength=k) > 0
-        centres = ngrams.unit(sums[full])
+        size = np.bincount(own, minlength=k)[:, None]
+        centres = ngrams.unit(sums[size[:, 0] > 0] / size[size > 0][:, None] / ngrams.ONE * 16)
         k = len(centres)
     return centres
 
@@ -56,21 +58,26 @@ def _counted(column: pa.Array) -> Iterator[np.ndarray]:
     return (ngrams.counts_of(data, offsets, GRAM, ngrams.letters()) for _, _, data, offsets in text_blocks(column))
 
 
-def fit(docs: DataFrame, train: Column) -> Model:
+def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> Model:
     """Fit on rows of ``docs(doc_id, text, lang)`` for which ``train`` holds and lang and text are not null.
 
-    The sample of a language is bounded in expectation by PER_LANGUAGE and chosen by a hash of the id, so
-    reruns agree.
+    At most ``per_language`` (and LEARNED over all languages) different (id, text) pairs of a language are learned from, those with the smallest hashes, so reruns agree and
+    rows that repeat count once; and of more than ``most`` languages those of most rows.
     """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    order = F.xxhash64(F.col("doc_id"), "text", F.lit("langid"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(order).alias("pairs")).orderBy(F.desc("n"), "lang").limit(most).collect()
     if not sizes:
-        return Model(np.ones(ngrams.BUCKETS, np.float32), np.zeros((0, ngrams.BUCKETS), np.float32), [], np.zeros(0, int), 0.0)
-    rate = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(share < rate[F.col("lang")]).select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
+        return Model(np.ones(ngrams.BUCKETS, np.float32), np.zeros((0, ngrams.BUCKETS)), [], np.zeros(0, int), 0.0)
+    per_language = max(1, min(per_language, LEARNED // len(sizes)))
+    # Thinned to a few times what is learned from before hashes are ranked, and ranked before texts are read.
+    rate = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, (2.0 * per_language + 40) / max(1, r["pairs"])))])
+    thinned = rows.where(F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20)) < rate[F.col("lang")])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 20)), "order"))
+    picked = thinned.select("lang", order.alias("order")).distinct().withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
+    # At most per_language rows of at most ``most`` languages: bounded by parameters, so broadcast.
+    texts = thinned.withColumn("order", order).join(F.broadcast(picked), ["lang", "order"])
+    sample = texts.groupBy("lang", "order").agg(F.min("text").alias("text")).select(F.col("order").cast("string").alias("id"), "lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,9 +89,9 @@ def fit(docs: DataFrame, train: Column) -> Model:
     x = ngrams.tfidf(counts, idf)
     names = sorted(set(lang.tolist()))
     sets = [spherical_kmeans(x[lang == name], CENTROIDS) for name in names]
-    centroids = np.concatenate(sets).astype(np.float32) if sets else np.zeros((0, ngrams.BUCKETS), np.float32)
+    centroids = np.concatenate(sets) if sets else np.zeros((0, ngrams.BUCKETS))
     owner = np.repeat(np.arange(len(names)), [len(s) for s in sets])
-    best = (x @ centroids.T).max(1) if len(x) and len(centroids) else np.zeros(1)
+    best = ngrams.cosines(x, centroids).max(1) if len(x) and len(centroids) else np.zeros(1)
     return Model(idf, centroids, names, owner, float(np.quantile(best, REJECT_QUANTILE)) * REJECT_SHARE)
 
 
@@ -92,7 +99,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     """The columns ``carry`` of ``docs`` (default: all) with lang_pred, score (the best cosine, 0 to 1) and rejected.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Whole texts
-    count; equal texts get equal results, ties go to the language first in code point order. A
+    count; equal texts get equal results in any batch, ties go to the language first in code point order. A
     column of ``docs`` that has one of the new names is replaced. An empty table gives an empty result.
     """
     new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
@@ -108,7 +115,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
             for row, end, data, offsets in text_blocks(text):
                 counts = ngrams.counts_of(data, offsets, GRAM, ngrams.letters())
                 if len(m.centroids):
-                    cosine = np.round(ngrams.tfidf(counts, m.idf) @ m.centroids.T, 6)
+                    cosine = ngrams.cosines(ngrams.tfidf(counts, m.idf), m.centroids)
                     which[row:end] = m.owner[cosine.argmax(1)]
                     best[row:end] = cosine.max(1)
             known = lettered & (len(m.languages) > 0)

@@ -58,11 +58,26 @@ def counts_of(data: np.ndarray, offsets: np.ndarray, n: int, table: np.ndarray)
     return np.bincount(at, minlength=rows * BUCKETS).reshape(rows, BUCKETS).astype(np.float32)
 
 
+#: Vectors of length 1 are kept as whole numbers of this unit, in doubles: their products and sums of products are then exact, so a row's
+#: result does not depend on which other rows are worked on with it.
+ONE = float(1 << 20)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1, in place; zero rows stay."""
-    length = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    x /= np.where(length > 0, length, 1)
-    return x
+    """Rows scaled to length ONE and rounded to whole numbers, as doubles; zero rows stay. Components are rounded to 2**-12 first, so that
+    lengths are sums of whole numbers."""
+    y = np.array(x, np.float64)
+    y *= 4096.0
+    np.rint(y, out=y)
+    length = np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
+    y *= ONE
+    y /= np.where(length > 0, length, 1)
+    return np.rint(y, out=y)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of the rows of two matrices of unit rows: exact before the one division."""
+    return (x @ y.T) / (ONE * ONE)
 
 
 def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

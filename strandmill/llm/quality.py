@@ -54,13 +54,18 @@ def counted(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def latent_axes(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
-    """The k leading right singular vectors of x, by randomised subspace iteration."""
+    """The k leading right singular vectors of x, by randomised subspace iteration, in whole numbers of ngrams.ONE."""
     rng = np.random.default_rng(seed)
     k = min(k, *x.shape)
-    q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], min(k + 16, *x.shape)), np.float32))[0]
+    q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], min(k + 16, *x.shape))))[0]
     for _ in range(4):
         q = np.linalg.qr(x @ (x.T @ q))[0]
-    return np.linalg.svd(q.T @ x, full_matrices=False)[2][:k].T.astype(np.float32).copy()
+    return np.rint(np.linalg.svd(q.T @ x, full_matrices=False)[2][:k].T * ngrams.ONE)
+
+
+def latent(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit rows projected to the axes, scaled to length 1; exact up to rounding row by row."""
+    return ngrams.unit((x @ axes) / (ngrams.ONE * ngrams.ONE) * 256.0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[list, dict[int, int]]:
@@ -96,18 +101,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     idf[-1] *= REPEATS
     x = ngrams.tfidf(counts, idf)
     del counts
-    axes = latent_axes(x, DIMENSIONS) if len(x) else np.zeros((TERMS, 1), np.float32)
+    axes = latent_axes(x, DIMENSIONS) if len(x) else np.zeros((TERMS, 1))
     held = {q: max(1, int((y == q).sum())) for q in (0, 1)}
     weights = np.where(y == 1, shares.get(1, 0) / held[1], shares.get(0, 0) / held[0]).astype(np.float32)
     total = sum(shares.values())
-    return Model(idf, axes, ngrams.unit(x @ axes), y, weights, shares.get(1, 0) / total if total else 0.5)
+    return Model(idf, axes, latent(x, axes), y, weights, shares.get(1, 0) / total if total else 0.5)
 
 
 def vote(model: Model, z: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """The share of label 1 among the nearest labelled vectors of each row, weighted by cosine."""
     if not len(model.vectors):
         return np.full(len(z), model.prior)
-    cosine = z @ model.vectors.T
+    cosine = ngrams.cosines(z, model.vectors)
     k = min(neighbours, cosine.shape[1])
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
     weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** POWER * model.weights[near]
@@ -119,7 +124,7 @@ def score_quality(docs: DataFrame, model: Model, carry: list[str] | None = None)
     """The columns ``carry`` of ``docs`` (default: all) with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from 0.5).
 
     The whole text is scored; nothing else of a row is. A null or empty text has no vector and gets
-    label 1's share of the labelled rows. Equal texts get equal scores, repeated rows a result each. A
+    label 1's share of the labelled rows. Equal texts get equal scores in any batch, repeated rows a result each. A
     column of ``docs`` that has one of the new names is replaced. An empty table gives an empty result.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
@@ -131,7 +136,7 @@ def score_quality(docs: DataFrame, model: Model, carry: list[str] | None = None)
         for b in batches:
             scores = np.empty(b.num_rows)
             for row, end, counts in counted(b.column("text")):
-                scores[row:end] = vote(m, ngrams.unit(ngrams.tfidf(counts, m.idf) @ m.axes))
+                scores[row:end] = vote(m, latent(ngrams.tfidf(counts, m.idf), m.axes))
                 scores[row:end][counts.sum(1) == 0] = m.prior
             scores = np.clip(np.round(scores, 6), 0, 1)
             yield pa.RecordBatch.from_arrays([*map(b.column, carry), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*carry, "score", "predicted"])

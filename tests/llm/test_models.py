@@ -1,9 +1,16 @@
 """Held-out accuracy of the fitted models, and their parts."""
 
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from strandmill.llm import ngrams, quality
+from strandmill.llm import common, langid, ngrams, quality
 from strandmill.llm.queries import QUERIES
 from strandmill.llm.words import text_blocks
 from strandmill.session import table
@@ -45,11 +52,104 @@ def test_repeated_words_count_within_a_row():
 
 def test_vote_is_exact():
     rng = np.random.default_rng(3)
-    vectors, z = (ngrams.unit(rng.standard_normal((n, 8)).astype(np.float32)) for n in (300, 40))
+    vectors, z = (ngrams.unit(rng.standard_normal((n, 8))) for n in (300, 40))
     y, w = (rng.random(300) < 0.5).astype(np.float32), np.ones(300, np.float32)
     model = quality.Model(None, None, vectors, y, w, 0.5)
-    cosine = (z @ vectors.T).astype(float)
+    cosine = (z / ngrams.ONE) @ (vectors.T / ngrams.ONE)
     for row, got in zip(cosine, quality.vote(model, z)):
         near = np.argsort(-row)[: quality.NEIGHBOURS]
         weight = np.maximum(row[near], 0) ** quality.POWER
         assert abs(got - (weight * y[near]).sum() / weight.sum()) < 1e-4
+
+
+def grams(text, n, table):
+    """Counts of hashed byte n-grams by a plain loop."""
+    data, counts = [int(table[b]) for b in text.encode()], Counter()
+    for i in range(len(data) - n + 1):
+        code = 0
+        for b in data[i : i + n]:
+            code = code * 256 + b
+        counts[(code * 2654435761 % 2**32) >> (32 - 12)] += 1
+    return counts
+
+
+def vector(counts, idf):
+    """TF-IDF of length 1 as a dictionary, by the formula."""
+    x = {k: math.log1p(v) * float(idf[k]) for k, v in counts.items() if v}
+    length = math.sqrt(sum(v * v for v in x.values()))
+    return {k: v / length for k, v in x.items()}
+
+
+def test_quality_query_against_plain_neighbours(spark, sf_dir):
+    """Every row of the query: features, projection and votes by plain loops over the labelled sample."""
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    assert len(model.labels) == len(known) and sorted(model.labels) == sorted(known.values())  # all of them, as they are few
+    assert model.weights.tolist() == [1.0] * len(known) and model.prior == pytest.approx(np.mean(list(known.values())))
+
+    def latent(text):
+        counts = grams(text, 2, ngrams.as_is())
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        counts[quality.TERMS - 1] = sum(a == b for a, b in zip(words, words[1:]))
+        x = vector(counts, model.idf)
+        z = sum((v * model.axes[k] / ngrams.ONE for k, v in x.items()), np.zeros(model.axes.shape[1]))
+        return z / np.linalg.norm(z)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    mine = sorted(known, key=str)
+    vectors, votes = np.array([latent(texts[k]) for k in mine]), np.array([known[k] for k in mine])
+    assert np.allclose(vectors, model.vectors / ngrams.ONE, atol=2e-3)
+    for r in QUERIES["op1_quality"](spark, sf_dir).collect():
+        text = texts[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5)
+        if not text:
+            assert r["score"] == pytest.approx(model.prior, abs=1e-5)
+            continue
+        cosine = np.maximum(vectors @ latent(text), 0)
+        near = np.argsort(-cosine)[: quality.NEIGHBOURS]
+        weight = cosine[near] ** quality.POWER
+        if np.sort(cosine)[-quality.NEIGHBOURS] - np.sort(cosine)[-quality.NEIGHBOURS - 1] > 1e-3:  # else the last neighbour is a matter of rounding
+            assert r["score"] == pytest.approx((weight * votes[near]).sum() / weight.sum(), abs=0.02)
+
+
+def test_language_query_against_plain_centroids(spark, sf_dir):
+    """Every row of the query: the nearest of all centroids by plain loops."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, (common.fold(F.col("doc_id"), 4) != 2))
+    centroids = model.centroids / ngrams.ONE
+    assert np.allclose((centroids**2).sum(1), 1, atol=1e-4) and set(np.bincount(model.owner)) == {langid.CENTROIDS}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in QUERIES["op5_langid"](spark, sf_dir).collect():
+        text = texts[r["doc_id"]]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosine = sum((v * centroids[:, k] for k, v in vector(grams(text, 3, ngrams.letters()), model.idf).items()), np.zeros(len(centroids)))
+        assert r["score"] == pytest.approx(min(1, cosine.max()), abs=2e-3)
+        top = np.sort(cosine)[-2:]
+        if top[1] - top[0] > 4e-3:
+            assert r["lang_pred"] == model.languages[model.owner[cosine.argmax()]]
+
+
+def test_equal_texts_score_alike_in_any_batch(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    twice = docs.select("doc_id", "text").union(docs.orderBy(F.desc("doc_id")).select("doc_id", "text"))
+    good, lang = quality.fit(docs, labels), langid.fit(docs, F.lit(True))
+    seen = {}
+    for size in (3, 64, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for name, scored in (("q", quality.score_quality(twice, good)), ("l", langid.identify(twice, lang))):
+            for r in scored.collect():
+                assert seen.setdefault((name, r["text"]), tuple(r)[2:]) == tuple(r)[2:]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """Rows that repeat one id count once, more languages than are learned are left to those of most rows."""
+    rows = [(1, "the same words again", "en")] * 500 + [(k, f"und noch ein anderer Satz {k}", "de") for k in range(100)] + [(k, f"autre phrase {k}", f"x{k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), per_language=10, most=2)
+    assert model.languages == ["de", "en"] and np.bincount(model.owner).tolist() == [6, 1]
+    monkeypatch.setattr(langid, "LEARNED", 4)
+    assert np.bincount(langid.fit(docs, F.lit(True), most=2).owner).tolist() == [2, 1]
