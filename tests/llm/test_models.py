@@ -1,6 +1,7 @@
 """Held-out accuracy of the fitted models, and their parts."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -147,7 +148,8 @@ def test_equal_texts_score_alike_in_any_batch(spark):
 
 def test_samples_are_bounded(spark, monkeypatch):
     """Rows that repeat one id count once, more languages than are learned are left to those of most rows."""
-    rows = [(1, "the same words again", "en")] * 500 + [(k, f"und noch ein anderer Satz {k}", "de") for k in range(100)] + [(k, f"autre phrase {k}", f"x{k}") for k in range(40)]
+    words = ["".join(random.Random(k).choices("abcdefghij", k=9)) for k in range(102)]
+    rows = [(1, "the same words again", "en")] * 500 + [(k, f"{words[k]} und {words[k + 1]} {words[k + 2]}", "de") for k in range(100)] + [(k, f"autre phrase {k}", f"x{k}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs, F.lit(True), per_language=10, most=2)
     assert model.languages == ["de", "en"] and np.bincount(model.owner).tolist() == [6, 1]
