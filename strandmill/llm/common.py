@@ -69,12 +69,13 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
 
     ``small`` is counted first. Within BROADCAST_ROWS and BROADCAST_BYTES it is broadcast and ``big`` stays
     where it is; beyond, both sides are shuffled by key and a salt, so a key with many rows of ``big``
-    is dealt over ``salt`` tasks.
+    is dealt over ``salt`` tasks. Rows without a key match nothing and are dealt over all tasks.
     """
     wide = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(1)) for f in small.schema), F.lit(8))
     rows, size = small.agg(F.count("*"), F.coalesce(F.sum(wide), F.lit(0))).first()
     if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), key, how)
     dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(salt)).cast("int"))
+    mix = F.xxhash64(*[c for c in big.columns if c != key], F.lit(0))
+    salted = big.withColumn("__salt", F.when(F.col(key).isNull(), F.pmod(mix, F.lit(1 << 30)).cast("int")).otherwise(F.pmod(mix, F.lit(salt)).cast("int")))
     return salted.join(dealt, [key, "__salt"], how).drop("__salt")

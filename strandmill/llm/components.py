@@ -12,20 +12,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_spool, spool
+from .common import drop_spool, lookup_join, spool
+
+#: Edges of a node beyond which they do not meet in its join: such hubs are few, and their minima go to the edges instead.
+HUB = 20_000
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m, n): the least neighbour of each node and the number of its edges; partial minima come before the shuffle."""
+    return spool(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+
+
+def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the least neighbour m of their node a."""
+    hubs = least.where(F.col("n") > HUB).select("a", "m")
+    if hubs.isEmpty():
+        return edges.join(least.select("a", "m"), "a")
+    tagged = lookup_join(edges, spool(hubs, "hubs"), "a").select("a", "b", "m")
+    rest = tagged.where("m is null").select("a", "b").join(least.where(F.col("n") <= HUB).select("a", "m"), "a")
+    return tagged.where("m is not null").unionByName(rest)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    told = _told(both, _least(both)).where("b > a")
+    return told.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges run from larger to smaller; a node's smaller neighbours are linked to the smallest."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    hung = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(edges)
+    hung = _told(edges, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -34,25 +52,21 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``: the smallest node it reaches, itself included.
 
     ``a`` and ``b`` have one ordered type. Null ends and self-links link nothing; a node that has
-    only self-links does not appear. An empty table gives an empty result.
+    only self-links does not appear. An empty table gives an empty result. Rounds go on until nothing changes.
     """
     kept = edges.where("a is not null and b is not null and a <> b")
     now = spool(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
-        then = spool(_small_star(_large_star(now)), "links")
+    mark, before = _mark(now), None
+    while mark[0] and mark != before:
+        stars = spool(_large_star(now), "links")
+        then = spool(_small_star(stars), "links")
         before, mark = mark, _mark(then)
         drop_spool(now)
+        drop_spool(stars)
         now = then
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -4,14 +4,14 @@
    Documents with equal sets form a class; only one of each class goes on, so thousands of copies cost as
    much as one.
 2. Signatures differ in at most DISTANCE symbols for pairs at the threshold (a pair of similarity 0.75 differs in
-   more with probability 2e-5). They are split into CHUNKS chunks. By the pigeonhole principle such a
+   more with probability 1.2e-5). They are split into CHUNKS chunks. By the pigeonhole principle such a
    pair has a chunk with at most ERRORS errors, since CHUNKS * (ERRORS + 1) > DISTANCE; every chunk is therefore entered
    into an index once for each way to leave ERRORS symbols out, and every such pair shares a key.
 3. A key's classes are not expanded into pairs. Each is first compared with the least one of the key
    (a star), the best of its stars only; confirmed links give components. What then still shares a key across two
    components is compared by signature, in blocks of bounded size, and the classes that are left with a pair
-   within DISTANCE are compared on full sets, again in blocks, each pair in the first key that it shares.
-   Pairs inside one component need no look, as they can't change it, and a block tells only of links that join
+   within DISTANCE are compared on full sets, again in blocks, each pair in the first key that it shares. Classes of the component that
+   is a large key's main one only meet the others, block by block. Pairs inside one component need no look, as they can't change it, and a block tells only of links that join
    components. So no step hands on pairs in a number that grows with the square of a group.
 4. Links are confirmed on full sets, recomputed from the texts of the candidates alone.
 """
@@ -33,10 +33,10 @@ from .words import mixed
 
 PERCENT = 75
 DISTANCE, CHUNKS, ERRORS = 22, 12, 1
-#: Classes of a key that are compared in one block; larger keys are cut into blocks, all pairs of which are compared.
-BLOCK = 2048
-#: Shingles of a block's full sets, about.
-SET_BLOCK = 1 << 20
+#: Classes of a key that are compared in one block; larger keys are cut into blocks.
+BLOCK = 1024
+#: Shingles of a block's full sets, about, and pairs of one pivot that are confirmed together.
+SET_BLOCK, PIVOT = 1 << 20, 1000
 
 
 def chunk_keys(symbols: int = SYMBOLS, chunks: int = CHUNKS, errors: int = ERRORS, distance: int = DISTANCE) -> list[tuple[int, ...]]:
@@ -88,42 +88,25 @@ def index(classes: DataFrame) -> DataFrame:
 
 
 def stars(keys: DataFrame) -> DataFrame:
-    """(key, rep, pivot) for the keys of two or more classes; the pivot is the least of the key. Rows of a
-    key stream by in order; nothing of it is gathered."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_pivot = told = None  # of the key that the batch before ended in
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            pivot = np.where(at >= 0, rep[np.maximum(at, 0)], last_pivot if last_pivot is not None else 0)
-            follows = ~new
-            heads = np.flatnonzero(new[:-1] & follows[1:])  # pivots with company in this batch
-            ks, rs, ps = key[follows], rep[follows], pivot[follows]
-            extra_k, extra_p = list(key[heads]), list(rep[heads])
-            if follows[0] and not told:
-                extra_k.append(last_key)
-                extra_p.append(last_pivot)
-            told = bool(follows[-1])
-            last_key, last_pivot = key[-1], pivot[-1]
-            extra_p = np.array(extra_p, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ks, np.array(extra_k, np.int64)])), pa.array(np.concatenate([rs, extra_p])), pa.array(np.concatenate([ps, extra_p]))], ["key", "rep", "pivot"]
-            )
-
-    dealt = keys.repartition("key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(run, "key long, rep long, pivot long")
+    """(key, rep, pivot) for the keys of two or more classes; the pivot is the least of the key. Pivots are partial minima, told to
+    the keys' rows by a join of checked size, so a key of any number of classes is dealt over tasks."""
+    pivots = spool(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot"), "pivots")
+    return lookup_join(keys, pivots, "key", "inner").select("key", "rep", "pivot")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose full sets reach ``percent``: 100 * intersection >= percent * union."""
+    """The rows of ``pairs(a, b)`` whose full sets reach ``percent``: 100 * intersection >= percent * union. Pairs of a popular ``a``
+    are dealt over slots of PIVOT pairs, each of which gets its text once."""
+    pairs = spool(pairs, "pairs")
     ends = spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     texts = spool(lookup_join(texts, ends, "doc_id", "left_semi"), "texts")
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    popular = spool(pairs.groupBy("a").count().where(F.col("count") > PIVOT).select("a", F.ceil(F.col("count") / PIVOT).alias("slots")), "popular")
+    slots = F.coalesce("slots", F.lit(1).cast("long"))
+    dealt = lookup_join(pairs, popular, "a").select("a", "b", F.pmod(F.xxhash64("b"), slots).alias("slot"))
+    pivots = texts.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").toDF("a", "text_a")
+    pivots = lookup_join(pivots, popular, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"))
+    both = dealt.join(texts.toDF("b", "text_b"), "b").join(pivots, ["a", "slot"]).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,14 +179,35 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
         yield whole(held)
 
 
+def _cuts(rows: DataFrame) -> DataFrame:
+    """(key, main, large, small) of the keys of ``rows(key, c, m, total)`` that two or more components share: how classes of the key are cut
+    into blocks. Classes of its main component, if the key is more than one block, are never compared with each other, only with the rest."""
+    by = rows.groupBy("key", "c").agg(F.sum("m").alias("m"), F.sum("total").alias("total"))
+    top = F.max(F.struct("m", "total", "c")).alias("top")
+    keys = by.groupBy("key").agg(top, F.sum("m").alias("m"), F.sum("total").alias("total"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda m, total: F.ceil(F.greatest(m / BLOCK, total / SET_BLOCK)).cast("int")
+    many = blocks(F.col("m"), F.col("total")) > 1
+    return keys.select(
+        "key",
+        F.when(many, F.col("top")["c"]).alias("main"),
+        F.when(many, blocks(F.col("top")["m"], F.col("top")["total"])).otherwise(0).alias("large"),
+        F.greatest(F.lit(1), blocks(F.col("m") - F.when(many, F.col("top")["m"]).otherwise(0), F.col("total") - F.when(many, F.col("top")["total"]).otherwise(0))).alias("small"),
+    )
+
+
 def _blocked(rows: DataFrame, keys: DataFrame, more: DataFrame, columns: list[str]) -> DataFrame:
     """``rows(key, rep, …)`` dealt out in blocks of their keys, with what ``more`` has of each class, in order.
 
-    ``keys(key, blocks)`` says into how many blocks a key is cut; each then meets each other one, and itself, in one group.
+    ``keys`` comes from _cuts. Blocks of the rest, numbered from 0, meet each other and themselves; blocks of the main component, numbered down from -1, meet
+    those of the rest. So a key of one large component and few other classes is handed on about twice, however large it is.
     """
-    rows = rows.join(keys, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+    rows = lookup_join(rows, spool(keys, "keys"), "key", "inner")
+    inside = F.coalesce(F.col("c") == F.col("main"), F.lit(False))
+    at = F.pmod(F.xxhash64("rep"), F.when(inside, F.col("large")).otherwise(F.col("small"))).cast("int")
+    rows = rows.withColumn("mine", F.when(inside, -1 - at).otherwise(at))
+    rest, main = F.sequence(F.lit(0), F.col("small") - 1), F.when(F.col("large") > 0, F.sequence(-F.col("large"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("other", F.explode(F.when(inside, rest).otherwise(F.concat(rest, main))))
+    rows = rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "main", "large", "small")
     # A fixed number of partitions, as comparing takes far longer than the bytes of a partition suggest.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.join(more, "rep").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "c", "rep")
@@ -212,8 +216,7 @@ def _blocked(rows: DataFrame, keys: DataFrame, more: DataFrame, columns: list[st
 
 def unsettled(named: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, rep) of the classes that have a pair to settle in that key: see owned_pairs. ``named(key, rep, c)``."""
-    keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    keys = keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    keys = _cuts(named.select("key", "c", F.lit(1).alias("m"), F.lit(0).alias("total")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -248,9 +251,8 @@ def settled(named: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     rows = unsettled(named, classes)
     sets = full_sets(spool(rows.select(F.col("rep").alias("doc_id")).distinct(), "ends"), docs)
-    rows = rows.join(named.select("rep", "c").distinct(), "rep").select("key", "rep", "c")
-    sized = rows.join(classes.select("rep", "n"), "rep").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    keys = sized.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / SET_BLOCK)).cast("int").alias("blocks"))
+    rows = spool(rows.join(named.select("rep", "c").distinct(), "rep").select("key", "rep", "c"), "open")
+    keys = _cuts(rows.join(classes.select("rep", "n"), "rep").select("key", "c", F.lit(1).alias("m"), F.col("n").alias("total")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, lookup_join, spool
 from .components import connected_components
 
 MAX_RULES = 1000
@@ -115,15 +115,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     html has no links. Repeated rows are judged alike, one result each; other columns are ignored.
     An empty table gives an empty result.
     """
-    classes = connected_components(alias_edges(pages))
+    classes = spool(connected_components(alias_edges(pages)), "classes")
     ruled = classes.withColumn("r", best_rule(F.regexp_extract("node", r"^[^/?]*", 0), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1), rules))
     fate = ruled.groupBy("component").agg(F.bool_or(F.col("r.verdict") == "allow").alias("freed"), F.bool_or(F.col("r.verdict") == "block").alias("hit"))
     blocked = fate.where("hit and not coalesce(freed, false)").select("component")
-    aliases = classes.join(blocked, "component").select(F.col("node").alias("key"), F.lit(True).alias("hit"))
+    # Classes that are blocked, and the pages that name them, by sizes checked: a class or a url may have any number of rows.
+    aliases = lookup_join(classes, spool(blocked, "blocked"), "component", "inner").select(F.col("node").alias("key"), F.lit(True).alias("hit"))
+    aliases = spool(aliases, "aliases")
 
     url = F.col("url")
-    judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("key"))
-    judged = judged.withColumn("r", best_rule(F.col("host"), F.col("path"), rules)).join(aliases, "key", "left")
+    judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.nullif(key_of(url), F.lit("")).alias("key"))
+    judged = lookup_join(judged, aliases, "key").withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
     return judged.select(
         "page_id",
         "host",

@@ -5,8 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandmill.llm import minhash, shingles
+from strandmill.llm import common, components, minhash, shingles
 from strandmill.llm.components import connected_components
+from strandmill.llm.queries import QUERIES
+from strandmill.session import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -77,6 +79,33 @@ def test_blocks_of_a_large_key(spark, monkeypatch):
     assert got == brute_force(rows)
 
 
+def test_a_large_component_and_others_share_keys(spark, monkeypatch):
+    """A key of one large component and few classes beside it: blocks of the component meet the others only."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 3000)
+    monkeypatch.setattr(minhash, "PIVOT", 5)
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(120)]
+    texts = [edited(rng, base, k % 4) for k in range(60)] + [edited(rng, base, 5 + k % 4) for k in range(25)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows) and len({c for _, c in got.values()}) > 3
+
+
+def test_joins_beyond_what_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "HUB", 3)
+    rows = corpus(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows)
+
+
+def test_query_against_all_pairs(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in QUERIES["op8_minhash"](spark, sf_dir).collect()}
+    assert got == {k: (n, c, k == c) for k, (n, c) in brute_force(rows).items()}
+
+
 def test_pigeonhole():
     """Any two signatures within DISTANCE share a key."""
     keys, rng = minhash.chunk_keys(), np.random.default_rng(4)
@@ -105,7 +134,9 @@ def test_long_rows_are_cut_at_white_space(monkeypatch):
     assert (whole[0][0] == cut[0][0]).all()
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("hub", [20_000, 5])
+def test_components_of_random_graphs(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5), (None, 3)] + [(2000, k) for k in range(2001, 2300)]
     parent = {}
