@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lcp import both_strands, cores, cores_by_window
+from ..functions.lcp import EQUAL, both_strands, cores, cores_by_window
 from ..operators import distance, tree
 from ..operators.signature import SET, VECTOR, signature, sizes
 from ..session import table
@@ -39,24 +39,39 @@ def dna(docs: DataFrame, genome: str, record: str) -> DataFrame:
     return docs.select(F.col(genome).alias("genome_idx"), F.col(record).alias("record"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
 
 
-def sql_cores(source: str) -> str:
-    """CTEs up to ``cores(g, rec, start, end_, label, len)``, level 1, from a query with columns g, rec, seq."""
+def sql_level(k: int) -> str:
+    """CTEs from the tokens of a level, ``tokens{k}(g, rec, pos, s, tok, begun, upto)``, to its cores ``cores{k}(g, rec, start, end_, label, len)``."""
     by = "partition by rec order by pos"
     return f"""
+    ids{k} as materialized (select rec * 16777216 + pos as id, tok, begun, upto from tokens{k}),
+    edges{k} as (select *, lag(s) over ({by}) as before, count(*) over (partition by rec) as n from tokens{k}),
+    runs{k} as (select g, rec, pos, s, n, coalesce(lead(pos) over ({by}), n) - pos as size, lag(s) over ({by}) as l1, lag(s, 2) over ({by}) as l2,
+             lead(s) over ({by}) as r1, lead(s, 2) over ({by}) as r2 from edges{k} where before is null or before <> s),
+    sided{k} as (select *, lag(size) over ({by}) as lsize, lead(size) over ({by}) as rsize from runs{k}),
+    found{k} as (select g, rec, pos - 1 as first, pos + size as last from sided{k} where l1 is not null and r1 is not null and
+              (size >= 2 or (l1 > s and s < r1) or (l1 < s and s > r1 and (lsize >= 2 or l2 < l1) and (rsize >= 2 or r2 < r1)))),
+    spans{k} as (select * from found{k} union all
+              select g, rec, gs, ge from (select g, rec, lag(last) over (partition by rec order by first) as gs, first as ge from found{k}) where gs + 1 < ge),
+    cores{k} as (select c.g, c.rec, x.begun::bigint as start, z.upto::bigint as end_, ('0x' || substr(md5(concat_ws('|', x.tok, y.tok, c.last - c.first + 1, z.tok)), 1, 15))::bigint as label, (z.upto - x.begun)::int as len
+              from spans{k} c join ids{k} x on x.id = c.rec * 16777216 + c.first join ids{k} y on y.id = c.rec * 16777216 + c.first + 1 join ids{k} z on z.id = c.rec * 16777216 + c.last)"""
+
+
+def sql_cores(source: str, level: int = 1) -> str:
+    """CTEs up to ``cores(g, rec, start, end_, label, len)`` of a level from a query with columns g, rec, seq. Above level 1 a core's symbol is made from the lowest bit in
+    which its label differs from that of the core before it; the first core of a record has none before it and drops."""
+    first = f"""
     src as ({source}),
     letters as (select g, rec, unnest(string_split(seq, '')) as letter, generate_subscripts(string_split(seq, ''), 1) - 1 as pos from src where seq <> ''),
-    coded as (select g, rec, pos, instr('ACGT', letter) - 1 as s, count(*) over (partition by rec) as n from letters),
-    edges as (select *, lag(s) over ({by}) as before from coded),
-    runs as (select g, rec, pos, s, n, coalesce(lead(pos) over ({by}), n) - pos as size, lag(s) over ({by}) as l1, lag(s, 2) over ({by}) as l2,
-             lead(s) over ({by}) as r1, lead(s, 2) over ({by}) as r2 from edges where before is null or before <> s),
-    sided as (select *, lag(size) over ({by}) as lsize, lead(size) over ({by}) as rsize from runs),
-    found as (select g, rec, pos - 1 as first, pos + size as last, l1 as a, s as b, size + 2 as m, r1 as z from sided where l1 is not null and r1 is not null and
-              (size >= 2 or (l1 > s and s < r1) or (l1 < s and s > r1 and (lsize >= 2 or l2 < l1) and (rsize >= 2 or r2 < r1)))),
-    gaps as (select * from (select g, rec, lag(last) over (partition by rec order by first) as gs, first as ge from found) where gs + 1 < ge),
-    filled as (select gaps.g, gaps.rec, gs as first, ge as last, x.s as a, y.s as b, ge - gs + 1 as m, w.s as z from gaps
-               join coded x on x.rec = gaps.rec and x.pos = gs join coded y on y.rec = gaps.rec and y.pos = gs + 1 join coded w on w.rec = gaps.rec and w.pos = ge),
-    cores as (select g, rec, first::bigint as start, (last + 1)::bigint as end_, ('0x' || substr(md5(concat_ws('|', a, b, m, z)), 1, 15))::bigint as label, (last + 1 - first)::int as len
-              from (select * from found union all select * from filled))"""
+    tokens1 as materialized (select g, rec, pos, instr('ACGT', letter) - 1 as s, instr('ACGT', letter) - 1 as tok, pos as begun, pos + 1 as upto from letters),"""
+    out = [first, sql_level(1)]
+    for k in range(2, level + 1):
+        by = "partition by rec order by start"
+        out.append(f"""
+    paired{k} as (select *, row_number() over ({by}) - 2 as pos, lag(label) over ({by}) as left_ from cores{k - 1}),
+    bits{k} as (select *, length(bin(xor(left_, label) & -xor(left_, label))) - 1 as bit from paired{k} where left_ is not null),
+    tokens{k} as materialized (select g, rec, pos, case when left_ = label then {EQUAL} else 2 * bit + ((label >> bit) & 1) end::bigint as s, label as tok, start as begun, end_ as upto from bits{k}),""")
+        out.append(sql_level(k))
+    return "".join(x if x.endswith(",") else x + "," for x in out) + f" cores as (select * from cores{level})"
 
 
 DNA = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
@@ -75,15 +90,23 @@ def role_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLACE = ("genome_idx", "record", "start", "end", "label", "len")
 CORES_SQL = 'select g as genome_idx, rec as record, start, end_ as "end", label, len from cores'
-_register("cores_level1", lambda s, d: language_cores(s, d).select(*PLACE), f"with {sql_cores(BY_LANGUAGE)} {CORES_SQL}")
+
+
+def core_digest(found: DataFrame) -> DataFrame:
+    """One row for each record: its cores' number, lengths and ends, and a print of all starts, ends and labels."""
+    mark = F.col("label").bitwiseXOR(F.col("start") * 2654435761 + F.col("end"))
+    return found.groupBy("genome_idx", "record").agg(F.count("*").alias("n"), F.sum(F.col("len").cast("long")).alias("total_len"), F.min("start").alias("first"), F.max("end").alias("last"), F.bit_xor(mark).alias("mark"))
+
+
+CORE_DIGEST = "select g as genome_idx, rec as record, count(*) as n, sum(len)::bigint as total_len, min(start) as first, max(end_) as last, bit_xor(xor(label, start * 2654435761 + end_)) as mark from cores group by all"
+for _level in (1, 2, 3, 4):
+    _register(f"cores_level{_level}", lambda s, d, level=_level: core_digest(language_cores(s, d, level)), f"with {sql_cores(BY_LANGUAGE, _level)} {CORE_DIGEST}")
 _register("cores_level1_reads", lambda s, d: role_cores(s, d).select(*PLACE), f"with {sql_cores(ROLES)} {CORES_SQL}")
 _register(
     "cores_level1_window",
     lambda s, d: cores_by_window(dna(table(s, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "role", "id").select("record", "seq"), "record"),
     f'with {sql_cores(ROLES)} select rec as record, start, end_ as "end", label, len from cores',
 )
-_register("cores_level2", lambda s, d: language_cores(s, d, 2).select(*PLACE))
-_register("cores_level4", lambda s, d: language_cores(s, d, 4).select(*PLACE))
 STRANDS = f"""select g, rec * 2 + k as rec, case k when 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end as seq
               from (select role as g, conv_id * 1000 + turn as rec, {DNA} as seq from conversations), (values (0), (1)) t(k)"""
 _register(
@@ -165,7 +188,11 @@ _register(
     lambda s, d: rounded(distance.distances(language_signature(s, d, (2, 64)), mode=VECTOR)),
     f"with {sql_cores(BY_LANGUAGE)}, all_sig as (select g, label, len, count(*) as cnt from cores group by all), sig as (select * from all_sig where cnt between 2 and 64), {sql_distances(VECTOR, 'label, len', 'len')} {ROUNDED}",
 )
-_register("distances_level4", lambda s, d: rounded(distance.distances(signature(language_cores(s, d, 4)))))
+_register(
+    "distances_level4",
+    lambda s, d: rounded(distance.distances(signature(language_cores(s, d, 4)))),
+    f"with {sql_cores(BY_LANGUAGE, 4)}, {SIG}, {sql_distances(SET, 'label, len', 'len')} {ROUNDED}",
+)
 
 #: (name, table, genome, element) of signatures over other tables, where elements have no length.
 ITEMS = (
