@@ -253,6 +253,19 @@ def cores_by_window(sequences: DataFrame, key: str = "record") -> DataFrame:
     return found.union(gaps).select(key, F.col("first").cast("long").alias("start"), (F.col("last") + 1).cast("long").alias("end"), label.alias("label"), (F.col("last") + 1 - F.col("first")).cast("int").alias("len"))
 
 
+def encode_core(label, length):
+    """A core in one 64-bit number: the low 32 bits of its label above its length. As a signed number it may be negative."""
+    return F.shiftleft(label.bitwiseAND(F.lit(0xFFFFFFFF)), 32) + length.cast("long")
+
+
+def decode_length(packed):
+    return packed.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def decode_label(packed):
+    return F.shiftrightunsigned(packed, 32)
+
+
 def reverse_complement(seq):
     """The other strand, read in its own direction; letters other than ACGT stay."""
     return F.reverse(F.translate(F.upper(seq), "ACGT", "TGCA"))

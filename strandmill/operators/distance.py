@@ -27,31 +27,55 @@ def jukes_cantor(hamming: Column) -> Column:
     return F.when(inside > 0, -0.75 * F.log(F.when(inside > 0, inside)) + 0.0)
 
 
-def intersections(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", mode: str = SET) -> DataFrame:
+#: Genomes of a core, or of a matrix, that are paired in one group; more are cut into blocks, each of which meets each other one.
+BLOCK = 256
+
+
+def intersections(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", mode: str = SET, n_genomes: int | None = None) -> DataFrame:
     """(i, j, inter) for i < j of the genomes that share a core: SET counts cores, VECTOR sums least counts.
 
-    An equi-join on the core, so both sides shuffle once by core; Spark splits the partition of a core that most
-    genomes have. Sums are partial before the second shuffle.
+    An equi-join on the core, so both sides shuffle once by core; sums are partial before the second shuffle. A core
+    that more than BLOCK genomes have is cut into blocks of genomes. With at most BLOCK of ``n_genomes`` there is none to look for.
     """
+    keys = list(element)
     a = sig.select(F.col(genome).alias("i"), *element, F.col("cnt").alias("ca"))
     b = sig.select(F.col(genome).alias("j"), *element, F.col("cnt").alias("cb"))
-    shared = a.join(b, list(element)).where("i < j")
+    if n_genomes is None or n_genomes > BLOCK:
+        hot = sig.groupBy(*element).count().where(F.col("count") > BLOCK).select(*element, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        blocks = F.coalesce("blocks", F.lit(1))
+        mine = lambda g: F.pmod(F.xxhash64(g), blocks).cast("int")
+        every = F.explode(F.sequence(F.lit(0), blocks - 1))
+        a = a.join(hot, keys, "left").select("i", *element, "ca", mine("i").alias("bi"), every.alias("bj"))
+        b = b.join(hot, keys, "left").select("j", *element, "cb", mine("j").alias("bj"), every.alias("bi"))
+        keys = [*keys, "bi", "bj"]
+    shared = a.join(b, keys).where("i < j")
     both = F.least("ca", "cb") if checked_mode(mode) == VECTOR else F.lit(1)
     return shared.groupBy("i", "j").agg(F.sum(both).cast("long").alias("inter"))
 
 
+def all_pairs(per: DataFrame, n: int) -> DataFrame:
+    """(i, na, ta, j, nb, tb) for every i < j of ``per(genome, n, total_len)``, an equi-join of blocks of genomes, so that a
+    matrix of any size is dealt over tasks."""
+    blocks = max(1, -(-n // BLOCK))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a, b = per.toDF("i", "na", "ta"), per.toDF("j", "nb", "tb")
+    a = a.select("*", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("bi"), every.alias("bj"))
+    b = b.select("*", F.pmod(F.xxhash64("j"), F.lit(blocks)).cast("int").alias("bj"), every.alias("bi"))
+    return a.join(b, ["bi", "bj"]).where("i < j").drop("bi", "bj")
+
+
 def distances(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", mode: str = SET, length: str | None = "len", genomes: DataFrame | None = None) -> DataFrame:
     """(i, j, inter, uni, dice, jaccard, jc) for every i < j, also of genomes that share nothing.
 
     ``genomes`` lists genomes that may have an empty signature. Pairs of two empty ones have null distances;
-    jc is null too where it is saturated or where cores have no length.
+    jc is null too where it is saturated or where cores have no length. ``sig`` is read for the genomes' sizes and for both sides
+    of the join: it should be stored or persisted.
     """
     per = sizes(sig, mode, genome, length)
     if genomes is not None:
         per = genomes.select(genome).distinct().join(per, genome, "left").na.fill({"n": 0, "total_len": 0})
-    a, b = per.toDF("i", "na", "ta"), per.toDF("j", "nb", "tb")
-    # Genomes are few by nature (a matrix of all pairs is the result); this joins their sizes, not their cores.
-    pairs = a.join(b, F.col("i") < F.col("j")).join(intersections(sig, element, genome, mode), ["i", "j"], "left").na.fill({"inter": 0})
+    n = per.count()
+    pairs = all_pairs(per, n).join(intersections(sig, element, genome, mode, n), ["i", "j"], "left").na.fill({"inter": 0})
     pairs = pairs.withColumn("uni", F.col("na") + F.col("nb") - F.col("inter"))
     jaccard = jaccard_similarity(F.col("inter"), F.col("uni"))
     mean = F.try_divide((F.col("ta") + F.col("tb")).cast("double"), (F.col("na") + F.col("nb")).cast("double"))

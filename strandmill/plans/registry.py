@@ -6,18 +6,19 @@ roles, suppliers and the like.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lcp import EQUAL, both_strands, cores, cores_by_window
+from ..functions.lcp import EQUAL, both_strands, cores, cores_by_window, decode_label, decode_length, encode_core
 from ..operators import distance, tree
 from ..operators.signature import SET, VECTOR, signature, sizes
-from ..session import table
+from ..session import stored, table, work_folder
 from ..sources import phylip, sequences
+from ..sources.manifest import lines, manifest
+from . import compare
 
 DIGITS = 9
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,17 +181,17 @@ ROUNDED = f"select i, j, inter, uni, round(dice, {DIGITS}) as dice, round(jaccar
 for _mode in (SET, VECTOR):
     _register(
         f"distances_{_mode}",
-        lambda s, d, mode=_mode: rounded(distance.distances(language_signature(s, d), mode=mode)),
+        lambda s, d, mode=_mode: rounded(distance.distances(stored(language_signature(s, d), "signature"), mode=mode)),
         f"with {sql_cores(BY_LANGUAGE)}, {SIG}, {sql_distances(_mode, 'label, len', 'len')} {ROUNDED}",
     )
 _register(
     "distances_band_vec",
-    lambda s, d: rounded(distance.distances(language_signature(s, d, (2, 64)), mode=VECTOR)),
+    lambda s, d: rounded(distance.distances(stored(language_signature(s, d, (2, 64)), "signature"), mode=VECTOR)),
     f"with {sql_cores(BY_LANGUAGE)}, all_sig as (select g, label, len, count(*) as cnt from cores group by all), sig as (select * from all_sig where cnt between 2 and 64), {sql_distances(VECTOR, 'label, len', 'len')} {ROUNDED}",
 )
 _register(
     "distances_level4",
-    lambda s, d: rounded(distance.distances(signature(language_cores(s, d, 4)))),
+    lambda s, d: rounded(distance.distances(stored(signature(language_cores(s, d, 4)), "signature"))),
     f"with {sql_cores(BY_LANGUAGE, 4)}, {SIG}, {sql_distances(SET, 'label, len', 'len')} {ROUNDED}",
 )
 
@@ -204,7 +205,7 @@ ITEMS = (
 
 
 def item_signature(spark: SparkSession, sf_dir: str, name: str, genome: str, item: str) -> DataFrame:
-    return signature(table(spark, sf_dir, name).select(F.col(genome).alias("genome_idx"), F.col(item).alias("item")), ("item",))
+    return stored(signature(table(spark, sf_dir, name).select(F.col(genome).alias("genome_idx"), F.col(item).alias("item")), ("item",)), "signature")
 
 
 for _name, _table, _genome, _item in ITEMS:
@@ -223,7 +224,7 @@ SQUARE = """square as (select i, j, dice, jaccard, jc from dist union all select
 
 
 def language_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sig = language_signature(spark, sf_dir)
+    sig = stored(language_signature(spark, sf_dir), "signature")
     return distance.square(distance.distances(sig), sig.select("genome_idx").distinct())
 
 
@@ -233,7 +234,7 @@ def numbered_names(square: DataFrame) -> DataFrame:
 
 
 def matrix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    square = language_square(spark, sf_dir)
+    square = stored(language_square(spark, sf_dir), "square")
     names = numbered_names(square)
     number = names.select(F.col("genome_idx").alias("k"), F.col("short_name").alias("s"))
     digits = square.withColumn("jaccard", F.round("jaccard", DIGITS))
@@ -293,17 +294,9 @@ for _method in tree.METHODS:
     _register(f"tree_{_method}", lambda s, d, m=_method: language_tree(s, d, m))
 
 
-def _work_folder(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; a temporary one on a single machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/files-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}" if base else tempfile.mkdtemp(prefix="strandmill-")
-
-
 def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write each language's sequences as FASTA, wrapped at 60, and read them back."""
-    path = _work_folder(spark) + "/fasta"
+    path = work_folder(spark, "fasta")
     docs = dna(table(spark, sf_dir, "documents"), "lang", "doc_id").where("seq <> ''")
     docs.select("genome_idx", F.concat(F.lit(">"), F.col("record").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value")).write.partitionBy("genome_idx").text(path)
     files = spark.read.text(path).select(F.input_file_name().alias("in_path"), "genome_idx").distinct()
@@ -312,7 +305,7 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write each role's turns as gzipped FASTQ and read them back."""
-    path = _work_folder(spark) + "/fastq"
+    path = work_folder(spark, "fastq")
     turns = dna(table(spark, sf_dir, "conversations"), "role", "conv_id").where("seq <> ''")
     read = F.concat(F.lit("@"), F.col("record").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.regexp_replace("seq", ".", "I"))
     turns.select("genome_idx", read.alias("value")).write.partitionBy("genome_idx").option("compression", "gzip").text(path)
@@ -322,7 +315,7 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def core_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store level-1 cores, read them back and sign them."""
-    path = _work_folder(spark) + "/cores"
+    path = work_folder(spark, "cores")
     sequences.write_cores(language_cores(spark, sf_dir).withColumn("level", F.lit(1)), path)
     return signature(sequences.read_cores(spark, path, 1))
 
@@ -330,3 +323,98 @@ def core_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("fasta_scan", fasta_round_trip, f"with src as ({BY_LANGUAGE}) select g as genome_idx, seq, count(*) as n from src where seq <> '' group by all")
 _register("fastq_scan", fastq_round_trip, f"with src as ({ROLES}) select g as genome_idx, seq, count(*) as n from src where seq <> '' group by all")
 _register("core_store", core_store_round_trip, ORACLES["signature"])
+
+
+# --- lists, packed cores, the gate, matrix files ------------------------------------------------
+
+
+def listed(spark: SparkSession, rows: DataFrame, order: str, line: str) -> str:
+    """A list file of as many lines as there are genomes, in order; returns its path."""
+    path = work_folder(spark, "list")
+    rows.orderBy(order).select(F.col(line).cast("string").alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of inputs, names, thresholds and outputs, one line for each nation, read as a run reads them."""
+    n = table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        F.concat(F.lit("in/"), "n_name", F.lit(".fa")).alias("path"),
+        "n_name",
+        (F.col("n_nationkey") * 3).alias("low"),
+        (4294967295 - F.col("n_regionkey")).alias("high"),
+        F.concat(F.lit("out/"), F.col("n_nationkey").cast("string")).alias("out"),
+    )
+    lists = {c: listed(spark, n, "n_nationkey", c) for c in ("path", "n_name", "low", "high", "out")}
+    return manifest(spark, lists["path"], lists["n_name"], lists["low"], lists["high"], lists["out"])
+
+
+_register(
+    "manifest_scan",
+    manifest_scan,
+    """select (row_number() over (order by n_nationkey) - 1)::int as genome_idx, 'in/' || n_name || '.fa' as in_path, substr(n_name, 1, 10) as short_name,
+    (n_nationkey * 3)::bigint as min_cc, 4294967295 - n_regionkey as max_cc, 'out/' || n_nationkey as out_path from nation""",
+)
+_register(
+    "manifest_lines",
+    lambda s, d: lines(s, listed(s, table(s, d, "nation"), "n_nationkey", "n_name"), "in_path").groupBy(F.length("in_path").alias("n")).agg(F.count("*").alias("lines"), F.min("genome_idx").alias("first")),
+    "select length(n_name) as n, count(*) as lines, min(k)::int as first from (select n_name, row_number() over (order by n_nationkey) - 1 as k from nation) group by 1",
+)
+
+
+def packed_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cores in their packed form, and what decoding gives back."""
+    packed = role_cores(spark, sf_dir).select("genome_idx", encode_core(F.col("label"), F.col("len")).alias("packed"))
+    return packed.groupBy("genome_idx", "packed").agg(F.count("*").alias("cnt")).select("*", decode_label(F.col("packed")).alias("label32"), decode_length(F.col("packed")).alias("len"))
+
+
+_register(
+    "core_packed",
+    packed_cores,
+    f"""with {sql_cores(ROLES)}, low as (select g, label & 4294967295 as label32, len::bigint as len from cores)
+    select g as genome_idx, (case when label32 >= 2147483648 then label32 - 4294967296 else label32 end) * 4294967296 + len as packed, count(*) as cnt, label32, len from low group by all""",
+)
+
+
+def sequence_files(spark: SparkSession, sf_dir: str, reads: bool) -> tuple[str, str]:
+    """Conversation turns of each role as one FASTA or FASTQ file; returns the lists of files and of roles."""
+    path = work_folder(spark, "reads" if reads else "genomes")
+    turns = dna(table(spark, sf_dir, "conversations"), "role", "conv_id").where("seq <> ''")
+    head, tail = (F.lit("@r\n"), F.concat(F.lit("\n+\n"), F.regexp_replace("seq", ".", "I"))) if reads else (F.lit(">r\n"), F.lit(""))
+    turns.select("genome_idx", F.concat(head, F.col("seq"), tail).alias("value")).repartition("genome_idx").write.partitionBy("genome_idx").text(path)
+    files = spark.read.text(path).select(F.input_file_name().alias("in_path"), F.col("genome_idx").alias("role")).distinct()
+    return listed(spark, files, "role", "in_path"), listed(spark, files, "role", "role")
+
+
+def filter_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which runs filter by frequency: genomes only if a threshold is given, reads always."""
+    genomes, reads = sequence_files(spark, sf_dir, False), sequence_files(spark, sf_dir, True)
+    runs = [("fa", compare.from_fasta(spark, compare.Run(*genomes, level=1))), ("fa min", compare.from_fasta(spark, compare.Run(*genomes, level=1, min_cc=20))), ("fq", compare.from_fastq(spark, compare.Run(*reads, level=1)))]
+    out = [r.signature.join(r.genomes, "genome_idx").groupBy("short_name").agg(F.count("*").alias("n"), F.sum("cnt").alias("total")).select(F.lit(name).alias("run"), "short_name", "n", "total") for name, r in runs]
+    return out[0].union(out[1]).union(out[2])
+
+
+_register(
+    "filter_gate",
+    filter_gate,
+    f"""with one as (with {sql_cores(ROLES)} select g, label, len, count(*) as cnt from cores group by all), two as (with {sql_cores(STRANDS)} select g, label, len, count(*) as cnt from cores group by all),
+    runs as (select 'fa' as run, * from one union all select 'fa min', * from one where cnt >= 20 union all select 'fq', * from two where cnt between 15 and 256)
+    select run, g as short_name, count(*) as n, sum(cnt)::bigint as total from runs group by all""",
+)
+
+
+def matrix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language matrix written as PHYLIP files and read back, normalised: its lower triangle."""
+    square = stored(language_square(spark, sf_dir), "square")
+    names = numbered_names(square)
+    number = names.select(F.col("genome_idx").alias("k"), F.col("short_name").alias("s"))
+    by_number = square.join(number.toDF("ki", "i"), "i").join(number.toDF("kj", "j"), "j").select(F.col("ki").alias("i"), F.col("kj").alias("j"), *phylip.METRICS)
+    paths = phylip.write_matrices(by_number, names, work_folder(spark, "gc"), SET, 1)
+    return rounded(phylip.read_matrix(spark, paths[1], normalize=True).select("name_i", "name_j", "d"))
+
+
+_register(
+    "matrix_files",
+    matrix_files,
+    f"with {LANGUAGES}, {SQUARE} select i as name_i, j as name_j, round(round(jaccard, 15) / max(round(jaccard, 15)) over (), {DIGITS}) as d from square where j <= i",
+)
