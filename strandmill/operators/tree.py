@@ -1,6 +1,7 @@
 """Trees from distance matrices: neighbour joining, average linkage, rooting, order of children, Newick.
 
-A matrix has a row for each genome, few by nature; agglomeration is sequential and runs on the driver.
+The matrix stays a DataFrame of cells: each step finds the pair to join by an aggregation and replaces two rows and columns by one. Only the pair that is
+joined, one row, comes to the driver, where the tree grows, whose size is that of the list of genomes. No step recurses, so a tree may be of any depth.
 """
 
 from __future__ import annotations
@@ -8,10 +9,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 METHODS = ("nj", "upgma")
 
 
@@ -21,108 +23,133 @@ class Clade:
     length: float = 0.0
     children: list[Clade] = field(default_factory=list)
 
+    def preorder(self) -> list[Clade]:
+        out, stack = [], [self]
+        while stack:
+            out.append(stack.pop())
+            stack += reversed(out[-1].children)
+        return out
+
     def leaves(self) -> list[str]:
-        return [self.name] if not self.children else [x for c in self.children for x in c.leaves()]
+        return [c.name for c in self.preorder() if not c.children]
 
 
-def _checked(d: np.ndarray, names: list[str]) -> np.ndarray:
-    d = np.array(d, float)
-    if d.shape != (len(names), len(names)) or not len(names):
-        raise ValueError("a matrix needs a name for each row")
-    if len(set(names)) < len(names):
+def cells_of(lower: DataFrame) -> tuple[DataFrame, dict[int, str]]:
+    """(i, j, d) of a lower triangle (i, j, name_i, name_j, d) in both directions without the diagonal, stored; and the genomes' names."""
+    found = stored(lower.select("i", "j", "name_i", "name_j", F.col("d").cast("double").alias("d")), "triangle")
+    names = {r["i"]: r["name_i"] for r in found.where("i = j").select("i", "name_i").collect()}  # one for each genome, as in the tree
+    n, bad = found.where("i > j").agg(F.count("*"), F.count_if(F.col("d").isNull() | F.isnan("d") | (F.abs("d") == float("inf")))).first()
+    if not names or n != len(names) * (len(names) - 1) // 2:
+        raise ValueError("a matrix needs a name for each row and every distance below the diagonal")
+    if len(set(names.values())) < len(names):
         raise ValueError("names are not distinct")
-    if not np.isfinite(d).all():
+    if bad:
         raise ValueError("missing distances; saturated pairs have none")
-    return d
+    below = found.where("i > j").select("i", "j", "d")
+    return stored(below.union(below.select("j", "i", "d")), "cells"), names
+
+
+def _joined(cells: DataFrame, i: int, j: int, less: float) -> DataFrame:
+    """The cells when i and j are one, which goes by j's number: its distances are half of (the two's sum less ``less``)."""
+    both = F.col("i").isin(i, j)
+    new = cells.where(both & ~F.col("j").isin(i, j)).groupBy("j").agg(((F.sum("d") - less) / 2).alias("d")).select(F.lit(j).cast("int").alias("i"), "j", "d")
+    rest = cells.where(~both & ~F.col("j").isin(i, j))
+    return stored(rest.union(new).union(new.select("j", "i", "d")), "cells")
 
 
-def upgma(d: np.ndarray, names: list[str]) -> Clade:
-    """Join the two nearest clusters at half their distance, again and again; the joined one's distances are the mean of the two's, and of equal
-    pairs the last in order is joined."""
-    d, nodes, heights = _checked(d, names), [Clade(n) for n in names], [0.0] * len(names)
+def upgma(cells: DataFrame, names: dict[int, str]) -> Clade:
+    """Average linkage without weights by size (WPGMA): join the two nearest clusters at half their distance, again and again; the joined one's
+    distances are the mean of the two's, and of equal pairs the last in order is joined."""
+    nodes, heights = {k: Clade(n) for k, n in names.items()}, dict.fromkeys(names, 0.0)
     while len(nodes) > 1:
-        _, i, j = min((d[i, j], -i, -j) for i in range(1, len(nodes)) for j in range(i))
+        d, i, j = cells.where("i > j").agg(F.min(F.struct("d", (-F.col("i")).alias("i"), (-F.col("j")).alias("j")))).first()[0]
         i, j = -i, -j
-        height = d[i, j] / 2
         for k in (i, j):
-            nodes[k].length = height - heights[k]
-        nodes[j], heights[j] = Clade(children=[nodes[j], nodes[i]]), height
-        d[j] = d[:, j] = (d[i] + d[j]) / 2
-        d[j, j] = 0
-        d = np.delete(np.delete(d, i, 0), i, 1)
-        del nodes[i], heights[i]
-    return nodes[0]
+            nodes[k].length = d / 2 - heights[k]
+        nodes[j], heights[j] = Clade(children=[nodes[j], nodes.pop(i)]), d / 2
+        if len(nodes) > 1:
+            cells = _joined(cells, i, j, 0.0)
+    return nodes.popitem()[1]
 
 
-def neighbour_joining(d: np.ndarray, names: list[str]) -> Clade:
+def neighbour_joining(cells: DataFrame, names: dict[int, str]) -> Clade:
     """Saitou and Nei's neighbour joining; of equal pairs the first in order is joined."""
-    d, nodes = _checked(d, names), [Clade(n) for n in names]
-    if len(nodes) == 1:
-        return nodes[0]
+    nodes = {k: Clade(n) for k, n in names.items()}
     while len(nodes) > 2:
-        n, r = len(nodes), d.sum(1) / (len(nodes) - 2)
-        q, i, j = min((d[i, j] - r[i] - r[j], i, j) for i in range(1, n) for j in range(i))
-        nodes[i].length = (d[i, j] + r[i] - r[j]) / 2
-        nodes[j].length = d[i, j] - nodes[i].length
-        joined = (d[i] + d[j] - d[i, j]) / 2
-        nodes[j] = Clade(children=[nodes[i], nodes[j]])
-        d[j] = d[:, j] = joined
-        d[j, j] = 0
-        d = np.delete(np.delete(d, i, 0), i, 1)
-        del nodes[i]
-    a, b = nodes
+        sums = cells.groupBy("i").agg((F.sum("d") / (len(nodes) - 2)).alias("r"))
+        q = cells.where("i > j").join(sums.withColumnRenamed("r", "ri"), "i").join(sums.toDF("j", "rj"), "j")
+        _, i, j, d, ri, rj = q.agg(F.min(F.struct((F.col("d") - F.col("ri") - F.col("rj")).alias("q"), "i", "j", "d", "ri", "rj"))).first()[0]
+        nodes[i].length = (d + ri - rj) / 2
+        nodes[j].length = d - nodes[i].length
+        nodes[j] = Clade(children=[nodes.pop(i), nodes[j]])
+        cells = _joined(cells, i, j, d)
+    if len(nodes) == 1:
+        return nodes.popitem()[1]
+    (_, a), (_, b) = sorted(nodes.items())
     inner, outer = (a, b) if a.children else (b, a)
-    outer.length = d[0, 1]
+    outer.length = cells.agg(F.max("d")).first()[0]
     return Clade(children=[*inner.children, outer]) if inner.children else Clade(children=[a, b])
 
 
 def _neighbours(root: Clade) -> tuple[list[Clade], list[list[tuple[int, float]]]]:
-    nodes, links = [root], [[]]
-
-    def walk(node: Clade, k: int) -> None:
+    """The nodes in preorder, and each one's neighbours with the length between; a parent comes first."""
+    nodes = root.preorder()
+    number = {id(c): k for k, c in enumerate(nodes)}
+    links: list[list[tuple[int, float]]] = [[] for _ in nodes]
+    for k, node in enumerate(nodes):
         for c in node.children:
-            nodes.append(c)
-            links.append([(k, c.length)])
-            links[k].append((len(nodes) - 1, c.length))
-            walk(c, len(nodes) - 1)
-
-    walk(root, 0)
+            links[number[id(c)]].append((k, c.length))
+    for k, node in enumerate(nodes):
+        links[k] += [(number[id(c)], c.length) for c in node.children]
     return nodes, links
 
 
 def _rooted(nodes: list[Clade], links: list[list[tuple[int, float]]], a: int, b: int, from_a: float) -> Clade:
     """The tree hung up on the edge between nodes a and b, ``from_a`` away from a."""
-
-    def build(k: int, parent: int, length: float) -> Clade:
-        below = [build(x, k, w) for x, w in links[k] if x != parent]
-        if len(below) == 1 and not nodes[k].name:  # a root of old, now on the way
-            return Clade(below[0].name, below[0].length + length, below[0].children)
-        return Clade(nodes[k].name if not below else None, length, below)
-
     whole = next(w for x, w in links[a] if x == b)
-    return Clade(children=[build(a, b, from_a), build(b, a, whole - from_a)])
+    order, stack = [], [(b, a, whole - from_a), (a, b, from_a)]
+    while stack:
+        k, parent, length = stack.pop()
+        order.append((k, parent, length))
+        stack += [(x, k, w) for x, w in links[k] if x != parent]
+    made: dict[int, Clade] = {}
+    for k, parent, length in reversed(order):
+        below = [made[x] for x, _ in links[k] if x != parent]
+        if len(below) == 1 and not nodes[k].name:  # a root of old, now on the way
+            made[k] = Clade(below[0].name, below[0].length + length, below[0].children)
+        else:
+            made[k] = Clade(nodes[k].name if not below else None, length, below)
+    return Clade(children=[made[a], made[b]])
 
 
 def root_at_midpoint(tree: Clade) -> Clade:
-    """Hang the tree up in the middle of its longest path between leaves."""
+    """Hang the tree up in the middle of its longest path between leaves; of equally long ones the first in preorder."""
     nodes, links = _neighbours(tree)
-
-    def far(start: int) -> tuple[float, list[tuple[int, float]]]:
-        best, stack = (-1.0, []), [(start, -1, 0.0, [(start, 0.0)])]
-        while stack:
-            k, parent, d, path = stack.pop()
-            if k != start and not nodes[k].children and nodes[k].name is not None and d > best[0]:
-                best = (d, path)
-            stack += [(x, k, d + w, [*path, (x, d + w)]) for x, w in links[k] if x != parent]
-        return best
-
-    leaves = [k for k, n in enumerate(nodes) if not n.children]
-    if len(leaves) < 2:
+    if sum(not n.children for n in nodes) < 2:
         return tree
-    total, path = max((far(k) for k in leaves), key=lambda x: x[0])
-    for (a, da), (b, db) in zip(path, path[1:]):
-        if db >= total / 2:
-            return _rooted(nodes, links, a, b, total / 2 - da)
+    number = {id(c): k for k, c in enumerate(nodes)}
+    down: list[tuple[float, int]] = [(0.0, -1)] * len(nodes)  # the longest way down to a leaf, and the child it goes by
+    best: tuple[float, int, int, int] | None = None
+    for k in range(len(nodes) - 1, -1, -1):
+        ways = sorted((-(down[c][0] + nodes[c].length), c) for c in map(number.get, map(id, nodes[k].children)))
+        if ways:
+            down[k] = (-ways[0][0], ways[0][1])
+        if len(ways) > 1 and (best is None or -ways[0][0] - ways[1][0] >= best[0]):
+            best = (-ways[0][0] - ways[1][0], k, ways[0][1], ways[1][1])
+    total, top, left, right = best
+
+    def way(k: int) -> list[int]:
+        out = [k]
+        while down[out[-1]][1] >= 0:
+            out.append(down[out[-1]][1])
+        return out
+
+    path, at = [*reversed(way(left)), top, *way(right)], 0.0
+    for a, b in zip(path, path[1:]):
+        step = next(w for x, w in links[a] if x == b)
+        if at + step >= total / 2:
+            return _rooted(nodes, links, a, b, total / 2 - at)
+        at += step
     return tree
 
 
@@ -137,75 +164,70 @@ def root_at_outgroup(tree: Clade, name: str) -> Clade:
 
 def ordered(tree: Clade) -> Clade:
     """Children by their least leaf name; inner nodes without names."""
-    children = sorted((ordered(c) for c in tree.children), key=lambda c: min(c.leaves()))
-    return Clade(None if children else tree.name, tree.length, children)
+    made: dict[int, tuple[str, Clade]] = {}
+    for node in reversed(tree.preorder()):
+        below = sorted((made[id(c)] for c in node.children), key=lambda x: x[0])
+        made[id(node)] = (below[0][0] if below else node.name, Clade(None if below else node.name, node.length, [c for _, c in below]))
+    return made[id(tree)][1]
 
 
 def to_newick(tree: Clade) -> str:
     """Newick with five decimals; names with special characters are quoted."""
-
-    def write(c: Clade, top: bool = False) -> str:
-        name = c.name or ""
+    out: list[str] = []
+    stack: list[tuple[Clade, int]] = [(tree, 0)]
+    while stack:
+        node, done = stack.pop()
+        if done < len(node.children):
+            out.append("," if done else "(")
+            stack += [(node, done + 1), (node.children[done], 0)]
+            continue
+        name = node.name or ""
         if re.search(r"[\s()\[\]':;,]", name):
             name = "'" + name.replace("'", "''") + "'"
-        inner = "(" + ",".join(map(write, c.children)) + ")" if c.children else ""
-        return f"{inner}{name}" + ("" if top else f":{c.length:.5f}")
-
-    return write(tree, True) + ";"
+        out.append((")" if node.children else "") + name + ("" if node is tree else f":{node.length:.5f}"))
+    return "".join(out) + ";"
 
 
 def from_newick(text: str) -> Clade:
     """Read one Newick tree; comments in brackets are skipped, missing lengths are 0."""
     tokens = re.findall(r"'(?:[^']|'')*'|[(),:;]|[^\s(),:;'\[]+", re.sub(r"\[[^\]]*\]", "", text))
-    at = 0
-
-    def clade() -> Clade:
-        nonlocal at
-        node = Clade()
-        if at < len(tokens) and tokens[at] == "(":
-            while tokens[at] in "(,":
-                at += 1
-                node.children.append(clade())
-            if tokens[at] != ")":
-                raise ValueError("unclosed parenthesis")
-            at += 1
-        if at < len(tokens) and tokens[at] not in "(),:;":
-            t = tokens[at]
+    tree, open_, at, length = Clade(), [], 0, False
+    node = tree
+    while at < len(tokens) and tokens[at] != ";":
+        t = tokens[at]
+        if t in "(,":
+            if t == "," and not open_:
+                raise ValueError("a comma outside parentheses")
+            if t == "(":
+                open_.append(node)
+            node = Clade()
+            open_[-1].children.append(node)
+        elif t == ")":
+            if not open_:
+                raise ValueError("unopened parenthesis")
+            node = open_.pop()
+        elif t == ":":
+            length = True
+        elif length:
+            node.length, length = float(t), False
+        else:
             node.name = t[1:-1].replace("''", "'") if t[0] == "'" else t
-            at += 1
-        if at < len(tokens) and tokens[at] == ":":
-            node.length = float(tokens[at + 1])
-            at += 2
-        return node
-
-    try:
-        tree = clade()
-    except IndexError:
-        raise ValueError("the tree ends early") from None
-    if at >= len(tokens) or tokens[at] != ";":
+        at += 1
+    if open_:
+        raise ValueError("unclosed parenthesis")
+    if at >= len(tokens):
         raise ValueError("a tree ends with a semicolon")
     return tree
 
 
-def collect_matrix(lower: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """The square matrix and names of a lower triangle (i, j, name_i, name_j, d)."""
-    rows = lower.orderBy("i", "j").collect()
-    n = 1 + max((r["i"] for r in rows), default=-1)
-    d, names = np.zeros((n, n)), [""] * n
-    for r in rows:
-        d[r["i"], r["j"]] = d[r["j"], r["i"]] = np.nan if r["d"] is None else r["d"]
-        names[r["i"]] = r["name_i"]
-    return d, names
-
-
 def tree(lower: DataFrame, method: str = "nj", outgroup: str | None = None) -> Clade:
-    """The tree of a lower triangle: NJ, rooted at the midpoint or an outgroup, or UPGMA; children in order."""
+    """The tree of a lower triangle (i, j, name_i, name_j, d): NJ, rooted at the midpoint or an outgroup, or UPGMA; children in order."""
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
-    d, names = collect_matrix(lower)
+    cells, names = cells_of(lower)
     if method == "upgma":
-        return ordered(upgma(d, names))
-    joined = neighbour_joining(d, names)
+        return ordered(upgma(cells, names))
+    joined = neighbour_joining(cells, names)
     return ordered(root_at_outgroup(joined, outgroup) if outgroup else root_at_midpoint(joined))
 
 

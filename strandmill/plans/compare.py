@@ -75,7 +75,7 @@ def _stored(spark: SparkSession, found: DataFrame, genomes: DataFrame, run: Run)
         write_cores(leveled, run.core_store, "overwrite")
         leveled = read_cores(spark, run.core_store, run.level)
     if run.outputs:
-        leveled = leveled.persist()
+        leveled = leveled.persist()  # written, then compared
         write_core_files(leveled, genomes)
     return leveled if run.core_store or run.outputs else found
 

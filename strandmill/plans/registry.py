@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -282,11 +281,10 @@ _register(
 
 
 def language_tree(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    rows = language_square(spark, sf_dir).orderBy("i", "j").collect()
-    names = sorted({r["i"] for r in rows})
-    d = np.array([r["dice"] for r in rows]).reshape(len(names), len(names))
-    root = tree.upgma(d, names) if method == "upgma" else tree.root_at_midpoint(tree.neighbour_joining(d, names))
-    root = tree.ordered(root)
+    square = stored(language_square(spark, sf_dir), "square")
+    number = numbered_names(square).select(F.col("genome_idx").alias("k"), F.col("short_name").alias("s"))
+    lower = square.join(number.toDF("ki", "i"), "i").join(number.toDF("kj", "j"), "j").where("kj <= ki")
+    root = tree.tree(lower.select(F.col("ki").alias("i"), F.col("kj").alias("j"), F.col("i").alias("name_i"), F.col("j").alias("name_j"), F.col("dice").alias("d")), method)
     return rounded(tree.edges(spark, root)).withColumn("newick", F.lit(tree.to_newick(root)))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import work_folder
+
 ON_MISSING = ("fail", "empty")
 
 
@@ -96,12 +98,23 @@ def read_cores(spark: SparkSession, path: str, level: int | None = None) -> Data
 
 
 def write_core_files(cores: DataFrame, genomes: DataFrame) -> None:
-    """Store each genome's cores in a folder of its own, the manifest's ``out_path``.
-
-    ``cores`` should be persisted or read from a store: it is filtered once for each genome.
-    """
+    """Store each genome's cores in a folder of its own, the manifest's ``out_path``: one partitioned write of all
+    genomes, whose folders are then moved to their places."""
+    spark = cores.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stage = work_folder(spark, "stage")
+    cores.join(F.broadcast(genomes.where("out_path is not null").select("genome_idx")), "genome_idx", "left_semi").write.partitionBy("genome_idx").parquet(stage)
     for r in genomes.select("genome_idx", "out_path").where("out_path is not null").orderBy("genome_idx").collect():
-        cores.where(F.col("genome_idx") == r["genome_idx"]).drop("genome_idx").write.mode("overwrite").parquet(r["out_path"])
+        here, there = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{stage}/genome_idx={r['genome_idx']}", r["out_path"]))
+        files, target = here.getFileSystem(conf), there.getFileSystem(conf)
+        if not files.exists(here):  # a genome without cores
+            cores.drop("genome_idx").limit(0).write.mode("overwrite").parquet(r["out_path"])
+            continue
+        target.delete(there, True)
+        if there.getParent() is not None:
+            target.mkdirs(there.getParent())
+        if not jvm.org.apache.hadoop.fs.FileUtil.copy(files, here, target, there, True, conf):
+            raise OSError(f"could not move cores to {r['out_path']}")
 
 
 def read_core_files(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail", level: int | None = None) -> DataFrame:

@@ -62,3 +62,14 @@ def test_square_and_nearest(spark):
 def test_modes_are_checked(spark):
     with pytest.raises(ValueError):
         distance.distances(sig_of(spark, {0: [(1, 3)]}), mode="bag")
+
+
+def test_many_genomes_are_paired_in_blocks(spark, monkeypatch):
+    """A core that more genomes have than a block holds, and a matrix of several blocks, lose no pair."""
+    rows = [(g, c, 1 + (g * c) % 3) for g in range(40) for c in range(12) if c < 2 or (g * 7 + c) % 5 < 2]
+    sig = spark.createDataFrame(rows, "genome_idx int, item int, cnt long")
+    want = {m: sorted(map(tuple, distance.distances(sig, ("item",), mode=m, length=None).collect())) for m in ("set", "vec")}
+    assert len(want["set"]) == 40 * 39 // 2
+    monkeypatch.setattr(distance, "BLOCK", 7)
+    for mode, rows in want.items():
+        assert sorted(map(tuple, distance.distances(sig, ("item",), mode=mode, length=None).collect())) == rows

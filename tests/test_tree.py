@@ -8,6 +8,53 @@ NAMES = list("abcde")
 D = np.array([[0, 5, 9, 9, 8], [5, 0, 10, 10, 9], [9, 10, 0, 8, 7], [9, 10, 8, 0, 3], [8, 9, 7, 3, 0]], float)
 
 
+def lower(spark, d, names):
+    rows = [(i, j, names[i], names[j], float(d[i][j])) for i in range(len(names)) for j in range(i + 1)]
+    return spark.createDataFrame(rows, "i int, j int, name_i string, name_j string, d double")
+
+
+def nj(spark, d, names):
+    return t.neighbour_joining(*t.cells_of(lower(spark, d, names)))
+
+
+def upgma(spark, d, names):
+    return t.upgma(*t.cells_of(lower(spark, d, names)))
+
+
+def plain_nj(d, names):
+    """Neighbour joining on an array."""
+    d, nodes = np.array(d, float), [t.Clade(n) for n in names]
+    while len(nodes) > 2:
+        n, r = len(nodes), d.sum(1) / (len(nodes) - 2)
+        _, i, j = min((d[i, j] - r[i] - r[j], i, j) for i in range(1, n) for j in range(i))
+        nodes[i].length = (d[i, j] + r[i] - r[j]) / 2
+        nodes[j].length = d[i, j] - nodes[i].length
+        joined = (d[i] + d[j] - d[i, j]) / 2
+        nodes[j] = t.Clade(children=[nodes[i], nodes[j]])
+        d[j] = d[:, j] = joined
+        d[j, j] = 0
+        d = np.delete(np.delete(d, i, 0), i, 1)
+        del nodes[i]
+    nodes[1].length = d[0, 1]
+    return t.Clade(children=nodes)
+
+
+def plain_upgma(d, names):
+    """Average linkage on an array."""
+    d, nodes, heights = np.array(d, float), [t.Clade(n) for n in names], [0.0] * len(names)
+    while len(nodes) > 1:
+        _, i, j = min((d[i, j], -i, -j) for i in range(1, len(nodes)) for j in range(i))
+        i, j = -i, -j
+        for k in (i, j):
+            nodes[k].length = d[i, j] / 2 - heights[k]
+        nodes[j], heights[j] = t.Clade(children=[nodes[j], nodes[i]]), d[i, j] / 2
+        d[j] = d[:, j] = (d[i] + d[j]) / 2
+        d[j, j] = 0
+        d = np.delete(np.delete(d, i, 0), i, 1)
+        del nodes[i], heights[i]
+    return nodes[0]
+
+
 def path_lengths(root):
     nodes, links = t._neighbours(root)
     out = {}
@@ -24,33 +71,53 @@ def path_lengths(root):
 
 
 @pytest.mark.parametrize("change", [lambda x: x, t.root_at_midpoint, lambda x: t.root_at_outgroup(x, "c"), t.ordered])
-def test_nj_recovers_an_additive_matrix(change):
-    got = path_lengths(change(t.neighbour_joining(D, NAMES)))
+def test_nj_recovers_an_additive_matrix(spark, change):
+    got = path_lengths(change(nj(spark, D, NAMES)))
     for i, a in enumerate(NAMES):
         for j, b in enumerate(NAMES):
             assert got[a, b] == pytest.approx(D[i, j])
 
 
-def test_midpoint_is_in_the_middle():
-    root = t.root_at_midpoint(t.neighbour_joining(D, NAMES))
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trees_are_those_of_arrays(spark, seed):
+    rng = np.random.default_rng(seed)
+    d = np.tril(rng.random((9, 9)) + 0.5, -1)
+    d, names = d + d.T, [f"g{k}" for k in range(9)]
+    assert t.to_newick(t.ordered(upgma(spark, d, names))) == t.to_newick(t.ordered(plain_upgma(d, names)))
+    got, want = (path_lengths(x) for x in (nj(spark, d, names), plain_nj(d, names)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_tree_of_any_depth():
+    root, deep = t.Clade("x", 1.0), 5000
+    for k in range(deep):
+        root = t.Clade(None, 1.0, [root, t.Clade(f"l{k}", 1.0)])
+    text = t.to_newick(root)
+    assert t.to_newick(t.from_newick(text)) == text
+    middle = t.root_at_midpoint(root)
+    assert len(t.ordered(middle).leaves()) == deep + 1 and len(t.root_at_outgroup(root, "l7").leaves()) == deep + 1
+
+
+def test_midpoint_is_in_the_middle(spark):
+    root = t.root_at_midpoint(nj(spark, D, NAMES))
     depth = lambda c: max([depth(x) + x.length for x in c.children], default=0.0)
     a, b = (depth(c) + c.length for c in root.children)
     assert a == pytest.approx(b) == pytest.approx(5)
 
 
-def test_upgma_by_hand():
+def test_upgma_by_hand(spark):
     d = np.array([[0, 2, 6], [2, 0, 8], [6, 8, 0]], float)
-    assert t.to_newick(t.ordered(t.upgma(d, ["a", "b", "c"]))) == "((a:1.00000,b:1.00000):2.50000,c:3.50000);"
+    assert t.to_newick(t.ordered(upgma(spark, d, ["a", "b", "c"]))) == "((a:1.00000,b:1.00000):2.50000,c:3.50000);"
 
 
-def test_small_trees_and_checks():
-    assert t.to_newick(t.neighbour_joining(np.zeros((1, 1)), ["a"])) == "a;"
-    assert t.root_at_midpoint(t.neighbour_joining(np.array([[0, 4.0], [4, 0]]), ["a", "b"])).children[0].length == 2
-    for bad in ((np.zeros((2, 2)), ["a", "a"]), (np.array([[0, np.nan], [np.nan, 0]]), ["a", "b"]), (np.zeros((2, 2)), ["a"])):
+def test_small_trees_and_checks(spark):
+    assert t.to_newick(nj(spark, np.zeros((1, 1)), ["a"])) == "a;"
+    assert t.root_at_midpoint(nj(spark, np.array([[0, 4.0], [4, 0]]), ["a", "b"])).children[0].length == 2
+    for bad in (lower(spark, np.zeros((2, 2)), ["a", "a"]), lower(spark, np.array([[0, np.nan], [np.nan, 0]]), ["a", "b"]), lower(spark, D, NAMES).where("i <> 3 or j <> 1")):
         with pytest.raises(ValueError):
-            t.upgma(*bad)
+            t.tree(bad)
     with pytest.raises(ValueError):
-        t.root_at_outgroup(t.neighbour_joining(D, NAMES), "z")
+        t.tree(lower(spark, D, NAMES), "nj", "z")
 
 
 def test_newick_round_trip():
@@ -63,5 +130,5 @@ def test_newick_round_trip():
 
 
 def test_edges(spark):
-    rows = t.edges(spark, t.ordered(t.upgma(D, NAMES))).collect()
+    rows = t.edges(spark, t.ordered(upgma(spark, D, NAMES))).collect()
     assert len(rows) == 9 and sum(r["name"] is not None for r in rows) == 5 and [r["parent"] for r in rows].count(None) == 1
