@@ -79,3 +79,20 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
     mix = F.xxhash64(*[c for c in big.columns if c != key], F.lit(0))
     salted = big.withColumn("__salt", F.when(F.col(key).isNull(), F.pmod(mix, F.lit(1 << 30)).cast("int")).otherwise(F.pmod(mix, F.lit(salt)).cast("int")))
     return salted.join(dealt, [key, "__salt"], how).drop("__salt")
+
+
+#: Rows of a key beyond which they do not meet in a join by key.
+HUB = 20_000
+
+
+def told_join(big: DataFrame, small: DataFrame, key: str, n: str, hub: int | None = None) -> DataFrame:
+    """Inner join of ``big`` with ``small``, a spooled table of one row for each ``key`` whose column ``n`` counts the rows of ``big`` that
+    have it. Keys of more than ``hub`` rows are few; they are told to their rows where these lie (see lookup_join), the others shuffle."""
+    hub = HUB if hub is None else hub
+    told = [c for c in small.columns if c not in (key, n)]
+    hubs = small.where(F.col(n) > hub).select(key, *told, F.lit(True).alias("__hub"))
+    if hubs.isEmpty():
+        return big.join(small.drop(n), key)
+    tagged = lookup_join(big, spool(hubs, "hubs"), key)
+    rest = tagged.where("__hub is null").select(*big.columns).join(small.where(F.col(n) <= hub).drop(n), key)
+    return tagged.where("__hub").drop("__hub").unionByName(rest)

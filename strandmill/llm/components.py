@@ -4,7 +4,7 @@ Alternating large-star and small-star steps (Kiveris et al., "Connected Componen
 Beyond", 2014): after each pair of steps every node's edges lead to smaller nodes, and the table
 shrinks towards one star per component. The number of rounds grows with the logarithm of the largest
 component, not with its diameter, and no step gathers a component in one place: minima are
-aggregated (partially before the shuffle) and joined back.
+aggregated (partially before the shuffle) and joined back, those of hubs without a shuffle by node.
 """
 
 from __future__ import annotations
@@ -12,38 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_spool, lookup_join, spool
-
-#: Edges of a node beyond which they do not meet in its join: such hubs are few, and their minima go to the edges instead.
-HUB = 20_000
-
+from .common import drop_spool, spool, told_join
 
 def _least(edges: DataFrame) -> DataFrame:
     """(a, m, n): the least neighbour of each node and the number of its edges; partial minima come before the shuffle."""
     return spool(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
 
 
-def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` with the least neighbour m of their node a."""
-    hubs = least.where(F.col("n") > HUB).select("a", "m")
-    if hubs.isEmpty():
-        return edges.join(least.select("a", "m"), "a")
-    tagged = lookup_join(edges, spool(hubs, "hubs"), "a").select("a", "b", "m")
-    rest = tagged.where("m is null").select("a", "b").join(least.where(F.col("n") <= HUB).select("a", "m"), "a")
-    return tagged.where("m is not null").unionByName(rest)
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    told = _told(both, _least(both)).where("b > a")
+    told = told_join(both, _least(both), "a", "n").where("b > a")
     return told.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges run from larger to smaller; a node's smaller neighbours are linked to the smallest."""
     least = _least(edges)
-    hung = _told(edges, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    hung = told_join(edges, least, "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 

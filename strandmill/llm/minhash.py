@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, spool
+from .common import lookup_join, spool, told_join
 from .components import connected_components
 from .shingles import SYMBOLS, multipliers, prints, shingle_sets, signatures
 from .words import mixed
@@ -88,10 +88,10 @@ def index(classes: DataFrame) -> DataFrame:
 
 
 def stars(keys: DataFrame) -> DataFrame:
-    """(key, rep, pivot) for the keys of two or more classes; the pivot is the least of the key. Pivots are partial minima, told to
-    the keys' rows by a join of checked size, so a key of any number of classes is dealt over tasks."""
-    pivots = spool(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot"), "pivots")
-    return lookup_join(keys, pivots, "key", "inner").select("key", "rep", "pivot")
+    """(key, rep, pivot) for the keys of two or more classes; the pivot is the least of the key. Pivots are partial minima, joined
+    back to the keys' rows; those of keys of very many classes go to the rows instead, so such a key is dealt over tasks."""
+    pivots = spool(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1"), "pivots")
+    return told_join(keys, pivots, "key", "m").select("key", "rep", "pivot")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandmill.llm import common, components, minhash, shingles
+from strandmill.llm import common, minhash, shingles
 from strandmill.llm.components import connected_components
 from strandmill.llm.queries import QUERIES
 from strandmill.session import table
@@ -94,7 +94,7 @@ def test_a_large_component_and_others_share_keys(spark, monkeypatch):
 
 def test_joins_beyond_what_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(components, "HUB", 3)
+    monkeypatch.setattr(common, "HUB", 3)
     rows = corpus(4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_force(rows)
@@ -136,7 +136,7 @@ def test_long_rows_are_cut_at_white_space(monkeypatch):
 
 @pytest.mark.parametrize("hub", [20_000, 5])
 def test_components_of_random_graphs(spark, monkeypatch, hub):
-    monkeypatch.setattr(components, "HUB", hub)
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5), (None, 3)] + [(2000, k) for k in range(2001, 2300)]
     parent = {}
