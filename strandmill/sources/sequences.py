@@ -6,10 +6,15 @@ many tasks; gzip files are decompressed by one task each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import work_folder
+from ..session import stored, work_folder
 
 ON_MISSING = ("fail", "empty")
 
@@ -60,8 +65,68 @@ def read_fasta(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail
     return _with_genome(rows, manifest).select("genome_idx", "record_idx", "seq")
 
 
+READ = "path string, record_idx long, name string, seq string, plus string, quality string"
+#: Blocks of input files up to which their starts are broadcast.
+FEW_BLOCKS = 200_000
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[bool, tuple, pa.Array]]:
+    """Lines of one block after the other, in batches: whether the block begins, what ``names`` say of it, its lines without carriage returns."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        path, at = b.column("path"), b.column("at").to_numpy()
+        codes = path.dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (codes[1:] != codes[:-1])) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            about = tuple(b.column(n)[start].as_py() for n in names)
+            key = (path[start].as_py(), int(at[start]))
+            yield key != last, about, pc.replace_substring_regex(b.column("value").slice(start, end - start), r"\r$", "")
+            last = key
+
+
+def _block_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, at, n, row, line) of the first and last three lines of each block of n lines."""
+    block, n, head, tail = None, 0, [], []
+
+    def told() -> pa.RecordBatch:
+        rows = dict(enumerate(head)) | {n - len(tail) + k: x for k, x in enumerate(tail)}
+        return pa.RecordBatch.from_pylist([{"path": block[0], "at": block[1], "n": n, "row": k, "line": x} for k, x in sorted(rows.items())], schema)
+
+    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("line", pa.string())])
+    for new, about, lines in _runs(batches, "path", "at"):
+        if new:
+            if block:
+                yield told()
+            block, n, head, tail = about, 0, [], []
+        if len(head) < 3:
+            head += lines.slice(0, 3 - len(head)).to_pylist()
+        tail = (tail + lines.slice(max(0, len(lines) - 3)).to_pylist())[-3:]
+        n += len(lines)
+    if block:
+        yield told()
+
+
+def _whole_reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The reads whose four lines lie in one block, by the numbers of lines before it."""
+    held, nr, skip = None, 0, 0
+    for new, (path, before), lines in _runs(batches, "path", "before"):
+        if new:  # lines of a read that the block before began are passed over
+            skip, held = -before % 4, None
+            nr = before + skip
+        lines, skip = lines.slice(skip), max(0, skip - len(lines))
+        lines = pa.concat_arrays([held, lines]) if held is not None and len(held) else lines
+        n = len(lines) // 4
+        parts = [lines.take(pa.array(np.arange(k, 4 * n, 4))) for k in range(4)]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.arange(nr // 4, nr // 4 + n)), *parts], ["path", "record_idx", "name", "seq", "plus", "quality"])
+        nr, held = nr + 4 * n, lines.slice(4 * n)
+
+
 def read_fastq(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail") -> DataFrame:
-    """Reads of the manifest's FASTQ files, gzip or plain: (genome_idx, record_idx, seq).
+    """Reads of the manifest's FASTQ files, gzip or plain: (genome_idx, record_idx, seq). Lines stay in their tasks; only
+    those of reads that lie across two blocks are shuffled.
 
     Four lines are a read: @name, sequence, +, qualities of the sequence's length. Anything else raises an error, a
     truncated last read too. record_idx counts a file's reads from 0.
@@ -69,17 +134,24 @@ def read_fastq(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail
     paths = _present(spark, manifest, on_missing)
     if not paths:
         return spark.createDataFrame([], "genome_idx int, record_idx long, seq string")
-    raw = spark.read.text(paths).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    raw = raw.withColumn("id", F.monotonically_increasing_id())
-    # Line numbers: rows of each block are counted once, and blocks are summed, so lines stay in their tasks.
-    block = ["path", "at", "part"]
-    raw = raw.withColumn("part", F.shiftright("id", 33)).withColumn("row", F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
-    span = raw.groupBy(*block).agg(F.count("*").alias("n"), F.min("row").alias("row0"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at", "part", "row0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = raw.join(span.select(*block, "row0", before.alias("before")), block).withColumn("nr", F.col("row") - F.col("row0") + F.col("before"))
-    quads = numbered.groupBy("path", F.floor(F.col("nr") / 4).alias("record_idx"))
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    # A block tells how many lines it has and its outermost three on either side; block sizes summed up give every line its number.
+    ends = stored(raw.mapInArrow(_block_ends, "path string, at long, n long, row long, line string"), "blocks")
+    blocks = ends.where("row = 0").select("path", "at", "n")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = stored(blocks.select("path", "at", "n", before.alias("before")), "starts")
+    if blocks.count() > FEW_BLOCKS and len(paths) > 1:  # in two parts, so that what is broadcast stays bounded
+        first = F.col("in_path").isin(paths[: len(paths) // 2])
+        return read_fastq(spark, manifest.where(first), on_missing).unionByName(read_fastq(spark, manifest.where(~first), on_missing))
+    known = F.broadcast(blocks)
+    whole = raw.join(known.select("path", "at", "before"), ["path", "at"]).select("path", "at", "before", "value").mapInArrow(_whole_reads, READ)
+    # Reads that lie across blocks come from the blocks' ends alone.
+    line = ends.join(known.select("path", "at", "before"), ["path", "at"]).select("path", "at", "n", "before", (F.col("before") + F.col("row")).alias("nr"), "line")
+    start = F.col("nr") - F.col("nr") % 4
+    across = line.where((start < F.col("before")) | (start + 4 > F.col("before") + F.col("n")))
     pick = lambda k: F.max(F.when(F.col("nr") % 4 == k, F.col("line")))
-    reads = quads.agg(pick(0).alias("name"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("quality"))
+    cut = across.groupBy("path", F.floor(F.col("nr") / 4).alias("record_idx")).agg(pick(0).alias("name"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("quality"))
+    reads = whole.unionByName(cut)
     blank = F.coalesce(F.concat_ws("", "name", "seq", "plus", "quality"), F.lit("")) == ""
     sound = F.col("name").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("quality"))
     checked = F.when(F.coalesce(sound, F.lit(False)), F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("malformed read "), F.col("record_idx").cast("string"), F.lit(" in "), F.col("path"))))

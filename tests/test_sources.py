@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 
@@ -47,6 +48,25 @@ def test_missing_files(spark, tmp_path):
     assert sequences.read_fasta(spark, man, "empty").count() == 0
 
 
+@pytest.mark.parametrize("size, rows, few", [(97, 3, 1000), (400, 1, 1000), (1 << 20, 10_000, 1000), (150, 5, 2)])
+def test_fastq_reads_across_blocks(spark, tmp_path, monkeypatch, size, rows, few):
+    """Files cut anywhere, and lines that come in batches of any size, give the reads in order."""
+    monkeypatch.setattr(sequences, "FEW_BLOCKS", few)
+    rng, want = random.Random(size), []
+    for g in range(3):
+        reads = ["".join(rng.choices("ACGT", k=rng.randrange(1, 40))) for _ in range(50)]
+        want += [(g, k, x) for k, x in enumerate(reads)]
+        (tmp_path / f"{g}.fq").write_text("".join(f"@r{k}\n{x}\n+\n{'@' * len(x)}\n" for k, x in enumerate(reads)).replace("\n", "\r\n" if g == 1 else "\n"))
+    man = spark.createDataFrame([(g, str(tmp_path / f"{g}.fq")) for g in range(3)], "genome_idx int, in_path string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        assert sorted(map(tuple, sequences.read_fastq(spark, man).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_fastq(spark, tmp_path):
     text = "@r1\nACGT\n+\nIIII\n@r2\nGG\n+r2\n@+\n"
     a, b = write(tmp_path / "a.fq", text), write(tmp_path / "b.fq.gz", text.replace("GG", "TT"), True)
