@@ -35,6 +35,8 @@ LEVEL = 1
 #: An archive is closed beyond this size; a reading task gets about SPLIT bytes; a batch holds about BATCH.
 ARCHIVE, SPLIT, BATCH = 32 << 20, 8 << 20, 4 << 20
 RETRIES, WAIT = 3, 0.2
+#: Ranges that are planned at most; beyond, they are larger, up to an archive each.
+MOST_RANGES = 50_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "doc_id long, n_bytes long, media binary"
 
@@ -147,7 +149,8 @@ class _Reader(DataSourceReader):
         for path in lists:
             with files.open_input_stream(path) as f:
                 archives += json.loads(f.read())
-        return [_Range(name, start, min(start + self.split, size)) for name, size in archives for start in range(0, size, self.split)] or [_Range("", 0, 0)]
+        split = max(self.split, -(-sum(size for _, size in archives) // MOST_RANGES))
+        return [_Range(name, start, min(start + split, size)) for name, size in archives for start in range(0, size, split)] or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spool
@@ -24,6 +24,14 @@ SCALE, EVERY, K = 256.0, 50, 5
 #: Rows of a cell: at most about so many queries and candidates.
 CELL_QUERIES, CELL_CANDIDATES = 2048, 4096
 BLOCK = 8
+#: The largest score that a long holds.
+MOST = 2**63 - 1
+
+
+def _floor(v: Column) -> Column:
+    """floor(SCALE * v) as a double; from 2**53 on the product is a whole number as it is."""
+    y = v * SCALE
+    return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -34,7 +42,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
     """
     x = F.col("embedding").cast("array<double>")
     sound = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.where(sound & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda v: F.floor(v * SCALE).cast("double")).alias("q"), F.size(x).alias("n"))
+    rows = vectors.where(sound & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, _floor).alias("q"), F.size(x).alias("n"))
     return spool(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
@@ -50,9 +58,7 @@ def top_of_cell(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, id
         big = [[int(v) for v in row] for row in candidates.tolist()]
         for i, row in enumerate(queries.tolist()):
             a = [int(v) for v in row]
-            scored = sorted((-sum(map(int.__mul__, a, b)), int(ids[c]), c) for c, b in enumerate(big) if c != own[i])[:k]
-            if any(abs(s) >= 2**63 for s, _, _ in scored):
-                raise OverflowError("an inner product does not fit into 64 bits")
+            scored = sorted((-max(-MOST, min(MOST, sum(map(int.__mul__, a, b)))), int(ids[c]), c) for c, b in enumerate(big) if c != own[i])[:k]
             yield i, np.array([c for _, _, c in scored], int), np.array([-s for s, _, _ in scored], np.int64)
         return
     columns = np.ascontiguousarray(candidates.T)  # vertical layout
@@ -84,7 +90,8 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     Every other row is a candidate, rows that repeat the query's id or vector included; a row is left out of
     its own list only. Ties go to the smaller vec_id. Fewer than k candidates give fewer ranks. Vectors
     of different length are not compared. A vector of no components scores 0 with its like. Rows with a
-    null id, null vectors and those with null or non-finite components take no part. An empty table
+    null id, null vectors and those with null or non-finite components take no part. A score beyond 64 bits counts as the
+    largest number, or the negative one, that fits. An empty table
     gives an empty result; other columns are ignored.
     """
     rows = quantised(vectors)

@@ -1,11 +1,15 @@
+import hashlib
 import os
 import zipfile
+import zlib
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandmill.llm import media
+from strandmill.llm.queries import QUERIES
+from strandmill.session import table
 
 
 @settings(max_examples=100, deadline=None)
@@ -77,3 +81,27 @@ def test_damaged_members_are_not_passed_on(spark, tmp_path, monkeypatch):
     reader = media._Reader(folder, media.SPLIT, 1)
     with pytest.raises(zipfile.BadZipFile):
         [list(reader.read(p)) for p in reader.partitions()]
+
+
+def test_query_against_plain_python(spark, sf_dir):
+    """Every row of the query, from the text alone."""
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    got = QUERIES["op6_media"](spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b"\0" * (max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        image = media.encode_png(payload)
+        mean = sum(payload) / len(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest())
+        assert r["feature"].startswith(f"lines={len(payload) // 64};mean={mean:.4f};") and r["feature"].endswith(f"values={len(set(payload))}")
+
+
+def test_many_archives_are_planned_in_larger_ranges(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, "text " * 200 * k) for k in range(60)], "doc_id long, text string")
+    media.write_media(docs.repartition(3), str(tmp_path))
+    monkeypatch.setattr(media, "MOST_RANGES", 4)
+    reader = media._Reader(str(tmp_path), 100, 0)
+    ranges = reader.partitions()
+    assert len(ranges) <= 4 + 3 and sum(b.num_rows for r in ranges for b in reader.read(r)) == 60

@@ -26,8 +26,14 @@ def test_large_components_stay_exact():
     c = np.array([[2.0**40, 1], [2.0**20, 1], [1, 1]])
     got = list(topk.top_of_cell(np.array([[2.0**20, 3]]), c, np.array([-1]), np.array([5, 4, 3]), 2))
     assert got[0][2].tolist() == [2**60 + 3, 2**40 + 3]
-    with pytest.raises(OverflowError):
-        list(topk.top_of_cell(np.array([[2.0**40]]), np.array([[2.0**40]]), np.array([-1]), np.array([1]), 1))
+    got = list(topk.top_of_cell(np.array([[2.0**40]]), np.array([[2.0**40], [-(2.0**41)], [2.0**50]]), np.array([-1]), np.array([1, 2, 0]), 3))
+    assert got[0][1].tolist() == [2, 0, 1] and got[0][2].tolist() == [2**63 - 1, 2**63 - 1, 1 - 2**63]
+
+
+def test_components_beyond_a_long(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e30, 0.0]), (2, [1e17, 1.0]), (3, [-1e300, 5.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert [r[2] for r in got] == [1, 2, 3] and got[0][3] == 2**63 - 1 and got[2][3] == 1 - 2**63
 
 
 def test_many_cells_agree_with_one(spark, monkeypatch):

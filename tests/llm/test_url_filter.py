@@ -49,3 +49,9 @@ def test_longest_rule_wins(spark):
     got = [r["rule"] for r in df.select(url_filter.best_rule(F.col("host"), F.col("path"), rules)["rule"].alias("rule")).collect()]
     assert got == ["b.com/a", "b.com/ab", "com/a", None, None]
     assert df.select(url_filter.best_rule(F.col("host"), F.col("path"), [])["rule"]).distinct().count() == 1
+
+
+def test_a_very_long_url(spark):
+    rows = [(1, "http://a.com/en/" + "x/" * 500_000 + "?" + "q" * 100_000, CANON.format("http://b.net/" + "y" * 300_000)), (2, "http://b.net/" + "y" * 300_000, "")]
+    got = {r["page_id"]: (r["verdict"], r["via"], len(r["path"])) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("block", "rule", 4 + 1_000_000), 2: ("block", "alias", 300_001)}
