@@ -7,8 +7,8 @@ all its occurrences go, but for the first one (smallest document id, then place)
 which copies of a page share is still there once.
 
 Sketches are only kept for lines that occur often enough to reach the threshold at all; counting
-occurrences is one hash aggregation, with partial sums before the shuffle. Common lines are salted in
-every join. Texts are shuffled once, in the join that takes removed places out of them.
+occurrences is one hash aggregation, with partial sums before the shuffle. What is known of the most common lines is told to their
+rows where they lie, in every join, so that they do not meet in one task. Texts are shuffled once, in the join that takes removed places out of them.
 
 Everything is built-in DataFrame functions.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import spool, told_join
 
 #: Distinct sites from which a line is boilerplate, and the sketch's size (2**12 registers). A line on two sites may be one page and
 #: its copy; on three nobody wrote it for one of them. A share of all sites would let a table of few sites keep whatever repeats.
@@ -26,8 +26,6 @@ MIN_SITES, LG_K = 3, 12
 #: Estimates within this share of the threshold, and two sites at least, are counted exactly; over six
 #: standard errors of the sketch (1.04 / sqrt(2**12) = 1.6 %).
 NEAR, NEAR_LEAST = 0.125, 2
-#: Rows of one line are dealt over so many tasks.
-SALT = 32
 
 
 def normal(line: Column) -> Column:
@@ -43,11 +41,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, spread, exact) of the line hashes on at least ``min_sites`` sites; ``spread`` is rounded from the sketch unless ``exact``."""
-    often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    salted = often.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    heard = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALT)).cast("int")).join(salted, ["line", "salt"])
-    heard = spool(heard.select("line", "site"), "lines")
+    """(line, spread, exact, n) of the line hashes on at least ``min_sites`` sites; ``spread`` is rounded from the sketch unless ``exact``; n counts
+    the line's rows."""
+    often = spool(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites), "often")
+    heard = spool(told_join(lines.select("line", "site"), often, "line", "n"), "heard")
     spread = heard.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("spread"))
     band = max(NEAR_LEAST, NEAR * min_sites)
     near = F.abs(F.col("spread") - min_sites) <= band
@@ -55,7 +52,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     unsure = spread.where(near).select("line")
     # Counted before the join, in partial sums, so that the many sites of a common line do not meet in one task.
     counted = heard.distinct().groupBy("line").agg(F.count("*").alias("spread")).join(unsure, "line")
-    return sure.union(counted.where(F.col("spread") >= min_sites).select("line", "spread", F.lit(True).alias("exact")))
+    return sure.union(counted.where(F.col("spread") >= min_sites).select("line", "spread", F.lit(True).alias("exact"))).join(often, "line")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -68,9 +65,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     through, but for n_lines and n_removed, which are replaced.
     """
     lines = spool(lines_of(docs), "lines")  # hashes of lines, read three times; texts are split once
-    bad = spool(boilerplate(lines, min_sites), "boilerplate").select("line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALT)).cast("int"))
-    hits = spool(salted.join(bad, ["line", "salt"]).select("doc_id", "mark", "place", "line"), "hits")
+    bad = spool(boilerplate(lines, min_sites).select("line", "n"), "boilerplate")
+    hits = spool(told_join(lines.select("doc_id", "mark", "place", "line"), bad, "line", "n"), "hits")
     at = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.col("place"), F.col("mark"))
     first = hits.groupBy("line").agg(F.min(at).alias("first")).select(F.col("first.*"), F.lit(True).alias("keep"))
     first = first.toDF("_d", "place", "mark", "keep").distinct()

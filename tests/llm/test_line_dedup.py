@@ -1,6 +1,6 @@
 """The bar from which a line counts as boilerplate, in numbers of its own: the SQL and the pipeline's test take the module's constant."""
 
-from strandmill.llm import line_dedup
+from strandmill.llm import common, line_dedup
 
 
 def test_a_line_on_three_of_a_few_sites_goes(spark):
@@ -18,3 +18,13 @@ def test_three_sites_of_many(spark):
     got = {r["doc_id"]: r["text"].split("\n")[1:] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     left = [x for lines in got.values() for x in lines]
     assert left.count("on three") == 1 and left.count("everywhere") == 1 and left.count("on two") == 10
+
+
+def test_very_common_lines_are_told_to_their_rows(spark, monkeypatch):
+    rows = [(k, f"own {k}\ncommon\n{'often' if k % 3 else 'rare ' + str(k)}", f"site {k % 7}") for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, line_dedup.dedup_lines(df).collect()))
+    monkeypatch.setattr(common, "HUB", 70)
+    assert sorted(map(str, line_dedup.dedup_lines(df).collect())) == want and sum("'own 0\\ncommon" in x for x in want) <= 1
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, line_dedup.dedup_lines(df).collect())) == want
