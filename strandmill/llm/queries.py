@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import fim, html_wrapper, langid, line_dedup, media, minhash, mixing, packing, quality, topk, url_filter
+from . import fim, html_wrapper, langid, line_dedup, media, minhash, mixing, packing, quality, topk, url_filter, warc
 from .common import fold
 
 
@@ -60,6 +60,10 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(warc.stamped(table(spark, sf_dir, "pages"))).drop("part", "place")
+
+
 def tokenizer_files() -> dict[str, str]:
     """Where the public tokenizer's files lie on this machine; every executor has them at the same place."""
     import public_tokenizers
@@ -75,7 +79,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files(), weights=PACKING_WEIGHTS).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op7_packing, op8_minhash, op9_topk, op10_html, op12_fim)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op7_packing, op8_minhash, op9_topk, op10_html, op12_fim, op13_warc)}
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.oracle(),
@@ -83,4 +87,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.oracle(),
     "op9_topk": topk.oracle(),
     "op12_fim": fim.oracle(),
+    "op13_warc": warc.oracle(),
 }
