@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import fim, html_wrapper, langid, line_dedup, media, minhash, mixing, packing, quality, topk, url_filter, warc
+from . import fim, hard_negatives, html_wrapper, langid, line_dedup, media, minhash, mixing, packing, quality, topk, url_filter, warc
 from .common import fold
 
 
@@ -56,6 +56,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
 
@@ -79,13 +83,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files(), weights=PACKING_WEIGHTS).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op7_packing, op8_minhash, op9_topk, op10_html, op12_fim, op13_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_mixing, op4_line_dedup, op5_langid, op6_media, op7_packing, op8_minhash, op9_topk, op10_html, op11_hard_negatives, op12_fim, op13_warc)}
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.oracle(),
     "op3_mixing": mixing.oracle(),
     "op4_line_dedup": line_dedup.oracle(),
     "op9_topk": topk.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(),
     "op12_fim": fim.oracle(),
     "op13_warc": warc.oracle(),
 }
