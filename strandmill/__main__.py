@@ -27,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
             one = p.add_mutually_exclusive_group()
             one.add_argument(f"--{side}-cc", dest=f"{side}_cc", type=int, help=f"{side}imum frequency of a core")
             one.add_argument(f"--{side}-cc-file", dest=f"{side}_cc", help=f"file that lists {side}imum frequencies")
+        if name == "fa":
+            p.add_argument("--window", type=int, help="read files by ranges of bytes and parse records by windows of so many bases")
         mode = p.add_mutually_exclusive_group()
         mode.add_argument("--set", dest="mode", action="store_const", const=SET, default=SET)
         mode.add_argument("--vec", dest="mode", action="store_const", const=VECTOR)

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chunked import cores_of_pieces
 from ..functions.lcp import both_strands, cores
 from ..operators import distance, tree
 from ..operators.signature import SET, checked_mode, signature
 from ..session import logger
+from ..sources.fasta_ranges import read_fasta_ranges
 from ..sources.manifest import distinct_names, manifest
 from ..sources.phylip import read_matrix, write_matrices
 from ..sources.sequences import read_core_files, read_cores, read_fasta, read_fastq, write_core_files, write_cores
@@ -21,7 +23,8 @@ class Run:
     """What a comparison needs to know; parallelism is Spark's business.
 
     ``paths`` lists an input for each genome. ``core_store`` is a folder for all genomes' cores; ``outputs`` lists a
-    folder for each genome instead. Thresholds are numbers or lists, too.
+    folder for each genome instead. Thresholds are numbers or lists, too. With ``window`` bases, FASTA is read by ranges of bytes and
+    parsed by windows of that size, so that records of any length are dealt over tasks.
     """
 
     paths: str
@@ -35,6 +38,7 @@ class Run:
     outputs: str | None = None
     on_missing: str = "fail"
     verbose: bool = False
+    window: int | None = None
 
     def __post_init__(self) -> None:
         checked_mode(self.mode)
@@ -87,7 +91,11 @@ def _manifest(spark: SparkSession, run: Run, reads: bool = False) -> DataFrame:
 def from_fasta(spark: SparkSession, run: Run) -> Comparison:
     """Assembled genomes: forward strand; the band applies only if one is given."""
     genomes = _manifest(spark, run)
-    found = _stored(spark, cores(read_fasta(spark, genomes, run.on_missing), run.level), genomes, run)
+    if run.window:
+        parsed = cores_of_pieces(read_fasta_ranges(spark, genomes, run.on_missing), run.level, run.window)
+    else:
+        parsed = cores(read_fasta(spark, genomes, run.on_missing), run.level)
+    found = _stored(spark, parsed, genomes, run)
     return _compare(run, genomes, found, run.min_cc is not None or run.max_cc is not None)
 
 

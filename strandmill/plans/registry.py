@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunked import cores_of_pieces, pieces_of, windows_of
 from ..functions.lcp import EQUAL, both_strands, cores, cores_by_window, decode_label, decode_length, encode_core
 from ..operators import distance, tree
 from ..operators.signature import SET, VECTOR, signature, sizes
 from ..session import stored, table, work_folder
-from ..sources import phylip, sequences
+from ..sources import fasta_ranges, phylip, sequences
 from ..sources.manifest import lines, manifest
 from . import compare
 
@@ -101,6 +102,11 @@ def core_digest(found: DataFrame) -> DataFrame:
 CORE_DIGEST = "select g as genome_idx, rec as record, count(*) as n, sum(len)::bigint as total_len, min(start) as first, max(end_) as last, bit_xor(xor(label, start * 2654435761 + end_)) as mark from cores group by all"
 for _level in (1, 2, 3, 4):
     _register(f"cores_level{_level}", lambda s, d, level=_level: core_digest(language_cores(s, d, level)), f"with {sql_cores(BY_LANGUAGE, _level)} {CORE_DIGEST}")
+_register(
+    "cores_level4_chunked",
+    lambda s, d: core_digest(cores_of_pieces(pieces_of(dna(table(s, d, "documents"), "lang", "doc_id"), 256), 4, 256, 512)),
+    ORACLES["cores_level4"],
+)
 _register("cores_level1_reads", lambda s, d: role_cores(s, d).select(*PLACE), f"with {sql_cores(ROLES)} {CORES_SQL}")
 _register(
     "cores_level1_window",
@@ -318,6 +324,34 @@ def core_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature(sequences.read_cores(spark, path, 1))
 
 
+def long_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(in_path, genome_idx) of one FASTA file for each language, a record for each document, wrapped at 60."""
+    path = work_folder(spark, "genomes")
+    docs = dna(table(spark, sf_dir, "documents"), "lang", "doc_id").where("seq <> ''")
+    lines = docs.select("genome_idx", F.concat(F.lit(">"), F.col("record").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    lines.repartition("genome_idx").write.partitionBy("genome_idx").text(path)
+    return spark.read.text(path).select(F.input_file_name().alias("in_path"), "genome_idx").distinct()
+
+
+def ranges_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read each language's file by ranges of 8 KB, which cut records anywhere, and cut the records into hundreds of bases again."""
+    pieces = fasta_ranges.read_fasta_ranges(spark, long_fasta(spark, sf_dir), split=8192)
+    return windows_of(pieces, 100, 0).groupBy("genome_idx", "window", "bases", "length").agg(F.count("*").alias("n"))
+
+
+def ranges_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level-4 cores of files read by ranges and parsed by windows of 4,096 bases, signed: no task holds a file or needs a record."""
+    pieces = fasta_ranges.read_fasta_ranges(spark, long_fasta(spark, sf_dir), split=65536)
+    return signature(cores_of_pieces(pieces, 4, 4096, 2048))
+
+
+_register(
+    "fasta_ranges",
+    ranges_round_trip,
+    f"""with src as ({BY_LANGUAGE}), cut as (select g, seq, unnest(range(0, (length(seq) + 99) // 100)) as w from src where seq <> '')
+    select g as genome_idx, w::bigint as "window", substr(seq, w * 100 + 1, 100) as bases, length(seq)::bigint as length, count(*) as n from cut group by all""",
+)
+_register("signature_ranges_level4", ranges_signature, f"with {sql_cores(BY_LANGUAGE, 4)}, {SIG} select g as genome_idx, label, len, cnt from sig")
 _register("fasta_scan", fasta_round_trip, f"with src as ({BY_LANGUAGE}) select g as genome_idx, seq, count(*) as n from src where seq <> '' group by all")
 _register("fastq_scan", fastq_round_trip, f"with src as ({ROLES}) select g as genome_idx, seq, count(*) as n from src where seq <> '' group by all")
 _register("core_store", core_store_round_trip, ORACLES["signature"])
