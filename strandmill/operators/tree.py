@@ -1,18 +1,21 @@
 """Trees from distance matrices: neighbour joining, average linkage, rooting, order of children, Newick.
 
-The matrix stays a DataFrame of cells: each step finds the pair to join by an aggregation and replaces two rows and columns by one. Only the pair that is
-joined, one row, comes to the driver, where the tree grows, whose size is that of the list of genomes. No step recurses, so a tree may be of any depth.
+The matrix stays a DataFrame of cells. Neighbour joining finds the pair to join by an aggregation and replaces two rows and columns by one; average linkage joins all
+pairs that are each other's nearest in a step (see tree_table). Only the pairs that are joined come to the driver, where the tree grows, whose size is that of the list of
+genomes. Distances are fixed-point numbers, so sums are exact and ties go by order, not by chance. No step recurses, so a tree may be of any depth.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .tree_table import FIXED, linkage
 
 METHODS = ("nj", "upgma")
 
@@ -45,14 +48,14 @@ def cells_of(lower: DataFrame) -> tuple[DataFrame, dict[int, str]]:
         raise ValueError("names are not distinct")
     if bad:
         raise ValueError("missing distances; saturated pairs have none")
-    below = found.where("i > j").select("i", "j", "d")
+    below = found.where("i > j").select("i", "j", F.col("d").cast(FIXED).alias("d"))
     return stored(below.union(below.select("j", "i", "d")), "cells"), names
 
 
-def _joined(cells: DataFrame, i: int, j: int, less: float) -> DataFrame:
+def _joined(cells: DataFrame, i: int, j: int, less: Decimal) -> DataFrame:
     """The cells when i and j are one, which goes by j's number: its distances are half of (the two's sum less ``less``)."""
     both = F.col("i").isin(i, j)
-    new = cells.where(both & ~F.col("j").isin(i, j)).groupBy("j").agg(((F.sum("d") - less) / 2).alias("d")).select(F.lit(j).cast("int").alias("i"), "j", "d")
+    new = cells.where(both & ~F.col("j").isin(i, j)).groupBy("j").agg(((F.sum("d") - F.lit(less)) / 2).cast(FIXED).alias("d")).select(F.lit(j).cast("int").alias("i"), "j", "d")
     rest = cells.where(~both & ~F.col("j").isin(i, j))
     return stored(rest.union(new).union(new.select("j", "i", "d")), "cells")
 
@@ -61,14 +64,10 @@ def upgma(cells: DataFrame, names: dict[int, str]) -> Clade:
     """Average linkage without weights by size (WPGMA): join the two nearest clusters at half their distance, again and again; the joined one's
     distances are the mean of the two's, and of equal pairs the last in order is joined."""
     nodes, heights = {k: Clade(n) for k, n in names.items()}, dict.fromkeys(names, 0.0)
-    while len(nodes) > 1:
-        d, i, j = cells.where("i > j").agg(F.min(F.struct("d", (-F.col("i")).alias("i"), (-F.col("j")).alias("j")))).first()[0]
-        i, j = -i, -j
-        for k in (i, j):
-            nodes[k].length = d / 2 - heights[k]
-        nodes[j], heights[j] = Clade(children=[nodes[j], nodes.pop(i)]), d / 2
-        if len(nodes) > 1:
-            cells = _joined(cells, i, j, 0.0)
+    for r in sorted(linkage(cells).collect(), key=lambda r: (r["step"], r["kept"])):
+        for k in (r["kept"], r["gone"]):
+            nodes[k].length = r["height"] - heights[k]
+        nodes[r["kept"]], heights[r["kept"]] = Clade(children=[nodes[r["kept"]], nodes.pop(r["gone"])]), r["height"]
     return nodes.popitem()[1]
 
 
@@ -76,18 +75,20 @@ def neighbour_joining(cells: DataFrame, names: dict[int, str]) -> Clade:
     """Saitou and Nei's neighbour joining; of equal pairs the first in order is joined."""
     nodes = {k: Clade(n) for k, n in names.items()}
     while len(nodes) > 2:
-        sums = cells.groupBy("i").agg((F.sum("d") / (len(nodes) - 2)).alias("r"))
+        left = len(nodes) - 2
+        sums = cells.groupBy("i").agg(F.sum("d").cast("decimal(30,15)").alias("r"))
         q = cells.where("i > j").join(sums.withColumnRenamed("r", "ri"), "i").join(sums.toDF("j", "rj"), "j")
-        _, i, j, d, ri, rj = q.agg(F.min(F.struct((F.col("d") - F.col("ri") - F.col("rj")).alias("q"), "i", "j", "d", "ri", "rj"))).first()[0]
-        nodes[i].length = (d + ri - rj) / 2
-        nodes[j].length = d - nodes[i].length
+        times = F.lit(left).cast("decimal(6,0)") * F.col("d") - F.col("ri") - F.col("rj")
+        _, i, j, d, ri, rj = q.agg(F.min(F.struct(times.alias("q"), "i", "j", "d", "ri", "rj"))).first()[0]
+        nodes[i].length = (float(d) + float(ri - rj) / left) / 2
+        nodes[j].length = float(d) - nodes[i].length
         nodes[j] = Clade(children=[nodes.pop(i), nodes[j]])
         cells = _joined(cells, i, j, d)
     if len(nodes) == 1:
         return nodes.popitem()[1]
     (_, a), (_, b) = sorted(nodes.items())
     inner, outer = (a, b) if a.children else (b, a)
-    outer.length = cells.agg(F.max("d")).first()[0]
+    outer.length = float(cells.agg(F.max("d")).first()[0])
     return Clade(children=[*inner.children, outer]) if inner.children else Clade(children=[a, b])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunked import cores_of_pieces, pieces_of, windows_of
 from ..functions.lcp import EQUAL, both_strands, cores, cores_by_window, decode_label, decode_length, encode_core
-from ..operators import distance, tree
+from ..operators import distance, tree, tree_table
 from ..operators.signature import SET, VECTOR, signature, sizes
 from ..session import stored, table, work_folder
 from ..sources import fasta_ranges, phylip, sequences
@@ -450,3 +450,141 @@ _register(
     matrix_files,
     f"with {LANGUAGES}, {SQUARE} select i as name_i, j as name_j, round(round(jaccard, 15) / max(round(jaccard, 15)) over (), {DIGITS}) as d from square where j <= i",
 )
+
+
+# --- trees as tables ------------------------------------------------------------------------------
+
+
+def customer_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges of a tree for each region: its nations, their market segments, and customers as leaves; lengths are made from keys and names."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    own = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    inner = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 40)) + F.lit(1 << 40)
+    at = lambda node, parent, length, name: F.struct(node.cast("long").alias("node"), parent.cast("long").alias("parent"), length.cast("double").alias("branch_length"), name.cast("string").alias("name"))
+    key, segment, none = F.col("n_nationkey"), F.col("c_mktsegment"), F.lit(None)
+    rows = F.array(
+        at(F.lit(0), none, none, none),
+        at(key + 1, F.lit(0), key / 2, none),
+        at(inner(key, segment), key + 1, F.length(segment) / 4, none),
+        at(F.lit(1 << 42) + F.col("c_custkey"), inner(key, segment), (F.col("c_custkey") % 64 + 1) / 8, F.col("c_name")),
+    )
+    return own.select(F.col("n_regionkey").cast("int").alias("tree"), F.explode(rows).alias("e")).select("tree", "e.*").distinct()
+
+
+LEAVES = "leaf as (select n_regionkey::int as tree, n_nationkey as n, c_mktsegment as s, c_name as name, (c_custkey % 64 + 1) / 8.0::double as a, length(c_mktsegment) / 4.0::double as b, n_nationkey / 2.0::double as c from customer join nation on c_nationkey = n_nationkey)"
+_register(
+    "newick_lines",
+    lambda s, d: tree_table.newick_lines(customer_forest(s, d)),
+    f"""with {LEAVES}, seg as (select tree, n, c, min(name) as least, '(' || string_agg(name || printf(':%.5f', a), ',' order by name) || ')' || printf(':%.5f', any_value(b)) as t from leaf group by tree, n, c, s),
+    nat as (select tree, min(least) as least, '(' || string_agg(t, ',' order by least) || ')' || printf(':%.5f', any_value(c)) as t from seg group by tree, n)
+    select tree, '(' || string_agg(t, ',' order by least) || ');' as line from nat group by tree""",
+)
+
+
+def newick_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the forest as Newick, a tree a line, scan it, and tell every leaf's length and those of the two nodes above."""
+    path = work_folder(spark, "newick")
+    tree_table.newick_lines(customer_forest(spark, sf_dir)).select("line").write.text(path)
+    nodes = stored(tree_table.newick_nodes(spark.read.text(path).select(F.xxhash64("value").alias("tree"), F.col("value").alias("line"))), "nodes")
+    upper = lambda k: nodes.select("tree", F.col("node").alias(f"p{k}"), F.col("parent").alias(f"p{k + 1}"), F.col("branch_length").alias(f"length{k}"))
+    leaves = nodes.where("name is not null").withColumnRenamed("parent", "p1")
+    return leaves.join(upper(1), ["tree", "p1"]).join(upper(2), ["tree", "p2"]).select("name", "branch_length", "length1", "length2")
+
+
+_register("newick_scan", newick_scan, f"with {LEAVES} select name, a as branch_length, b as length1, c as length2 from leaf")
+
+APART = f"""{LEAVES}, path as (select x.tree, x.name as x, y.name as y, case when x.name = y.name then 0.0 else x.a + y.a + case when x.n = y.n and x.s = y.s then 0.0 else x.b + y.b + case when x.n = y.n then 0.0 else x.c + y.c end end end as d
+            from leaf x join leaf y on x.tree = y.tree)"""
+
+
+def leaf_depths(edges: DataFrame) -> DataFrame:
+    return tree_table.root_distances(edges).where("leaf").select("tree", "name", F.round("depth", DIGITS).alias("depth"))
+
+
+_register(
+    "tree_midpoint",
+    lambda s, d: leaf_depths(tree_table.root_at_midpoint(customer_forest(s, d))),
+    f"""with {APART}, ends as (select tree, arg_max(x, (d, y, x)) as p, arg_max(y, (d, y, x)) as q, max(d) as whole from path group by tree),
+    legs as (select path.tree, path.x as name, e.whole, path.d as dp, z.d as dq from ends e join path on path.tree = e.tree and path.y = e.p join path z on z.tree = e.tree and z.x = path.x and z.y = e.q)
+    select tree, name, round(abs((dp + whole - dq) / 2 - whole / 2) + dp - (dp + whole - dq) / 2, {DIGITS}) as depth from legs""",
+)
+
+
+def rooted_at_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest, each tree rooted at its leaf of least name."""
+    edges = customer_forest(spark, sf_dir)
+    return tree_table.root_at_outgroup(edges, edges.where("name is not null").groupBy("tree").agg(F.min("name").alias("name")))
+
+
+_register(
+    "tree_outgroup",
+    lambda s, d: leaf_depths(rooted_at_first(s, d)),
+    f"with {APART}, first as (select tree, min(name) as name from leaf group by tree) select path.tree, x as name, round(d, {DIGITS}) as depth from path join first on path.tree = first.tree and y = first.name",
+)
+
+
+def priority_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sig = item_signature(spark, sf_dir, "orders", "o_orderpriority", "o_custkey")
+    return distance.square(distance.distances(sig, ("item",), length=None), sig.select("genome_idx").distinct())
+
+
+def triangle(square: DataFrame) -> DataFrame:
+    """The lower triangle (i, j, name_i, name_j, d) of Dice distances, genomes numbered by name."""
+    number = numbered_names(square).select(F.col("genome_idx").alias("k"), F.col("short_name").alias("s"))
+    lower = square.join(number.toDF("ki", "i"), "i").join(number.toDF("kj", "j"), "j").where("kj <= ki")
+    return lower.select(F.col("ki").alias("i"), F.col("kj").alias("j"), F.col("i").alias("name_i"), F.col("j").alias("name_j"), F.round("dice", 15).alias("d"))
+
+
+def upgma_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clade of the priorities' tree by average linkage, as its leaves' names, and its branch length."""
+    cells, names = tree.cells_of(triangle(stored(priority_square(spark, sf_dir), "square")))
+    edges = tree_table.linked_edges(tree_table.linkage(cells), spark.createDataFrame(list(names.items()), "i int, name string"))
+    below = tree_table.leaves_below(edges).groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("leaf")), "+").alias("clade"), F.first("branch_length").alias("branch_length"))
+    return below.select("clade", F.round("branch_length", DIGITS).alias("branch_length"))
+
+
+def nj_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between priorities along their neighbour-joining tree."""
+    root = tree.tree(triangle(stored(priority_square(spark, sf_dir), "square")), "nj")
+    edges = tree.edges(spark, root).select(F.lit(0).alias("tree"), F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "branch_length", "name")
+    return rounded(tree_table.path_lengths(edges).drop("tree"))
+
+
+PRIORITIES, FIVE = f"sig as (select o_orderpriority as g, o_custkey as item, count(*) as cnt from orders group by all), {sql_distances(SET, 'item', None)}, {SQUARE}", 5
+START = """c0 as materialized (select i, j, round(dice, 15)::decimal(24,15) as d from square where i <> j), k0 as (select i as r, [i] as clade, 0.0::double as h from square where i = j)"""
+TURNED = "case when {0} = b{1}.i then b{1}.j else {0} end"
+
+
+def sql_linkage_steps(n: int) -> str:
+    """CTEs that join n clusters one pair at a time, and e(clade, branch_length) of all clades."""
+    out, ends = [START], ["select clade, 0.0::double as branch_length from k%d" % (n - 1)]
+    for t in range(n - 1):
+        out.append(f"b{t} as materialized (select i, j, d from c{t} where i > j order by d, i desc, j desc limit 1)")
+        out.append(f"c{t + 1} as materialized (select i, j, (sum(d) / count(*))::decimal(24,15) as d from (select {TURNED.format('c.i', t)} as i, {TURNED.format('c.j', t)} as j, c.d from c{t} c, b{t}) where i <> j group by all)")
+        out.append(f"k{t + 1} as materialized (select k.r, k.clade, k.h from k{t} k, b{t} where k.r not in (b{t}.i, b{t}.j) union all select any_value(b{t}.j), list_sort(flatten(list(k.clade))), any_value(b{t}.d)::double / 2 from k{t} k, b{t} where k.r in (b{t}.i, b{t}.j))")
+        ends.append(f"select k.clade, b{t}.d::double / 2 - k.h from k{t} k, b{t} where k.r in (b{t}.i, b{t}.j)")
+    return ", ".join(out) + ", e as (" + " union all ".join(ends) + ")"
+
+
+def sql_joining_steps(n: int) -> str:
+    """CTEs that join n neighbours one pair at a time, and e(clade, branch_length) of the unrooted tree's edges, each by the leaves on one side."""
+    out, ends = [START], []
+    for t in range(n - 2):
+        m = n - t - 2
+        out.append(f"r{t} as (select i, sum(d) as r from c{t} group by i)")
+        out.append(f"b{t} as materialized (select c.i, c.j, c.d, x.r as ri, y.r as rj from c{t} c join r{t} x on x.i = c.i join r{t} y on y.i = c.j where c.i > c.j order by {m} * c.d - x.r - y.r, c.i, c.j limit 1)")
+        turned = f"select {TURNED.format('c.i', t)} as i, {TURNED.format('c.j', t)} as j, c.d, c.i in (b{t}.i, b{t}.j) or c.j in (b{t}.i, b{t}.j) as new, b{t}.d as less from c{t} c, b{t}"
+        out.append(f"c{t + 1} as materialized (select i, j, case when any_value(new) then ((sum(d) - any_value(less)) / 2)::decimal(24,15) else any_value(d) end as d from ({turned}) where i <> j group by i, j)")
+        out.append(f"k{t + 1} as materialized (select k.r, k.clade, k.h from k{t} k, b{t} where k.r not in (b{t}.i, b{t}.j) union all select any_value(b{t}.j), flatten(list(k.clade)), 0.0 from k{t} k, b{t} where k.r in (b{t}.i, b{t}.j))")
+        length = f"(b{t}.d::double + (b{t}.ri - b{t}.rj)::double / {m}) / 2"
+        ends.append(f"select k.clade, case when k.r = b{t}.i then {length} else b{t}.d::double - {length} end as branch_length from k{t} k, b{t} where k.r in (b{t}.i, b{t}.j)")
+    ends.append(f"select k.clade, c.d::double from k{n - 2} k join c{n - 2} c on c.i = k.r where c.i > c.j")
+    return ", ".join(out) + ", e as (" + " union all ".join(ends) + ")"
+
+
+_register("upgma_clades", upgma_clades, f"with {PRIORITIES}, {sql_linkage_steps(FIVE)} select array_to_string(clade, '+') as clade, round(branch_length, {DIGITS}) as branch_length from e")
+_register(
+    "nj_paths",
+    nj_paths,
+    f"with {PRIORITIES}, {sql_joining_steps(FIVE)}, g as (select distinct i as g from square) select x.g as a, y.g as b, round(sum(case when list_contains(clade, x.g) <> list_contains(clade, y.g) then branch_length else 0 end), {DIGITS}) as d from g x join g y on x.g < y.g, e group by all",
+)
