@@ -13,8 +13,9 @@
    reaches time 1 with its last word. Sorting by range of position lays the uses out in training order.
 
 Cumulative sizes are exact and distributed: queues are cut into hash buckets, sums of buckets (not of
-rows) are accumulated by source, and rows only within their bucket. A source that holds a third of all
-rows is spread over all its buckets, and rows that repeat one id and text more than REPEATS times are spread by their row numbers.
+rows) are accumulated by source, and distinct documents only within their bucket. A source that holds a third of all
+rows is spread over all its buckets. Rows that repeat one document stand one after the other, so each needs but its number among them, whatever their
+count; which row gets which number does not show.
 
 Everything is built-in DataFrame functions.
 """
@@ -24,33 +25,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, lookup_join, spool
+from . import common
+from .common import WORD, lookup_join, spool, told_join
 
 #: Weights by rank of the source (repeating), demand over all sizes, cap over a source's size.
 WEIGHTS, DEMAND, REPEAT_CAP = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Schedules by rank of the source (repeating): knots (time, relative weight). The first leads early,
 #: the second is even, the third comes in late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.25)))
-#: Hex digits of the queue hash that name a bucket; 3 are 4,096 buckets for each source.
-BUCKET_DIGITS = 3
-#: Rows of one id and text beyond which their row numbers deal them over the buckets; digits of a position.
-REPEATS, DIGITS = 64, 6
+#: Hex digits of the queue hash that name a bucket, 3 are 4,096 buckets for each source; digits of a position.
+BUCKET_DIGITS, DIGITS = 3, 6
 #: Sources up to which windows over all sources run in one task; more are dealt out by range.
 ONE_TASK = 200_000
 
 
 def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, the queue order ``h``, the bucket of every row and the columns ``carry``; the only pass over the texts.
+    """doc_id, source, size, ``mark`` (hash of the text), ``same`` (equal for repeated rows), ``nr`` and the columns ``carry``; the only pass over the texts.
     Written once, so that rows keep their numbers."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("nr"), *carry)
-    rows = spool(rows.withColumn("same", F.xxhash64("doc_id", "source", "mark")), "sizes")
-    often = spool(rows.groupBy("same").count().where(F.col("count") > REPEATS).select("same", F.lit(True).alias("often")), "often")
-    rows = lookup_join(rows, often, "same")
-    apart = F.concat_ws("|", id_text, F.when(F.col("doc_id").isNull(), F.col("mark").cast("string")), F.when(F.col("often"), F.xxhash64("nr").cast("string")))
-    rows = rows.withColumn("h", F.md5(apart.cast("binary"))).drop("same", "often", "nr")
-    return rows.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    return spool(rows.withColumn("same", F.xxhash64("doc_id", "source", "mark", "size")), "sizes")
+
+
+def queued(rows: DataFrame) -> DataFrame:
+    """A row for each distinct document of ``rows``: same, copies, source, the bucket of its queue, and ``earlier``, the words that stand before it there."""
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    h = F.md5(F.concat_ws("|", id_text, F.when(F.col("doc_id").isNull(), F.col("mark").cast("string"))).cast("binary"))
+    groups = rows.groupBy("source", "doc_id", "size", "mark", "same").agg(F.count("*").alias("copies")).withColumn("h", h).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    before = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.col("size") * F.col("copies")
+    return spool(groups.select("same", "copies", "source", "bucket", held.alias("held"), F.coalesce(F.sum(held).over(before), F.lit(0)).alias("earlier")), "queues")
+
+
+def numbered(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``earlier`` and ``bucket`` of their documents and ``turn``, a number from 0 among the rows of one document. Rows of a document that
+    has more than common.HUB are numbered inside their input partitions, after those of earlier ones."""
+    found = told_join(rows, groups.select("same", "bucket", "earlier", "copies", F.col("copies").alias("n")), "same", "n")
+    own = Window.partitionBy("same").orderBy("nr")
+    out = found.where(F.col("copies") <= common.HUB).withColumn("turn", (F.row_number().over(own) - 1).cast("long"))
+    if groups.where(F.col("copies") > common.HUB).isEmpty():
+        return out
+    many = found.where(F.col("copies") > common.HUB).withColumn("part", F.shiftright("nr", 33)).withColumn("at", F.xxhash64("same", "part"))
+    before = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = many.groupBy("same", "part", "at").agg(F.count("*").alias("k"))
+    starts = spool(counts.select("at", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start")), "starts")
+    inside = Window.partitionBy("same", "part").orderBy("nr")
+    many = lookup_join(many.withColumn("in_part", F.row_number().over(inside) - 1), starts, "at", "inner")
+    return out.unionByName(many.withColumn("turn", F.col("start") + F.col("in_part")).drop("part", "at", "start", "in_part"))
 
 
 def ranked(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
@@ -122,12 +143,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeat_cap: fl
 
     Null text has size 0 and null source is a source, ranked last. Documents without words take 0.
     Repeated rows are separate documents; which of two equal rows is read first does not show. Order
-    depends on ids, sizes and texts alone, so reruns agree (but for rows that are there more than REPEATS times, whose order
-    follows the input's). An empty table gives an empty result; if nothing
+    depends on ids, sizes and texts alone, so reruns agree, however the input is dealt. An empty table gives an empty result; if nothing
     has words, all targets are 0. Columns named in ``carry`` come along, the others are ignored.
     """
     rows = sized(docs, carry)
-    buckets = spool(rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")), "buckets")
+    groups = queued(rows)
+    buckets = spool(groups.groupBy("source", "bucket").agg(F.sum("held").alias("held")), "buckets")
     sums = buckets.groupBy("source").agg(F.sum("held").alias("source_size"))
     targets = source_targets(sums, weights, demand, repeat_cap)
     queue = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,8 +156,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeat_cap: fl
     plan = starts.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "held")
     plan = plan.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "before", "source_size", "rank", "target")
 
-    within = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id"), "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("earlier", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = numbered(rows, groups).withColumn("earlier", F.col("earlier") + F.col("turn") * F.col("size"))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
     placed = placed.withColumn("at", F.col("before") + F.col("earlier")).withColumn("goal", F.floor("target"))
     placed = placed.withColumn("rounds", F.floor(F.col("goal") / F.greatest("source_size", F.lit(1))).cast("long"))
