@@ -3,7 +3,7 @@
 Sources are queues. Windows of WINDOW tokens are filled by deficit round-robin: in each window a source's
 credit grows by its quantum (its target share of the window), it serves as many whole tokens as its
 credit allows, and what is left over, the deficit, goes on to the next window. Documents are cut freely, so
-credits never wait for a document to fit. Targets are given proportions (when a queue runs dry its share passes to the
+credits never wait for a document to fit; a window has QUANTUM tokens or more for each source on average, so documents are not cut into slivers. Targets are given proportions (when a queue runs dry its share passes to the
 others), or the proportions of an input that is already in training order, stretch by stretch. Credit after
 a window is the sum of quanta, less what was served, so what a source has served by any window has
 a closed form, and any task can place any document from three numbers: the tokens that its source has in
@@ -38,8 +38,8 @@ from .common import fresh_path, lookup_join, spool
 from .mixing import ranked
 from .words import MOST_ROWS, text_blocks
 
-#: Tokens of a sequence and of a window (few sequences, so each holds about its share of every source), and the id that ends a document.
-LENGTH, WINDOW, END = 2048, 4 * 2048, 1
+#: Tokens of a sequence, of a window at least, and of a source in a window on average; and the id that ends a document.
+LENGTH, WINDOW, QUANTUM, END = 2048, 4 * 2048, 1024, 1
 #: Sources with a queue of their own, queues of the rest, and stretches of an input in training order.
 MOST_SOURCES, FOLDED, STRETCHES = 4096, 512, 64
 #: Entries of a task's word cache before it starts anew, and characters of a text that are worked on at a time.
@@ -313,13 +313,14 @@ def shares_by_rank(queues: DataFrame, weights: tuple[float, ...]) -> DataFrame:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, shares: dict[str | None, float] | None = None, weights: tuple[float, ...] | None = None,
-    follow: bool = False, length: int = LENGTH, window: int = WINDOW,
+    follow: bool = False, length: int = LENGTH, window: int | None = None,
 ) -> DataFrame:
     """Pack ``docs(doc_id, source, text)``: a row for each piece with doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, window and ids (32-bit little-endian).
 
     A document is its token ids and END; each of them lies in exactly one piece. Sequences are numbered from 0
-    and filled from offset 0 without gaps to ``length``; only the last can be shorter. The target proportions of every window are
+    and filled from offset 0 without gaps to ``length``; only the last can be shorter. Windows have ``window`` tokens, by default WINDOW, or QUANTUM for
+    each source if that is more, so a document of n tokens has about n / QUANTUM pieces, and one more at either end. The target proportions of every window are
     ``shares`` by source, or ``weights`` in turn by the sources' code points, until a queue runs dry and its share passes to the
     others; or with ``follow`` those of the input's own order, of STRETCHES stretches; or those of the whole input.
 
@@ -338,6 +339,7 @@ def pack(
     held = spool(held, "held")
     found = sorted(lanes.collect(), key=lambda r: r["lane"])  # at most MOST_SOURCES + FOLDED
     names, sums = [r["lane"] for r in found], [r["total"] for r in found]
+    window = window or max(WINDOW, QUANTUM * len(names))
     wanted = [r["share"] for r in found] if shares is not None or weights else None
     stretches = None
     if follow:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from strandmill.llm import packing
-from strandmill.llm.queries import tokenizer_files
+from strandmill.llm.queries import QUERIES, tokenizer_files
 
 
 @pytest.fixture(scope="module")
@@ -189,3 +189,56 @@ def test_files_are_packed_in_the_order_they_were_written(spark, tmp_path):
             mine = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in got if r["doc_id"] % 2 == source)
             order = list(dict.fromkeys(d for _, _, d in mine))
             assert order == sorted(order)
+
+
+@pytest.mark.parametrize("sources", [20, 1000])
+def test_documents_are_not_cut_into_slivers(spark, sources):
+    """Pieces stay long, and every window keeps its shares, however many sources there are."""
+    rows = [(k, " ".join(f"tok{(k * 7 + i) % 999}" for i in range(500)), f"s{k % sources:04d}") for k in range(2000)]
+    got = packing.pack(documents(spark, rows), **tokenizer_files(), weights=(3.0, 1.0, 2.0)).drop("ids").collect()
+    tokens = sum(r["length"] for r in got)
+    assert tokens / len(got) > 300 and len(got) < 4 * len(rows)
+    share = {f"s{k:04d}": (3.0, 1.0, 2.0)[k % 3] for k in range(sources)}
+    source = {k: s for k, _, s in rows}
+    held = Counter()
+    for r in got:
+        if r["window"] == 0:
+            held[source[r["doc_id"]]] += r["length"]
+    whole, total = sum(held.values()), sum(share.values())
+    assert all(abs(held[s] - whole * v / total) <= 1.5 for s, v in share.items())
+
+
+def test_query_against_a_plain_packer(spark, plain, sf_dir):
+    """The registered query's pieces hold every document, and windows hold the proportions 3, 1, 2 by source until a queue is dry."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = QUERIES["op7_packing"](spark, sf_dir).collect()
+    by_doc, spans = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+        spans[r["sequence_id"]].append((r["offset"], r["length"]))
+    held, totals, source = defaultdict(Counter), Counter(), {}
+    for d in docs:
+        ids, at = np.array(plain.encode(d["text"] or "", add_special_tokens=False).ids + [1], "<u4"), 0
+        source[d["doc_id"]] = d["source"]
+        totals[d["source"]] += len(ids)
+        for r in sorted(by_doc[d["doc_id"]], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+            held[r["window"]][d["source"]] += r["length"]
+        assert at == len(ids)
+    for s, found in spans.items():
+        ends = np.cumsum([0, *(n for _, n in sorted(found))])
+        assert [o for o, _ in sorted(found)] == ends[:-1].tolist() and (ends[-1] == 2048 or s == len(spans) - 1)
+    # Deficit round-robin token by token: every round gives each source that is not dry its weight.
+    names = sorted(totals, key=lambda s: (s is None, s))
+    weight, left = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(names)}, dict(totals)
+    for w in sorted(held)[:-1]:
+        room, want = sum(held[w].values()), Counter()
+        while room > 1e-9:
+            live = [s for s in names if left[s] > 1e-9]
+            step = min(room / sum(weight[s] for s in live), min(left[s] / weight[s] for s in live))
+            for s in live:
+                want[s] += step * weight[s]
+                left[s] -= step * weight[s]
+                room -= step * weight[s]
+        assert all(abs(held[w][s] - want[s]) <= 2 for s in names)
