@@ -73,10 +73,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     gone = hits.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).join(first, ["_d", "place", "mark"], "left_anti")
     gone = gone.groupBy(F.col("doc_id").alias("__sm_id"), F.col("mark").alias("__sm_mark")).agg(F.collect_set("place").alias("__sm_gone"))
     joined = docs.withColumn("__sm_m", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__sm_id")) & (F.col("__sm_m") == F.col("__sm_mark")), "left")
-    split = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("__sm_gone", i), x)), lambda x: x.isNotNull())
+    joined = joined.withColumn("__sm_lines", F.split("text", "\n", -1))
+    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__sm_lines")), F.lit(0)).cast("long")
+    # What is left of the places, by a hash set, so a text's lines are walked once however many of them go.
+    places = F.array_except(F.sequence(F.lit(0), F.size("__sm_lines") - 1), F.transform("__sm_gone", lambda k: k.cast("int")))
+    kept = F.transform(places, lambda k: F.get("__sm_lines", k))
     text = F.when(F.col("__sm_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long")
     removed = F.coalesce(F.when(F.col("__sm_gone").isNotNull(), F.size("__sm_gone")), F.lit(0)).cast("long")
     names = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*names, n.alias("n_lines"), removed.alias("n_removed"))

@@ -1,3 +1,5 @@
+import time
+
 """The bar from which a line counts as boilerplate, in numbers of its own: the SQL and the pipeline's test take the module's constant."""
 
 from strandmill.llm import common, line_dedup
@@ -28,3 +30,16 @@ def test_very_common_lines_are_told_to_their_rows(spark, monkeypatch):
     assert sorted(map(str, line_dedup.dedup_lines(df).collect())) == want and sum("'own 0\\ncommon" in x for x in want) <= 1
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(map(str, line_dedup.dedup_lines(df).collect())) == want
+
+
+def test_texts_of_which_many_lines_go(spark):
+    """Forty thousand lines, half of them shared: taking them out takes time by the number of lines."""
+    n = 40_000
+    rows = [(k, "\n".join(f"own {k} {i}" if i % 2 else f"shared {i}" for i in range(n)), f"s{k}") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1)
+    cleaned = line_dedup.dedup_lines(docs)
+    begun = time.monotonic()
+    got = {r["doc_id"]: r for r in cleaned.collect()}
+    assert time.monotonic() - begun < 10
+    assert got[0]["text"] == rows[0][1] and [got[k]["n_removed"] for k in range(4)] == [0] + [n // 2] * 3
+    assert got[2]["text"] == "\n".join(f"own 2 {i}" for i in range(1, n, 2))
