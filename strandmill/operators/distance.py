@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .signature import SET, VECTOR, checked_mode, sizes
 
 
@@ -41,7 +42,9 @@ def intersections(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), g
     a = sig.select(F.col(genome).alias("i"), *element, F.col("cnt").alias("ca"))
     b = sig.select(F.col(genome).alias("j"), *element, F.col("cnt").alias("cb"))
     if n_genomes is None or n_genomes > BLOCK:
-        hot = sig.groupBy(*element).count().where(F.col("count") > BLOCK).select(*element, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        hot = stored(sig.groupBy(*element).count().where(F.col("count") > BLOCK).select(*element, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
+        if hot.isEmpty():
+            return intersections(sig, element, genome, mode, BLOCK)
         blocks = F.coalesce("blocks", F.lit(1))
         mine = lambda g: F.pmod(F.xxhash64(g), blocks).cast("int")
         every = F.explode(F.sequence(F.lit(0), blocks - 1))

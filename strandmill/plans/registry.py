@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.chunked import cores_of_pieces, pieces_of, windows_of
 from ..functions.lcp import EQUAL, both_strands, cores, cores_by_window, decode_label, decode_length, encode_core
-from ..operators import distance, tree, tree_table
+from ..operators import distance, sketch, tree, tree_table
 from ..operators.signature import SET, VECTOR, signature, sizes
 from ..session import stored, table, work_folder
-from ..sources import fasta_ranges, phylip, sequences
+from ..sources import bgzf, core_table, fasta_ranges, phylip, sequences
 from ..sources.manifest import lines, manifest
 from . import compare
 
@@ -247,6 +247,12 @@ def matrix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phylip.matrix_lines(by_number, names, "jaccard")
 
 
+def lower_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower triangle over the largest distance, which one aggregation finds."""
+    lower = stored(language_square(spark, sf_dir).where("j <= i"), "square")
+    return rounded(lower.select("i", "j", (F.col("dice") / F.lit(lower.agg(F.max("dice")).first()[0])).alias("d")))
+
+
 _register(
     "matrix_square",
     lambda s, d: rounded(language_square(s, d)),
@@ -260,7 +266,7 @@ _register(
 )
 _register(
     "matrix_lower_normalised",
-    lambda s, d: rounded(language_square(s, d).where("j <= i").select("i", "j", (F.col("dice") / F.max("dice").over(Window.partitionBy())).alias("d"))),
+    lower_normalised,
     f"with {LANGUAGES}, {SQUARE} select i, j, round(dice / max(dice) over (), {DIGITS}) as d from square where j <= i",
 )
 _register(
@@ -452,6 +458,58 @@ _register(
 )
 
 
+# --- blocked gzip, bucketed stores, sketches --------------------------------------------------------
+
+
+def blocked_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write each role's turns as one file of blocked gzip and read the files by ranges of 4 KB."""
+    turns = dna(table(spark, sf_dir, "conversations"), "role", "conv_id").where("seq <> ''")
+    read = F.concat(F.lit("@"), F.col("record").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.regexp_replace("seq", ".", "I"))
+    files = stored(bgzf.write_blocked(turns.select("genome_idx", read.alias("value")), work_folder(spark, "blocked"), "genome_idx"), "files")
+    found = sequences.read_fastq(spark, files.select(F.col("path").alias("in_path"), F.col("key").alias("genome_idx")), split=4096)
+    return found.groupBy("genome_idx", "seq").agg(F.count("*").alias("n"))
+
+
+def bucketed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language signatures in a bucketed store, added by two writes, and the distances between them."""
+    path, sig = work_folder(spark, "bucketed"), stored(language_signature(spark, sf_dir), "signature")
+    for half in (F.col("genome_idx") < "en", F.col("genome_idx") >= "en"):
+        core_table.write_signatures(sig.where(half), path, 16)
+    return rounded(distance.distances(core_table.read_signatures(spark, path)))
+
+
+_register("fastq_blocked", blocked_round_trip, f"with src as ({ROLES}) select g as genome_idx, seq, count(*) as n from src where seq <> '' group by all")
+_register("core_store_bucketed", bucketed_distances, ORACLES["distances_set"])
+
+
+def genome_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that stores each role's cores in a folder of its own, and the signatures of a run from those folders."""
+    paths, names = sequence_files(spark, sf_dir, False)
+    base = work_folder(spark, "own")
+    outputs = listed(spark, lines(spark, names, "role").select("genome_idx", F.concat(F.lit(f"{base}/"), "role").alias("out")), "genome_idx", "out")
+    compare.from_fasta(spark, compare.Run(paths, names=names, level=1, outputs=outputs))
+    again = compare.from_cores(spark, compare.Run(outputs, names=names, level=1))
+    return again.signature.join(again.genomes, "genome_idx").select("short_name", "label", "len", "cnt")
+
+
+_register("core_files", genome_files, f"with {sql_cores(ROLES)}, {SIG} select substr(g, 1, 10) as short_name, label, len, cnt from sig")
+
+DRAWN = 256
+_register(
+    "sketch_jaccard",
+    lambda s, d: rounded(sketch.estimates(sketch.sketches(stored(language_signature(s, d), "signature"), DRAWN), DRAWN)),
+    f"""with {sql_cores(BY_LANGUAGE)}, {SIG}, least as (select g, list((label, len) order by label, len)[:{DRAWN}] as e from sig group by g),
+    pairs as (select a.g as i, b.g as j, a.e as a, b.e as b, list_sort(list_distinct(a.e || b.e))[:{DRAWN}] as u from least a join least b on a.g < b.g),
+    n as (select i, j, len(list_filter(u, lambda x: list_contains(a, x) and list_contains(b, x)))::bigint as shared, len(u)::bigint as drawn from pairs)
+    select *, round(1 - shared / drawn, {DIGITS}) as jaccard from n""",
+)
+_register(
+    "sketch_whole",
+    lambda s, d: rounded(sketch.estimates(sketch.sketches(item_signature(s, d, "orders", "o_orderpriority", "o_custkey"), 1 << 30, ("item",)), 1 << 30).select("i", "j", "jaccard")),
+    f"with sig as (select o_orderpriority as g, o_custkey as item, count(*) as cnt from orders group by all), {sql_distances(SET, 'item', None)} select i, j, round(jaccard, {DIGITS}) as jaccard from dist",
+)
+
+
 # --- trees as tables ------------------------------------------------------------------------------
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.signature import checked_mode
+from ..session import stored
 
 METRICS = ("dice", "jaccard", "jc")
 
@@ -42,8 +43,13 @@ def read_matrix(spark: SparkSession, path: str, normalize: bool = False) -> Data
 
     ``nan`` is read as null and plays no part in the largest distance, by which ``normalize`` divides; that must be over 0.
     """
-    text = spark.read.text(path, wholetext=True).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("value"))
-    rows = text.select(F.posexplode(F.split(F.trim(F.regexp_replace("value", "\r", ""), F.lit("\n")), "\n")).alias("nr", "line")).where("nr > 0 and trim(line) <> ''")
+    raw = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    raw = stored(raw.where("trim(line) <> ''"), "matrix")
+    # Blocks count their lines, and sums of blocks give every line its number; no task holds the file.
+    before = Window.orderBy("path", "at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("path", "at").agg(F.count("*").alias("n")).select("path", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("path", "at").orderBy("id"))
+    rows = raw.withColumn("in_block", inside).join(F.broadcast(blocks), ["path", "at"]).select((F.col("before") + F.col("in_block") - 1).cast("int").alias("nr"), "line").where("nr > 0")
     cells = rows.select((F.col("nr") - 1).alias("i"), F.trim(F.substring("line", 1, 10)).alias("name_i"), F.posexplode(F.split(F.trim(F.expr("substring(line, 11)")), r"\s+")).alias("j", "t"))
     names = rows.select((F.col("nr") - 1).alias("j"), F.trim(F.substring("line", 1, 10)).alias("name_j"))
     low = cells.where("j <= i").join(names, "j").select("i", "j", "name_i", "name_j", F.when(F.lower("t") != "nan", F.col("t").cast("double")).alias("d"))

@@ -1,7 +1,7 @@
 """Sequence files as DataFrames (genome_idx, record_idx, seq), and the store of cores.
 
 FASTA and plain FASTQ are split between records or lines wherever Spark splits a file, so a large genome is read by
-many tasks; gzip files are decompressed by one task each.
+many tasks; blocked gzip is split between its blocks (see bgzf), other gzip files are decompressed by one task each. FASTA inside records: see fasta_ranges.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ def _whole_reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nr, held = nr + 4 * n, lines.slice(4 * n)
 
 
-def read_fastq(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail") -> DataFrame:
-    """Reads of the manifest's FASTQ files, gzip or plain: (genome_idx, record_idx, seq). Lines stay in their tasks; only
+def read_fastq(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail", split: int = 8 << 20) -> DataFrame:
+    """Reads of the manifest's FASTQ files, plain, gzip, or blocked gzip in ranges of ``split`` bytes: (genome_idx, record_idx, seq). Lines stay in their tasks; only
     those of reads that lie across two blocks are shuffled.
 
     Four lines are a read: @name, sequence, +, qualities of the sequence's length. Anything else raises an error, a
@@ -134,7 +134,13 @@ def read_fastq(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail
     paths = _present(spark, manifest, on_missing)
     if not paths:
         return spark.createDataFrame([], "genome_idx int, record_idx long, seq string")
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    from .bgzf import is_blocked, read_blocked
+
+    blocked = [p for p in paths if p.endswith((".gz", ".bgz")) and is_blocked(p)]
+    others = [p for p in paths if p not in set(blocked)]
+    raws = [spark.read.text(others).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))] if others else []
+    raws += [read_blocked(spark, blocked, split)] if blocked else []
+    raw = raws[0] if len(raws) == 1 else raws[0].unionByName(raws[1])
     # A block tells how many lines it has and its outermost three on either side; block sizes summed up give every line its number.
     ends = stored(raw.mapInArrow(_block_ends, "path string, at long, n long, row long, line string"), "blocks")
     blocks = ends.where("row = 0").select("path", "at", "n")
@@ -142,7 +148,7 @@ def read_fastq(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail
     blocks = stored(blocks.select("path", "at", "n", before.alias("before")), "starts")
     if blocks.count() > FEW_BLOCKS and len(paths) > 1:  # in two parts, so that what is broadcast stays bounded
         first = F.col("in_path").isin(paths[: len(paths) // 2])
-        return read_fastq(spark, manifest.where(first), on_missing).unionByName(read_fastq(spark, manifest.where(~first), on_missing))
+        return read_fastq(spark, manifest.where(first), on_missing, split).unionByName(read_fastq(spark, manifest.where(~first), on_missing, split))
     known = F.broadcast(blocks)
     whole = raw.join(known.select("path", "at", "before"), ["path", "at"]).select("path", "at", "before", "value").mapInArrow(_whole_reads, READ)
     # Reads that lie across blocks come from the blocks' ends alone.
@@ -185,8 +191,10 @@ def write_core_files(cores: DataFrame, genomes: DataFrame) -> None:
         target.delete(there, True)
         if there.getParent() is not None:
             target.mkdirs(there.getParent())
-        if not jvm.org.apache.hadoop.fs.FileUtil.copy(files, here, target, there, True, conf):
-            raise OSError(f"could not move cores to {r['out_path']}")
+        # A move within one file system is a change of name; to another one, tasks write the genome there.
+        if files.getUri().equals(target.getUri()) and files.rename(here, there):
+            continue
+        spark.read.parquet(here.toString()).write.mode("overwrite").parquet(r["out_path"])
 
 
 def read_core_files(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail", level: int | None = None) -> DataFrame:
