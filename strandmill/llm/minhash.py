@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = spool(signed(docs), "signed")
     # Equal sets have equal signatures, so any of a class will do.
-    classes = spool(rows.where("n > 0 and doc_id is not null").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig")), "classes")
+    classes = spool(rows.where("n > 0 and doc_id is not null").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "classes")
     hits = spool(stars(index(classes)), "hits")
 
     star = hits.where("rep <> pivot").groupBy("rep", "pivot").count()
@@ -315,8 +315,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.union(settled(named, classes, docs))
     component = spool(connected_components(links).toDF("rep", "component"), "component")
 
-    fate = classes.select("p1", "p2", "rep").join(component, "rep", "left").select("p1", "p2", F.coalesce("component", "rep").alias("least"))
-    judged = rows.select("doc_id", "n", "p1", "p2").join(fate, ["p1", "p2"], "left")
+    # Copies of one text, however many, are told their class; rows without words or id have none.
+    both = F.struct("p1", "p2").alias("print")
+    fate = spool(classes.join(component, "rep", "left").select(both, "copies", F.coalesce("component", "rep").alias("least")), "fate")
+    classed = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    judged = told_join(rows.where(classed).select("doc_id", "n", both), fate, "print", "copies").drop("print")
+    judged = judged.unionByName(rows.where(~classed).select("doc_id", "n", F.lit(None).cast("long").alias("least")))
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id"))
     return judged.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
