@@ -40,6 +40,10 @@ RULES = [
 LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 META_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+#: Names of characters that stand in urls.
+NAMED = {"amp": "&", "colon": ":", "sol": "/", "period": ".", "quest": "?", "equals": "=", "num": "#", "lowbar": "_", "percnt": "%", "commat": "@", "plus": "+", "comma": ",", "semi": ";"}
+REFERENCE = r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|" + "|".join(NAMED) + ");"
 GOES_TO = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -84,26 +88,48 @@ def best_rule(host: Column, path: Column, rules: list[Rule] = RULES) -> Column:
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
+def decoded(text: Column) -> Column:
+    """``text`` with its character references replaced in one pass: decimal, hexadecimal, and the names that stand in urls."""
+    refs = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    number = lambda r: F.when(r.rlike("^&#[xX]"), F.conv(F.regexp_extract(r, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(r, "^&#([0-9]+)", 1)).try_cast("int")
+    named = F.create_map(*[F.lit(x) for k, v in NAMED.items() for x in (f"&{k};", v)])
+    sound = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    char = lambda r: F.coalesce(F.try_element_at(named, r), F.when(sound(number(r)), F.decode(F.unhex(F.lpad(F.hex(number(r)), 8, "0")), "UTF-32")), F.lit("\ufffd"))
+    parts = F.zip_with(F.split(text, REFERENCE, -1), F.transform(refs, char), lambda piece, c: F.concat(piece, F.coalesce(c, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments, as links are resolved (RFC 3986)."""
+    ended = F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/")
+    steps = F.slice(F.split(ended, "/", -1), 2, 1 << 30)
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(steps, none, lambda held, s: F.when(s == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(s == ".", held).otherwise(F.concat(held, F.array(s))))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(walked, "/"))).otherwise(path)
+
+
 def resolve(target: Column, url: Column) -> Column:
     """An absolute url for a link's target as written on the page ``url``."""
     page = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.coalesce(F.nullif(part(url, r"[^/?#]*([^?#]*/)"), F.lit("")), F.lit("/"))
-    return (
+    whole = (
         F.when(target.contains("://"), target)
         .when(target.startswith("//"), F.concat(F.lit("any:"), target))
         .when(target.startswith("/"), F.concat(page, target))
+        .when(target.startswith("?"), F.concat(page, path_of(url), target))
+        .when(target.startswith("#"), url)
         .otherwise(F.concat(page, folder, target))
     )
+    return F.concat(F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), without_dots(path_of(whole)), F.regexp_extract(whole, r"(?s)^.*?://[^?#]*(.*)$", 1))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): url keys that a redirect or a canonical link of ``pages(url, html)`` ties together."""
-    targets = F.array(
-        F.regexp_extract(F.regexp_extract("html", LINK_TAG, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", META_TAG, 0), GOES_TO, 1),
-    )
-    links = pages.select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("to"))
-    links = links.select("url", resolve(F.replace("to", F.lit("&amp;"), F.lit("&")), F.col("url")).alias("to"))
+    """(a, b): url keys that the redirects and canonical links of ``pages(url, html)`` tie together: all of a page's, but those in comments, with their character references
+    decoded and relative ones resolved."""
+    html = F.regexp_replace("html", COMMENT, "")
+    of = lambda tag, place: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, place, 1))
+    links = pages.where("html is not null").select("url", F.explode(F.array_distinct(F.concat(of(LINK_TAG, HREF), of(META_TAG, GOES_TO)))).alias("to")).where("to <> ''")
+    links = links.select("url", resolve(decoded(F.col("to")), F.col("url")).alias("to"))
     return links.select(key_of(F.col("url")).alias("a"), key_of(F.col("to")).alias("b")).where("a <> '' and b <> ''")
 
 
@@ -137,7 +163,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def oracle(rules: list[Rule] = RULES) -> str:
-    """The same judgement in DuckDB SQL, with a recursive closure for the classes."""
+    """The same judgement in DuckDB SQL, with a recursive closure for the classes. It reads the first canonical link and the first redirect of a page, without dot
+    segments, comments and character references but for ``&amp;``; those are held against plain Python."""
     values = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.host + r.path}')" for r in rules)
     link, href, meta, goes = (x.replace("'", "''") for x in (LINK_TAG, HREF, META_TAG, GOES_TO))
     lower = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

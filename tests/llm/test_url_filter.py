@@ -1,3 +1,6 @@
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
+
 from strandmill.llm import url_filter
 from tests.oracle import assert_same, connection
 
@@ -55,3 +58,60 @@ def test_a_very_long_url(spark):
     rows = [(1, "http://a.com/en/" + "x/" * 500_000 + "?" + "q" * 100_000, CANON.format("http://b.net/" + "y" * 300_000)), (2, "http://b.net/" + "y" * 300_000, "")]
     got = {r["page_id"]: (r["verdict"], r["via"], len(r["path"])) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: ("block", "rule", 4 + 1_000_000), 2: ("block", "alias", 300_001)}
+
+
+class Links(HTMLParser):
+    """Targets of a page's canonical links and redirects, by Python's own parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found = []
+
+    def handle_starttag(self, tag, attributes):
+        a = dict(attributes)
+        if tag == "link" and "canonical" in (a.get("rel") or "").lower().split() and a.get("href"):
+            self.found.append(a["href"])
+        if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh" and "url=" in (a.get("content") or "").lower():
+            self.found.append(a["content"][a["content"].lower().index("url=") + 4 :].strip())
+
+
+def plain_verdicts(pages):
+    """Aliases by Python's parser, urljoin and a union of classes; rules by a loop."""
+    key = lambda u: (lambda p: p.netloc.lower() + p.path + ("?" + p.query if p.query else ""))(urlsplit(u))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, url, html in pages:
+        links = Links()
+        links.feed(html or "")
+        for t in links.found:
+            parent[find(key(url))] = find(key(urljoin(url, t)))
+
+    def rule(k):
+        host, _, path = k.partition("/")
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).split("?")[0].startswith(r.path)]
+        return max(fits, key=lambda r: len(r.host + r.path)).verdict if fits else None
+
+    out = {}
+    for i, url, _ in pages:
+        mates = {rule(k) for k in list(parent) if find(k) == find(key(url))}
+        out[i] = rule(key(url)) or ("block" if "block" in mates and "allow" not in mates else "allow")
+    return out
+
+
+def test_links_of_all_kinds_against_plain_python(spark):
+    targets = ["../en/1", "../../en/1", "./x", "x/../../y", "/a/./b/../c", "..", ".", "?q=1", "#top", "/d?e=../f", "http:&#47;&#47;b.example.com&#x2F;en&sol;1", "https&colon;//x.org/es/?a=1&amp;b=2", "//g.io/h/../i", "http://e.io/%C3%A9?x=&#233;"]
+    pages = []
+    for k, t in enumerate(targets):
+        pages.append((3 * k, f"http://s{k}.io/dir/sub/page", CANON.format(t)))
+        pages.append((3 * k + 1, f"http://s{k}.com/dir/sub/page", "<link rel='canonical' href='/other'>" + REFRESH.format(t)))
+        pages.append((3 * k + 2, f"http://t{k}.com/fr/page", f"<!-- {CANON.format(t)} --><p>" + REFRESH.format("http://nowhere.io/") + CANON.format("http://t.io/1") + f'<link rel="canonical" href="{t}">'))
+    pages += [(900, "http://s0.com/en/dir", CANON.format("http://s5.io/dir/")), (901, "http://late.io/", "<!-- <link rel=canonical href=http://b.example.com/en/1>"), (902, "http://two.io/", CANON.format("http://free.io/") + CANON.format("http://b.example.com/en/9"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(df).collect()}
+    want = plain_verdicts(pages)
+    assert got == want and got[901] == "allow" and got[902] == "block" and sum(v == "block" for v in got.values()) > 5
