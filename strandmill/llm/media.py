@@ -3,8 +3,8 @@
 A payload is a row of 64-sample lines and is stored losslessly as a greyscale PNG of that width. Writers
 pack PNGs into uncompressed zip archives in a shared folder, one set of archives for each task, and the
 commit lists the archives of the attempts that succeeded. The reader plans byte ranges over the listed
-archives from their sizes alone; a task reads its archive's directory (archives, and so directories, are bounded in
-size), takes the members whose offsets fall into its range, and streams them as Arrow batches. A member
+archives from their sizes alone, in a large archive or over several small ones; a task reads the archives' directories (archives, and so directories, are bounded in
+size), takes the members whose offsets fall into its ranges, and streams them as Arrow batches. A member, or a directory,
 that fails to read is read anew by its offset, from a freshly opened file, independently of the others.
 """
 
@@ -35,7 +35,7 @@ LEVEL = 1
 #: An archive is closed beyond this size; a reading task gets about SPLIT bytes; a batch holds about BATCH.
 ARCHIVE, SPLIT, BATCH = 32 << 20, 8 << 20, 4 << 20
 RETRIES, WAIT = 3, 0.2
-#: Ranges that are planned at most; beyond, they are larger, up to an archive each.
+#: Tasks that are planned at most, about; beyond, their ranges are larger and go over more archives.
 MOST_RANGES = 50_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "doc_id long, n_bytes long, media binary"
@@ -87,10 +87,8 @@ class _Written(WriterCommitMessage):
 
 
 @dataclass
-class _Range(InputPartition):
-    archive: str
-    start: int
-    end: int
+class _Ranges(InputPartition):
+    parts: list[tuple[str, int, int]]  # archive, first byte, byte after the last
 
 
 class _Writer(DataSourceArrowWriter):
@@ -142,7 +140,7 @@ class _Reader(DataSourceReader):
     def __init__(self, folder: str, split: int, retries: int):
         self.folder, self.split, self.retries = folder, split, retries
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         files, root = pafs.FileSystem.from_uri(self.folder)
         lists = [x.path for x in files.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith("_archives-")]
         archives = []
@@ -150,34 +148,56 @@ class _Reader(DataSourceReader):
             with files.open_input_stream(path) as f:
                 archives += json.loads(f.read())
         split = max(self.split, -(-sum(size for _, size in archives) // MOST_RANGES))
-        return [_Range(name, start, min(start + split, size)) for name, size in archives for start in range(0, size, split)] or [_Range("", 0, 0)]
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-        if not partition.archive:
-            return
-        files, root = pafs.FileSystem.from_uri(self.folder)
-        path = f"{root}/{partition.archive}"
-        archive = zipfile.ZipFile(files.open_input_file(path))
-        rows, size = [], 0
+        planned, held = [], 0
+        for name, size in archives:
+            for start in range(0, size, split):
+                part = (name, start, min(start + split, size))
+                if not planned or held + part[2] - part[1] > split:
+                    planned.append([])
+                    held = 0
+                planned[-1].append(part)
+                held += part[2] - part[1]
+        return [_Ranges(p) for p in planned] or [_Ranges([])]
+
+    def _again(self, attempt: int) -> None:
+        """After a failed attempt: wait for the next one, or raise."""
+        if attempt == self.retries:
+            raise
+        time.sleep(WAIT * 2**attempt)
+
+    def _members(self, files: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[str, bytes]]:
+        """Names and contents of the members of an archive that begin in a range."""
+        for attempt in range(self.retries + 1):
+            try:
+                archive = zipfile.ZipFile(files.open_input_file(path))
+                break
+            except (OSError, zipfile.BadZipFile):
+                self._again(attempt)
         for member in archive.infolist():
-            if not partition.start <= member.header_offset < partition.end:
+            if not start <= member.header_offset < end:
                 continue
             for attempt in range(self.retries + 1):
                 try:
+                    if attempt:
+                        archive = zipfile.ZipFile(files.open_input_file(path))
                     media = archive.read(member)  # seeks to the member's offset; checks its length and crc32
                     break
                 except (OSError, zipfile.BadZipFile):
-                    if attempt == self.retries:
-                        raise
-                    time.sleep(WAIT * 2**attempt)
-                    archive = zipfile.ZipFile(files.open_input_file(path))
-            _, doc_id, n_bytes = member.filename.removesuffix(".png").split("/")
-            rows.append((int(doc_id) if doc_id else None, int(n_bytes), media))
-            size += len(media)
-            if size >= BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
-                rows, size = [], 0
+                    self._again(attempt)
+            yield member.filename, media
+
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+        files, root = pafs.FileSystem.from_uri(self.folder)
+        rows, size = [], 0
+        for name, start, end in partition.parts:
+            for filename, media in self._members(files, f"{root}/{name}", start, end):
+                _, doc_id, n_bytes = filename.removesuffix(".png").split("/")
+                rows.append((int(doc_id) if doc_id else None, int(n_bytes), media))
+                size += len(media)
+                if size >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 

@@ -104,4 +104,24 @@ def test_many_archives_are_planned_in_larger_ranges(spark, tmp_path, monkeypatch
     monkeypatch.setattr(media, "MOST_RANGES", 4)
     reader = media._Reader(str(tmp_path), 100, 0)
     ranges = reader.partitions()
-    assert len(ranges) <= 4 + 3 and sum(b.num_rows for r in ranges for b in reader.read(r)) == 60
+    assert len(ranges) <= 2 * 4 + 1 and sum(b.num_rows for r in ranges for b in reader.read(r)) == 60
+
+
+def test_small_archives_share_a_task_and_openings_are_retried(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(90)], "doc_id long, text string")
+    media.write_media(docs.repartition(30), str(tmp_path))
+    reader = media._Reader(str(tmp_path), 1 << 20, 1)
+    assert len(list(tmp_path.glob("*.zip"))) >= 20 and len(reader.partitions()) == 1
+    monkeypatch.setattr(media, "WAIT", 0)
+    real, seen = zipfile.ZipFile.__init__, []
+
+    def flaky(self, file, *more, **how):
+        seen.append(file)
+        if len(seen) % 2:
+            raise OSError("connection reset")
+        real(self, file, *more, **how)
+
+    monkeypatch.setattr(zipfile.ZipFile, "__init__", flaky)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 90 and len(seen) > 30
+    with pytest.raises(OSError):
+        list(media._Reader(str(tmp_path), 1 << 20, 0).read(reader.partitions()[0]))
