@@ -53,7 +53,7 @@ def grown(seed, n, negative=False):
 @pytest.fixture(scope="module")
 def trees():
     chain = t.Clade("x", 1.0)
-    for k in range(70):
+    for k in range(24):
         chain = t.Clade(None, 0.5, [chain, t.Clade(f"c{k:02d}", 1.0 + k % 3)])
     return {1: grown(1, 2), 2: grown(2, 9), 3: grown(3, 40), 4: chain, 5: t.Clade("alone"), 6: grown(6, 25, True)}
 
