@@ -1,20 +1,20 @@
 """Trees from distance matrices: neighbour joining, average linkage, rooting, order of children, Newick.
 
-The matrix stays a DataFrame of cells. Neighbour joining finds the pair to join by an aggregation and replaces two rows and columns by one; average linkage joins all
-pairs that are each other's nearest in a step (see tree_table). Only the pairs that are joined come to the driver, where the tree grows, whose size is that of the list of
-genomes. Distances are fixed-point numbers, so sums are exact and ties go by order, not by chance. No step recurses, so a tree may be of any depth.
+The matrix stays a DataFrame of cells. Neighbour joining searches sorted rows as far as a bound allows (see bounded_joining); average linkage joins all
+pairs that are each other's nearest in a step (see tree_table). Only the pairs that are joined, and for neighbour joining a few numbers for each node, come to the driver, where the
+tree grows, whose size is that of the list of genomes. Distances are fixed-point numbers, so sums are exact and ties go by order, not by chance. No step recurses, so a tree may be of any depth.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .bounded_joining import join_neighbours
 from .tree_table import FIXED, linkage
 
 METHODS = ("nj", "upgma")
@@ -52,14 +52,6 @@ def cells_of(lower: DataFrame) -> tuple[DataFrame, dict[int, str]]:
     return stored(below.union(below.select("j", "i", "d")), "cells"), names
 
 
-def _joined(cells: DataFrame, i: int, j: int, less: Decimal) -> DataFrame:
-    """The cells when i and j are one, which goes by j's number: its distances are half of (the two's sum less ``less``)."""
-    both = F.col("i").isin(i, j)
-    new = cells.where(both & ~F.col("j").isin(i, j)).groupBy("j").agg(((F.sum("d") - F.lit(less)) / 2).cast(FIXED).alias("d")).select(F.lit(j).cast("int").alias("i"), "j", "d")
-    rest = cells.where(~both & ~F.col("j").isin(i, j))
-    return stored(rest.union(new).union(new.select("j", "i", "d")), "cells")
-
-
 def upgma(cells: DataFrame, names: dict[int, str]) -> Clade:
     """Average linkage without weights by size (WPGMA): join the two nearest clusters at half their distance, again and again; the joined one's
     distances are the mean of the two's, and of equal pairs the last in order is joined."""
@@ -72,24 +64,21 @@ def upgma(cells: DataFrame, names: dict[int, str]) -> Clade:
 
 
 def neighbour_joining(cells: DataFrame, names: dict[int, str]) -> Clade:
-    """Saitou and Nei's neighbour joining; of equal pairs the first in order is joined."""
-    nodes = {k: Clade(n) for k, n in names.items()}
-    while len(nodes) > 2:
-        left = len(nodes) - 2
-        sums = cells.groupBy("i").agg(F.sum("d").cast("decimal(30,15)").alias("r"))
-        q = cells.where("i > j").join(sums.withColumnRenamed("r", "ri"), "i").join(sums.toDF("j", "rj"), "j")
-        times = F.lit(left).cast("decimal(6,0)") * F.col("d") - F.col("ri") - F.col("rj")
-        _, i, j, d, ri, rj = q.agg(F.min(F.struct(times.alias("q"), "i", "j", "d", "ri", "rj"))).first()[0]
-        nodes[i].length = (float(d) + float(ri - rj) / left) / 2
-        nodes[j].length = float(d) - nodes[i].length
-        nodes[j] = Clade(children=[nodes.pop(i), nodes[j]])
-        cells = _joined(cells, i, j, d)
-    if len(nodes) == 1:
-        return nodes.popitem()[1]
-    (_, a), (_, b) = sorted(nodes.items())
-    inner, outer = (a, b) if a.children else (b, a)
-    outer.length = float(cells.agg(F.max("d")).first()[0])
-    return Clade(children=[*inner.children, outer]) if inner.children else Clade(children=[a, b])
+    """Saitou and Nei's neighbour joining; of equal pairs the first in order is joined. Rows are searched only as far as a bound allows: see bounded_joining."""
+    order = sorted(names)
+    nodes = [Clade(names[k]) for k in order]
+    if len(nodes) < 2:
+        return nodes[0]
+    if order != list(range(len(order))):
+        place = F.create_map(*[F.lit(x) for k, i in enumerate(order) for x in (i, k)])
+        cells = cells.select(place[F.col("i")].alias("i"), place[F.col("j")].alias("j"), "d")
+    joins, left, (u, v), _ = join_neighbours(cells, len(nodes))
+    for a, b, length_a, length_b in joins:
+        nodes[a].length, nodes[b].length = length_a, length_b
+        nodes.append(Clade(children=[nodes[a], nodes[b]]))
+    inner, outer = (nodes[u], nodes[v]) if nodes[u].children else (nodes[v], nodes[u])
+    outer.length = left
+    return Clade(children=[*inner.children, outer]) if inner.children else Clade(children=[nodes[u], nodes[v]])
 
 
 def _neighbours(root: Clade) -> tuple[list[Clade], list[list[tuple[int, float]]]]:

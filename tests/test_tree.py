@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from strandmill.operators import bounded_joining
 from strandmill.operators import tree as t
 
 #: A textbook example (additive): leaf distances of ((a:2,b:3):3,c:4,(d:2,e:1):2).
@@ -132,3 +133,36 @@ def test_newick_round_trip():
 def test_edges(spark):
     rows = t.edges(spark, t.ordered(upgma(spark, D, NAMES))).collect()
     assert len(rows) == 9 and sum(r["name"] is not None for r in rows) == 5 and [r["parent"] for r in rows].count(None) == 1
+
+
+@pytest.mark.parametrize("seed, n, spread", [(1, 16, 1.0), (2, 12, 0.0), (3, 22, 8.0)])
+def test_bounded_search_finds_the_same_joins_in_fewer_cells(spark, monkeypatch, seed, n, spread):
+    """Joins are those of a search of all cells in exact numbers, ties included; far fewer cells are read where distances differ."""
+    monkeypatch.setattr(bounded_joining, "FIRST", 4)
+    rng = np.random.default_rng(seed)
+    place = rng.random((n, 3)) * spread
+    d = np.round(np.abs(place[:, None] - place[None]).sum(2) + (rng.random((n, n)) * 0.1 if spread else 1.0), 6)
+    d = np.tril(d, -1)
+    d += d.T
+    cells = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(n) for j in range(n) if i != j], "i int, j int, d double")
+    joins, left, last, searched = bounded_joining.join_neighbours(cells, n)
+    own = {k: {j: round(d[k, j] * bounded_joining.UNIT) for j in range(n) if j != k} for k in range(n)}
+    number, want, all_cells = list(range(n)), [], 0
+    while len(own) > 2:
+        m, r = len(own) - 2, {k: sum(x.values()) for k, x in own.items()}
+        all_cells += len(own) * (len(own) - 1)
+        _, _, _, a, b = min((m * x - r[k] - r[j], max(number[k], number[j]), min(number[k], number[j]), *((k, j) if number[k] > number[j] else (j, k))) for k, row in own.items() for j, x in row.items() if k < j)
+        want.append((a, b))
+        new = len(number)
+        number.append(min(number[a], number[b]))
+        row = {k: (own[a][k] + own[b][k] - own[a][b] + 1) // 2 for k in own if k not in (a, b)}
+        for k in (a, b):
+            del own[k]
+        for k, x in own.items():
+            x.pop(a), x.pop(b)
+            x[new] = row[k]
+        own[new] = row
+    assert [j[:2] for j in joins] == want and sorted(last) == sorted(own)
+    assert left == pytest.approx(next(iter(own[last[0]].values())) / bounded_joining.UNIT)
+    if spread:
+        assert searched < all_cells / 2
