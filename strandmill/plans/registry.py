@@ -289,7 +289,7 @@ _register(
     f"with {SHORT} select k, short, printf('%10s', short) as padded from short",
 )
 
-# --- trees and files: nothing that SQL expresses ----------------------------------------------
+# --- trees and files ---------------------------------------------------------------------------
 
 
 def language_tree(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
@@ -300,10 +300,6 @@ def language_tree(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     return rounded(tree.edges(spark, root)).withColumn("newick", F.lit(tree.to_newick(root)))
 
 
-for _method in tree.METHODS:
-    _register(f"tree_{_method}", lambda s, d, m=_method: language_tree(s, d, m))
-
-
 def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write each language's sequences as FASTA, wrapped at 60, and read them back."""
     path = work_folder(spark, "fasta")
@@ -646,3 +642,34 @@ _register(
     nj_paths,
     f"with {PRIORITIES}, {sql_joining_steps(FIVE)}, g as (select distinct i as g from square) select x.g as a, y.g as b, round(sum(case when list_contains(clade, x.g) <> list_contains(clade, y.g) then branch_length else 0 end), {DIGITS}) as d from g x join g y on x.g < y.g, e group by all",
 )
+
+#: CTEs from the unrooted edges e(clade, branch_length) to f(clade, branch_length): the clades below the middle of the longest path between leaves. ``a`` is the side of an edge
+#: that holds the path's first leaf, ``way`` the length from that leaf to the edge; the edge with the middle on it gives a clade on either side.
+SQL_MIDPOINT = """g as (select distinct i as g from square), leaves as (select list(g order by g) as every from g),
+    sides as (select list_sort(clade) as s, list_filter(every, lambda x: not list_contains(clade, x)) as o, branch_length as w from e, leaves),
+    far as (select x.g as p, y.g as q, sum(w) as whole from g x join g y on x.g < y.g join sides on list_contains(s, x.g) <> list_contains(s, y.g) group by all order by whole desc limit 1),
+    turned as (select case when list_contains(s, p) then s else o end as a, case when list_contains(s, p) then o else s end as b, w, list_contains(s, q) <> list_contains(s, p) as between_, whole / 2 as half from sides, far),
+    placed as (select x.a, x.b, any_value(x.w) as w, any_value(x.between_) as between_, any_value(x.half) as half, coalesce(sum(y.w), 0) as way
+               from turned x left join turned y on y.between_ and list_has_all(x.a, y.a) and len(y.a) < len(x.a) group by x.a, x.b),
+    f as (select b as clade, w as branch_length from placed where not between_ or way >= half union all select a, w from placed where between_ and way + w < half
+          union all select unnest([a, b]), unnest([half - way, way + w - half]) from placed where between_ and way < half and way + w >= half)"""
+
+
+def sql_tree(n: int) -> str:
+    """From the clades f(clade, branch_length) of a rooted tree of n leaves its nodes in preorder and its Newick line; clades are sorted lists of names. A node's place is the list of the least
+    leaves of the clades around it."""
+    out = ["""nodes as (select clade, branch_length from f union all select list(i order by i), null from (select distinct i from square)),
+    around as (select x.clade, any_value(x.branch_length) as branch_length, list(y.clade[1] order by len(y.clade) desc) as place, arg_min(y.clade, len(y.clade)) filter (len(y.clade) > len(x.clade)) as up
+               from nodes x join nodes y on list_has_all(y.clade, x.clade) group by x.clade),
+    numbered as (select *, (row_number() over (order by place) - 1)::int as node from around),
+    text1 as materialized (select clade, clade[1] as text from nodes where len(clade) = 1)"""]
+    for k in range(2, n + 1):
+        out.append(f"""text{k} as materialized (select * from text{k - 1} union all
+               select c.up, '(' || string_agg(t.text || printf(':%.5f', c.branch_length), ',' order by c.clade[1]) || ')' from around c join text{k - 1} t on t.clade = c.clade where len(c.up) = {k} group by c.up)""")
+    return ", ".join(out) + f""" select x.node, y.node as parent, round(x.branch_length, {DIGITS}) as branch_length, case when len(x.clade) = 1 then x.clade[1] end as name, t.text || ';' as newick
+    from numbered x left join numbered y on y.clade = x.up join text{n} t on len(t.clade) = {n}"""
+
+
+FOUR = 4
+_register("tree_nj", lambda s, d: language_tree(s, d, "nj"), f"with {LANGUAGES}, {SQUARE}, {sql_joining_steps(FOUR)}, {SQL_MIDPOINT}, {sql_tree(FOUR)}")
+_register("tree_upgma", lambda s, d: language_tree(s, d, "upgma"), f"with {LANGUAGES}, {SQUARE}, {sql_linkage_steps(FOUR)}, f as (select * from e where len(clade) < {FOUR}), {sql_tree(FOUR)}")
