@@ -17,9 +17,8 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert_same(QUERIES[name](spark, sf_dir), connection(sf_dir), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
