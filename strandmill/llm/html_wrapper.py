@@ -48,9 +48,11 @@ from . import common
 from .common import lookup_join, spool
 from .url_filter import host_of
 
-#: Tokens of wrappers that a task holds before it hands them on, and those of one wrapper beyond which optional parts on less than
-#: a fiftieth of its pages are forgotten (they then count as parts that the wrapper has not seen: kept inside the article).
-HELD, LARGEST, RARE = 300_000, 20_000, 50
+#: Tokens of wrappers that a task holds before it hands them on.
+HELD = 300_000
+#: Tokens of a wrapper inferred in one go from a list of pages (see infer) beyond which optional parts on less than one in RARE of its pages are
+#: forgotten. Wrappers of a table's hosts forget nothing, however large they grow.
+LARGEST, RARE = 20_000, 50
 #: Partial wrappers of a host meet by so many salts first.
 SALT = 32
 #: Rows of a batch that are worked on at a time.
@@ -478,8 +480,7 @@ class Wrapper:
         return cls(fold(parse(source)), 1, [_hash(source)])
 
     def join(self, other: Wrapper) -> Wrapper:
-        pages = self.pages + other.pages
-        return Wrapper(pruned(merge(self.stream, other.stream), pages), pages, sorted({*self.seen, *other.seen})[:4])
+        return Wrapper(merge(self.stream, other.stream), self.pages + other.pages, sorted({*self.seen, *other.seen})[:4])
 
     def packed(self) -> bytes:
         return zlib.compress(json.dumps([self.stream, self.pages, self.seen], separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
@@ -490,10 +491,11 @@ class Wrapper:
 
 
 def infer(pages: list[str]) -> Wrapper:
-    """The wrapper of a host from its pages."""
+    """A wrapper from a list of pages, for a look at a host: of bounded size, see pruned. extract_pages doesn't use it."""
     wrapper = None
     for source in pages:
         wrapper = Wrapper.of_page(source) if wrapper is None else wrapper.join(Wrapper.of_page(source))
+        wrapper.stream = pruned(wrapper.stream, wrapper.pages)
     return wrapper or Wrapper([["#page", 1, "1", 0, None, 0]], 0, [])
 
 

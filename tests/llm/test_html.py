@@ -172,6 +172,24 @@ def test_partial_wrappers_hand_on_and_forget_rare_parts(spark, monkeypatch):
     assert len(wrapper.stream) < 60 and [w.extract(p, w.plan_of(wrapper)) for p in pages] == [f"{k}\nStory {k}" for k in range(26)]
 
 
+def test_wrappers_of_a_table_forget_nothing(monkeypatch):
+    """A template on two of many pages gives its container whether a host's wrapper is small or large."""
+    low = "<div id=low>{}</div>".format("Same words below. " * 3)
+    pages = [f"<body><div id=a><p>Story {k}</p><p>goes on {k * k}</p></div>{low}" for k in range(120)]
+    for k in (30, 40):
+        pages[k] = f"<body><section id=b><p>Another kind of story, told on {k}</p></section>{low}"
+
+    def read():
+        wrapper = w.Wrapper.of_page(pages[0])
+        for source in pages[1:]:
+            wrapper = wrapper.join(w.Wrapper.of_page(source))
+        return [w.extract(source, w.plan_of(wrapper)) for source in pages]
+
+    small = read()
+    monkeypatch.setattr(w, "LARGEST", 3)
+    assert read() == small and small[30] == "Another kind of story, told on 30" and small[7] == "Story 7\ngoes on 49"
+
+
 def test_nesting_of_any_depth(spark):
     rows = [(1, "http://a.b/1", "<div>" * 100_000 + "<p>deep"), (2, "http://a.b/2", "<span>" * 100_000 + "x" + "</p>" * 1000), (3, "http://a.b/3", "<article>" + "<i><b>" * 60_000 + "y")]
     got = {r["page_id"]: r["text"] for r in w.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
