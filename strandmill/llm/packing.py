@@ -42,8 +42,9 @@ from .words import MOST_ROWS, text_blocks
 LENGTH, WINDOW, QUANTUM, END = 2048, 4 * 2048, 1024, 1
 #: Sources with a queue of their own, queues of the rest, and stretches of an input in training order.
 MOST_SOURCES, FOLDED, STRETCHES = 4096, 512, 64
-#: Entries of a task's word cache before it starts anew, and characters of a text that are worked on at a time.
-MOST_CACHED, PIECE = 600_000, 4 << 20
+#: Entries of a task's word cache before it starts anew, and characters of text that are worked on at a time: a task's Python holds some 60 bytes of
+#: numbers for each character of a block, and 250 for each word of the cache, beside the two tokenizers.
+MOST_CACHED, PIECE = 200_000, 1 << 20
 #: A single space between two visible characters: pieces of text on either side are tokenised alike apart or together.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 

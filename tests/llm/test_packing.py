@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -242,3 +243,17 @@ def test_query_against_a_plain_packer(spark, plain, sf_dir):
                 left[s] -= step * weight[s]
                 room -= step * weight[s]
         assert all(abs(held[w][s] - want[s]) <= 2 for s in names)
+
+
+def test_a_task_holds_little_at_a_time(words):
+    """What a block of documents takes while it is tokenised is bounded, however long the column is."""
+    rng = random.Random(3)
+    column = pa.array([" ".join(f"w{rng.randrange(500)}" for _ in range(3000)) for _ in range(600)])
+    for _ in words.documents(column.slice(0, 10)):
+        pass
+    tracemalloc.start()
+    try:
+        assert sum(end - row for row, end, _, _ in words.documents(column)) == 600
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
