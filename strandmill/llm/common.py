@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,16 +67,16 @@ def fold(doc_id: Column, folds: int) -> Column:
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salt: int = 16) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salt: int = 16, most: int | None = None) -> DataFrame:
     """Join ``big`` with ``small``, a spooled table of one row for each ``key``.
 
-    ``small`` is counted first. Within BROADCAST_ROWS and BROADCAST_BYTES it is broadcast and ``big`` stays
+    ``small`` is counted first. Within BROADCAST_ROWS (or ``most`` rows, if that is less) and BROADCAST_BYTES it is broadcast and ``big`` stays
     where it is; beyond, both sides are shuffled by key and a salt, so a key with many rows of ``big``
     is dealt over ``salt`` tasks. Rows without a key match nothing and are dealt over all tasks.
     """
     wide = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(1)) for f in small.schema), F.lit(8))
     rows, size = small.agg(F.count("*"), F.coalesce(F.sum(wide), F.lit(0))).first()
-    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+    if rows <= min(BROADCAST_ROWS, BROADCAST_ROWS if most is None else most) and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), key, how)
     dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     mix = F.xxhash64(*[c for c in big.columns if c != key], F.lit(0))
@@ -81,6 +84,36 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
     return salted.join(dealt, [key, "__salt"], how).drop("__salt")
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def of_ids(texts: DataFrame, ids: DataFrame, then: Callable[[Batches], Batches] | None = None, schema: str = "doc_id long, text string") -> DataFrame:
+    """The rows of ``texts(doc_id long, text string)`` whose id is in ``ids(doc_id long)``, a spooled table of distinct ids; or what
+    ``then``, a function for mapInArrow, makes of them under ``schema``, in the same Python worker.
+
+    Up to BROADCAST_ROWS ids go to the tasks as a sorted array of 8 bytes each and texts stay where they lie; a broadcast join would build a table
+    of ids that takes the driver many times that. Beyond, see lookup_join.
+    """
+    if ids.count() > BROADCAST_ROWS:
+        rows = lookup_join(texts, ids, "doc_id", "left_semi").select("doc_id", "text")
+        return rows.mapInArrow(then, schema) if then else rows
+    known = texts.sparkSession.sparkContext.broadcast(np.sort(ids.where("doc_id is not null").toArrow().column(0).to_numpy()))
+
+    def among(batches: Batches) -> Batches:
+        found = known.value
+        for b in batches:
+            at = b.column(0).fill_null(0).to_numpy()
+            place = np.minimum(np.searchsorted(found, at), max(len(found) - 1, 0))
+            hit = (found[place] == at) & b.column(0).is_valid().to_numpy(zero_copy_only=False) if len(found) else np.zeros(len(at), bool)
+            if hit.any():
+                yield b.filter(pa.array(hit))
+
+    def run(batches: Batches) -> Batches:
+        return then(among(batches)) if then else among(batches)
+
+    return texts.mapInArrow(run, schema)
+
+
 #: Rows of a key beyond which they do not meet in a join by key.
 HUB = 20_000
 

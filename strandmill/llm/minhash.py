@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, spool, told_join
+from .common import lookup_join, of_ids, spool, told_join
 from .components import connected_components
 from .shingles import SYMBOLS, multipliers, prints, shingle_sets, signatures
 from .words import mixed
@@ -35,6 +35,8 @@ PERCENT = 75
 DISTANCE, CHUNKS, ERRORS = 22, 12, 1
 #: Classes of a key that are compared in one block; larger keys are cut into blocks.
 BLOCK = 1024
+#: Keys whose cuts are told to their rows by broadcast; more are joined by key, as their rows are short and a broadcast takes the driver's memory.
+KEYS = 20_000
 #: Shingles of a block's full sets, about, and pairs of one pivot that are confirmed together.
 SET_BLOCK, PIVOT = 1 << 20, 1000
 
@@ -100,7 +102,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     pairs = spool(pairs, "pairs")
     ends = spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    texts = spool(lookup_join(texts, ends, "doc_id", "left_semi"), "texts")
+    texts = spool(of_ids(texts, ends), "texts")
     popular = spool(pairs.groupBy("a").count().where(F.col("count") > PIVOT).select("a", F.ceil(F.col("count") / PIVOT).alias("slots")), "popular")
     slots = F.coalesce("slots", F.lit(1).cast("long"))
     dealt = lookup_join(pairs, popular, "a").select("a", "b", F.pmod(F.xxhash64("b"), slots).alias("slot"))
@@ -201,7 +203,7 @@ def _blocked(rows: DataFrame, keys: DataFrame, more: DataFrame, columns: list[st
     ``keys`` comes from _cuts. Blocks of the rest, numbered from 0, meet each other and themselves; blocks of the main component, numbered down from -1, meet
     those of the rest. So a key of one large component and few other classes is handed on about twice, however large it is.
     """
-    rows = lookup_join(rows, spool(keys, "keys"), "key", "inner")
+    rows = lookup_join(rows, spool(keys, "keys"), "key", "inner", most=KEYS)
     inside = F.coalesce(F.col("c") == F.col("main"), F.lit(False))
     at = F.pmod(F.xxhash64("rep"), F.when(inside, F.col("large")).otherwise(F.col("small"))).cast("int")
     rows = rows.withColumn("mine", F.when(inside, -1 - at).otherwise(at))
@@ -240,7 +242,7 @@ def full_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
                 sets = [hashes[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(sets, pa.binary())], ["rep", "set"])
 
-    return spool(lookup_join(texts, reps, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "rep long, set binary"), "sets")
+    return spool(of_ids(texts, reps, run, "rep long, set binary"), "sets")
 
 
 def settled(named: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

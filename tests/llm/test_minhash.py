@@ -100,6 +100,28 @@ def test_joins_beyond_what_is_broadcast(spark, monkeypatch):
     assert got == brute_force(rows)
 
 
+@pytest.mark.parametrize("keys", [0, 10**9])
+def test_ids_of_texts_are_not_broadcast_as_a_join(spark, monkeypatch, keys):
+    """Ids that fit go to the tasks as an array, without a hashed table on the driver; keys beyond KEYS meet their rows by key."""
+    joined = []
+    real = common.lookup_join
+    for module in (common, minhash):
+        monkeypatch.setattr(module, "lookup_join", lambda big, small, key, *more, **named: joined.append(key) or real(big, small, key, *more, **named))
+    monkeypatch.setattr(minhash, "KEYS", keys)
+    rows = corpus(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows) and "key" in joined and "doc_id" not in joined
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_rows_of_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    texts = spark.createDataFrame([(1, "a"), (2, None), (0, "zero"), (None, "c"), (5, "é"), (5, "again"), (-7, "d")], "doc_id long, text string")
+    for ids, want in (([5, -7, 9], {(5, "é"), (5, "again"), (-7, "d")}), ([2], {(2, None)}), ([], set()), ([0], {(0, "zero")})):
+        got = common.of_ids(texts, common.spool(spark.createDataFrame([(x,) for x in ids], "doc_id long"), "ids")).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_query_against_all_pairs(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in QUERIES["op8_minhash"](spark, sf_dir).collect()}
