@@ -32,34 +32,39 @@ def jukes_cantor(hamming: Column) -> Column:
 BLOCK = 256
 
 
-def intersections(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", mode: str = SET, n_genomes: int | None = None) -> DataFrame:
-    """(i, j, inter) for i < j of the genomes that share a core: SET counts cores, VECTOR sums least counts.
+def shared(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", value: str = "cnt", n_genomes: int | None = None, block: int | None = None) -> DataFrame:
+    """(i, j, *element, ca, cb): each core that two genomes i < j share, with both their ``value`` columns.
 
-    An equi-join on the core, so both sides shuffle once by core; sums are partial before the second shuffle. A core
-    that more than BLOCK genomes have is cut into blocks of genomes. With at most BLOCK of ``n_genomes`` there is none to look for.
+    An equi-join on the core, so both sides shuffle once by core. A core that more than ``block`` (BLOCK) genomes have is cut into blocks of genomes. With at
+    most that many of ``n_genomes`` there is none to look for.
     """
-    keys = list(element)
-    a = sig.select(F.col(genome).alias("i"), *element, F.col("cnt").alias("ca"))
-    b = sig.select(F.col(genome).alias("j"), *element, F.col("cnt").alias("cb"))
-    if n_genomes is None or n_genomes > BLOCK:
-        hot = stored(sig.groupBy(*element).count().where(F.col("count") > BLOCK).select(*element, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
+    keys, most = list(element), block or BLOCK
+    a = sig.select(F.col(genome).alias("i"), *element, F.col(value).alias("ca"))
+    b = sig.select(F.col(genome).alias("j"), *element, F.col(value).alias("cb"))
+    if n_genomes is None or n_genomes > most:
+        hot = stored(sig.groupBy(*element).count().where(F.col("count") > most).select(*element, F.ceil(F.col("count") / most).cast("int").alias("blocks")), "hot")
         if hot.isEmpty():
-            return intersections(sig, element, genome, mode, BLOCK)
+            return shared(sig, element, genome, value, most, most)
         blocks = F.coalesce("blocks", F.lit(1))
         mine = lambda g: F.pmod(F.xxhash64(g), blocks).cast("int")
         every = F.explode(F.sequence(F.lit(0), blocks - 1))
         a = a.join(hot, keys, "left").select("i", *element, "ca", mine("i").alias("bi"), every.alias("bj"))
         b = b.join(hot, keys, "left").select("j", *element, "cb", mine("j").alias("bj"), every.alias("bi"))
         keys = [*keys, "bi", "bj"]
-    shared = a.join(b, keys).where("i < j")
+    return a.join(b, keys).where("i < j").select("i", "j", *element, "ca", "cb")
+
+
+def intersections(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", mode: str = SET, n_genomes: int | None = None, block: int | None = None) -> DataFrame:
+    """(i, j, inter) for i < j of the genomes that share a core: SET counts cores, VECTOR sums least counts; sums are partial before the
+    shuffle by pair (see ``shared``)."""
     both = F.least("ca", "cb") if checked_mode(mode) == VECTOR else F.lit(1)
-    return shared.groupBy("i", "j").agg(F.sum(both).cast("long").alias("inter"))
+    return shared(sig, element, genome, "cnt", n_genomes, block).groupBy("i", "j").agg(F.sum(both).cast("long").alias("inter"))
 
 
-def all_pairs(per: DataFrame, n: int) -> DataFrame:
+def all_pairs(per: DataFrame, n: int, block: int | None = None) -> DataFrame:
     """(i, na, ta, j, nb, tb) for every i < j of ``per(genome, n, total_len)``, an equi-join of blocks of genomes, so that a
     matrix of any size is dealt over tasks."""
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // (block or BLOCK)))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a, b = per.toDF("i", "na", "ta"), per.toDF("j", "nb", "tb")
     a = a.select("*", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("bi"), every.alias("bj"))

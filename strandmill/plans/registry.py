@@ -501,7 +501,7 @@ _register(
 )
 _register(
     "sketch_whole",
-    lambda s, d: rounded(sketch.estimates(sketch.sketches(item_signature(s, d, "orders", "o_orderpriority", "o_custkey"), 1 << 30, ("item",)), 1 << 30).select("i", "j", "jaccard")),
+    lambda s, d: rounded(sketch.estimates(sketch.least(item_signature(s, d, "orders", "o_orderpriority", "o_custkey"), 1 << 30, ("item",)), 1 << 30).select("i", "j", "jaccard")),
     f"with sig as (select o_orderpriority as g, o_custkey as item, count(*) as cnt from orders group by all), {sql_distances(SET, 'item', None)} select i, j, round(jaccard, {DIGITS}) as jaccard from dist",
 )
 

@@ -138,3 +138,18 @@ def test_a_matrix_in_many_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {(r["i"], r["j"]): r["d"] for r in got} == pytest.approx({(i, j): cell(i, j) for i in range(n) for j in range(i + 1)}, abs=1e-14)
     assert all(r["name_i"] == f"g{r['i']}" and r["name_j"] == f"g{r['j']}" for r in got)
+
+
+def test_large_sketches_are_joined_as_rows(spark):
+    """Of two genomes of 60,000 elements the exact numbers, whether or not the union is within k; in arrays each element met each other."""
+    sig = spark.range(60_000).selectExpr("explode(array(named_struct('g', 0, 'item', id), named_struct('g', 1, 'item', id + 20000))) as e").selectExpr("e.g as genome_idx", "e.item as item", "1 as cnt")
+    whole = sketch.estimates(sketch.least(sig, 1 << 30, ("item",)), 1 << 30).first()
+    assert (whole["shared"], whole["drawn"]) == (40_000, 80_000)
+    k = 30_000
+    rows = sketch.least(sig, k, ("item",))
+    assert [r["count"] for r in rows.groupBy("genome_idx").count().collect()] == [k, k]
+    mine = {g: {r["item"] for r in sig.where(f"genome_idx = {g}").collect()} for g in (0, 1)}
+    hashed = {r["item"]: r["h"] for r in sig.select("item", F.xxhash64("item").alias("h")).distinct().collect()}
+    union = sorted(hashed, key=hashed.get)[:k]
+    found = sketch.estimates(rows, k).first()
+    assert (found["shared"], found["drawn"]) == (sum(x in mine[0] and x in mine[1] for x in union), k)
