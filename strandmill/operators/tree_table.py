@@ -80,8 +80,9 @@ def newick_nodes(lines: DataFrame) -> DataFrame:
     # Every end stands among those of its own depth as a parent, and among those of a depth less as a child.
     roles = ended.select("*", F.explode(F.array(F.struct(F.col("depth").alias("among"), F.col("pos").alias("as_parent")), F.struct((F.col("depth") - 1).alias("among"), F.lit(None).cast("int").alias("as_parent")))).alias("role"))
     roles = roles.select("*", "role.*").drop("role")
-    ahead = Window.partitionBy("tree", "among").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    found = roles.withColumn("parent", F.first("as_parent", True).over(ahead)).where("as_parent is null")
+    # Read from the end, so that the frame grows: one that shrinks is gone through again for every row.
+    ahead = Window.partitionBy("tree", "among").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    found = roles.withColumn("parent", F.last("as_parent", True).over(ahead)).where("as_parent is null")
     return found.select("tree", F.col("pos").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "branch_length", bare.alias("name"))
 
 
