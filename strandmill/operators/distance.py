@@ -61,6 +61,28 @@ def intersections(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), g
     return shared(sig, element, genome, "cnt", n_genomes, block).groupBy("i", "j").agg(F.sum(both).cast("long").alias("inter"))
 
 
+def intersections_by_genome(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", mode: str = SET, parts: int | None = None) -> DataFrame:
+    """What ``intersections`` gives, for many genomes, where sums before a shuffle would save little. Pairs are not shuffled one by one: each of a core's genomes gets the list of those after it,
+    and counts them where its lists meet, in ``parts`` partitions by i. Cores that more than BLOCK genomes have are paired in blocks."""
+    vec = checked_mode(mode) == VECTOR
+    known = F.col(genome).isNotNull()
+    for c in element:
+        known = known & F.col(c).isNotNull()
+    known_sig = sig.where(known)
+    hot = stored(known_sig.groupBy(*element).count().where(F.col("count") > BLOCK).select(*element), "hot")
+    held = lambda g, n: F.struct(F.col(g).alias("g"), F.col(n).alias("n")) if vec else F.col(g)
+    few = known_sig if hot.isEmpty() else known_sig.join(hot, list(element), "left_anti")
+    lists = few.repartition(*element).groupBy(*element).agg(F.array_sort(F.collect_list(held(genome, "cnt"))).alias("gs"))
+    met = lists.select("gs", F.posexplode("gs").alias("at", "a")).where(F.col("at") + 1 < F.size("gs")).select("a", F.slice("gs", F.col("at") + 2, F.size("gs")).alias("after"))
+    if not hot.isEmpty():
+        many = shared(known_sig.join(hot, list(element), "left_semi"), element, genome)
+        met = met.unionByName(many.select(held("i", "ca").alias("a"), F.array(held("j", "cb")).alias("after")))
+    met = met.withColumn("i", F.col("a")["g"] if vec else F.col("a"))
+    met = (met.repartition(parts, "i") if parts else met.repartition("i")).select("i", "a", F.explode("after").alias("b"))
+    both = F.least(F.col("a")["n"], F.col("b")["n"]) if vec else F.lit(1)
+    return met.select("i", (F.col("b")["g"] if vec else F.col("b")).alias("j"), both.alias("both")).groupBy("i", "j").agg(F.sum("both").cast("long").alias("inter"))
+
+
 def all_pairs(per: DataFrame, n: int, block: int | None = None) -> DataFrame:
     """(i, na, ta, j, nb, tb) for every i < j of ``per(genome, n, total_len)``, an equi-join of blocks of genomes, so that a
     matrix of any size is dealt over tasks."""
@@ -72,6 +94,18 @@ def all_pairs(per: DataFrame, n: int, block: int | None = None) -> DataFrame:
     return a.join(b, ["bi", "bj"]).where("i < j").drop("bi", "bj")
 
 
+def _measured(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.withColumn("uni", F.col("na") + F.col("nb") - F.col("inter"))
+    jaccard = jaccard_similarity(F.col("inter"), F.col("uni"))
+    mean = F.try_divide((F.col("ta") + F.col("tb")).cast("double"), (F.col("na") + F.col("nb")).cast("double"))
+    return pairs.select(
+        "i", "j", "inter", "uni",
+        (1.0 - dice_similarity(F.col("inter"), F.col("na"), F.col("nb"))).alias("dice"),
+        (1.0 - jaccard).alias("jaccard"),
+        jukes_cantor(hamming_estimate(jaccard, mean)).alias("jc"),
+    )
+
+
 def distances(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", mode: str = SET, length: str | None = "len", genomes: DataFrame | None = None) -> DataFrame:
     """(i, j, inter, uni, dice, jaccard, jc) for every i < j, also of genomes that share nothing.
 
@@ -84,15 +118,7 @@ def distances(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genom
         per = genomes.select(genome).distinct().join(per, genome, "left").na.fill({"n": 0, "total_len": 0})
     n = per.count()
     pairs = all_pairs(per, n).join(intersections(sig, element, genome, mode, n), ["i", "j"], "left").na.fill({"inter": 0})
-    pairs = pairs.withColumn("uni", F.col("na") + F.col("nb") - F.col("inter"))
-    jaccard = jaccard_similarity(F.col("inter"), F.col("uni"))
-    mean = F.try_divide((F.col("ta") + F.col("tb")).cast("double"), (F.col("na") + F.col("nb")).cast("double"))
-    return pairs.select(
-        "i", "j", "inter", "uni",
-        (1.0 - dice_similarity(F.col("inter"), F.col("na"), F.col("nb"))).alias("dice"),
-        (1.0 - jaccard).alias("jaccard"),
-        jukes_cantor(hamming_estimate(jaccard, mean)).alias("jc"),
-    )
+    return _measured(pairs)
 
 
 def square(dist: DataFrame, genomes: DataFrame, genome: str = "genome_idx") -> DataFrame:
@@ -108,3 +134,23 @@ def nearest(dist: DataFrame, k: int = 1, by: str = "jaccard") -> DataFrame:
     both = dist.select("i", "j", by).union(dist.select("j", "i", by)).where(F.col(by).isNotNull())
     order = Window.partitionBy("i").orderBy(by, "j")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "rank", "j", F.col(by).alias("distance"))
+
+
+def nearest_of(sig: DataFrame, k: int = 1, element: tuple[str, ...] = ("label", "len"), genome: str = "genome_idx", by: str = "jaccard") -> DataFrame:
+    """``nearest`` of ``distances(sig)`` by ``dice`` or ``jaccard``, from the pairs that share a core alone: of those that share nothing, at distance 1 all, the
+    smallest genomes fill up what is missing. ``sig`` has a row for each genome and core and should be stored or persisted."""
+    if by not in ("dice", "jaccard"):
+        raise ValueError("other distances may be null for pairs that share a core")
+    per = stored(sizes(sig, SET, genome, None), "sizes")
+    n = per.count()
+    inter = intersections(sig, element, genome, SET, n) if n <= BLOCK else intersections_by_genome(sig, element, genome)
+    met = _measured(inter.join(per.toDF("i", "na", "ta"), "i").join(per.toDF("j", "nb", "tb"), "j"))
+    way = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(by).alias("d"))
+    order = Window.partitionBy("i").orderBy("d", "j")
+    first = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = stored(first(met.select(F.explode(F.array(way("i", "j"), way("j", "i"))).alias("w")).select("w.*")).drop("rank"), "near")
+    # A genome that misses some has fewer than k partners, all in ``near``: with itself no more than k of the 2k smallest are not to be had.
+    short = per.select(F.col(genome).alias("i")).join(near.groupBy("i").count(), "i", "left").where(F.coalesce("count", F.lit(0)) < k).select("i")
+    small = per.select(F.col(genome).alias("j")).where("j is not null").orderBy("j").limit(2 * k)
+    fill = short.crossJoin(F.broadcast(small)).where("i <> j").join(near.select("i", "j"), ["i", "j"], "left_anti").withColumn("d", F.lit(1.0))
+    return first(near.unionByName(fill)).select("i", "rank", "j", F.col("d").alias("distance"))

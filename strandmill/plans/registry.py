@@ -271,7 +271,7 @@ _register(
 )
 _register(
     "nearest",
-    lambda s, d: rounded(distance.nearest(distance.distances(item_signature(s, d, "lineitem", "l_suppkey", "l_partkey"), ("item",), length=None), 3)),
+    lambda s, d: rounded(distance.nearest_of(item_signature(s, d, "lineitem", "l_suppkey", "l_partkey"), 3, ("item",))),
     f"""with sig as (select l_suppkey as g, l_partkey as item, count(*) as cnt from lineitem group by all), {sql_distances(SET, 'item', None)},
     two as (select i, j, jaccard from dist union all select j, i, jaccard from dist), r as (select *, row_number() over (partition by i order by jaccard, j)::int as rank from two)
     select i, rank, j, round(jaccard, {DIGITS}) as distance from r where rank <= 3""",

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -73,3 +74,20 @@ def test_many_genomes_are_paired_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(distance, "BLOCK", 7)
     for mode, rows in want.items():
         assert sorted(map(tuple, distance.distances(sig, ("item",), mode=mode, length=None).collect())) == rows
+
+
+def some_items(spark):
+    """Thirty genomes over items of which one is everywhere, and two genomes with items of their own."""
+    rng = random.Random(8)
+    rows = {(g, x) for g in range(30) for x in [1000, *(rng.randrange(60) for _ in range(8 if g else 1))]} | {(40, 2000), (41, 3000)}
+    return spark.createDataFrame([(g, x, rng.randrange(1, 5)) for g, x in sorted(rows)] + [(0, None, 1), (1, None, 1)], "genome_idx int, item int, cnt int")
+
+
+@pytest.mark.parametrize("k, by", [(1, "jaccard"), (3, "dice"), (31, "jaccard")])
+def test_nearest_needs_only_pairs_that_share(spark, monkeypatch, k, by):
+    sig = some_items(spark)
+    want = sorted(map(tuple, distance.nearest(distance.distances(sig, ("item",), length=None), k, by).collect()))
+    assert sorted(map(tuple, distance.nearest_of(sig, k, ("item",), by=by).collect())) == want
+    monkeypatch.setattr(distance, "BLOCK", 7)
+    monkeypatch.setattr(distance, "all_pairs", None)  # the matrix is not made
+    assert sorted(map(tuple, distance.nearest_of(sig, k, ("item",), by=by).collect())) == want
