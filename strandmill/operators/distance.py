@@ -94,6 +94,24 @@ def all_pairs(per: DataFrame, n: int, block: int | None = None) -> DataFrame:
     return a.join(b, ["bi", "bj"]).where("i < j").drop("bi", "bj")
 
 
+#: Pairs of a partition, about, and genomes up to which all are told to every task, where a matrix is made row by row.
+PAIRS, FEW = 1 << 19, 200_000
+
+
+def _pairs(sig: DataFrame, per: DataFrame, element: tuple[str, ...], genome: str, mode: str) -> DataFrame:
+    """all_pairs with ``inter``. Of more than BLOCK genomes, rows of the matrix lie where their intersections are counted, so pairs are neither shuffled nor sorted."""
+    n = per.count()
+    if n <= BLOCK or n > FEW:
+        return all_pairs(per, n).join(intersections(sig, element, genome, mode, n), ["i", "j"], "left").na.fill({"inter": 0})
+    parts = max(int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * n // (2 * PAIRS)))
+    per = stored(per, "sizes")
+    pairs = per.toDF("i", "na", "ta").repartition(parts, "i").join(F.broadcast(per.toDF("j", "nb", "tb")), F.expr("i < j")).select("i", "j", "na", "ta", "nb", "tb", F.lit(0).cast("long").alias("inter"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("na", "ta", "nb", "tb")]
+    met = intersections_by_genome(sig, element, genome, mode, parts).select("i", "j", *none, "inter")
+    # Both lie by i alike, so the sum finds a pair's rows in one task.
+    return pairs.unionByName(met).groupBy("i", "j").agg(*[F.max(c).alias(c) for c in ("na", "ta", "nb", "tb")], F.sum("inter").alias("inter"))
+
+
 def _measured(pairs: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("uni", F.col("na") + F.col("nb") - F.col("inter"))
     jaccard = jaccard_similarity(F.col("inter"), F.col("uni"))
@@ -116,9 +134,7 @@ def distances(sig: DataFrame, element: tuple[str, ...] = ("label", "len"), genom
     per = sizes(sig, mode, genome, length)
     if genomes is not None:
         per = genomes.select(genome).distinct().join(per, genome, "left").na.fill({"n": 0, "total_len": 0})
-    n = per.count()
-    pairs = all_pairs(per, n).join(intersections(sig, element, genome, mode, n), ["i", "j"], "left").na.fill({"inter": 0})
-    return _measured(pairs)
+    return _measured(_pairs(sig, per, element, genome, mode))
 
 
 def square(dist: DataFrame, genomes: DataFrame, genome: str = "genome_idx") -> DataFrame:

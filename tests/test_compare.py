@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 
@@ -91,3 +92,17 @@ def test_nearest_needs_only_pairs_that_share(spark, monkeypatch, k, by):
     monkeypatch.setattr(distance, "BLOCK", 7)
     monkeypatch.setattr(distance, "all_pairs", None)  # the matrix is not made
     assert sorted(map(tuple, distance.nearest_of(sig, k, ("item",), by=by).collect())) == want
+
+
+@pytest.mark.parametrize("mode", ["set", "vec"])
+def test_rows_of_a_matrix_are_not_shuffled(spark, monkeypatch, mode):
+    """Every exchange of the plan lies under the pairs' union; pairs that left their task filled the disk."""
+    sig = some_items(spark)
+    want = sorted(map(str, distance.distances(sig, ("item",), mode=mode, length=None).collect()))
+    monkeypatch.setattr(distance, "BLOCK", 7)
+    dist = distance.distances(sig, ("item",), mode=mode, length=None)
+    plan = dist._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    names = [re.sub(r"^[\s:+*\-()0-9]*", "", x).split(" ")[0] for x in plan if x.strip()]
+    at = names.index("BroadcastNestedLoopJoin")
+    assert "Union" in names[:at] and not {"Exchange", "Sort"} & set(names[:at])
+    assert sorted(map(str, dist.collect())) == want
