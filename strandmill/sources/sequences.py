@@ -40,9 +40,9 @@ def _bare(path: Column) -> Column:
 
 
 def _with_genome(rows: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Give rows of a file their genome; the manifest is as small as the list of files it was read from."""
+    """Give rows of a file their genome; the manifest is as small as the list of files it was read from, which the driver has, so rows stay where they are."""
     files = manifest.select("genome_idx", _bare(F.col("in_path")).alias("_file"))
-    return rows.withColumn("_file", _bare(F.col("path"))).join(files, "_file")
+    return rows.withColumn("_file", _bare(F.col("path"))).join(F.broadcast(files), "_file")
 
 
 def read_fasta(spark: SparkSession, manifest: DataFrame, on_missing: str = "fail") -> DataFrame:

@@ -149,3 +149,15 @@ def test_missing_files_and_a_run_by_windows(spark, tmp_path):
     (tmp_path / "list").write_text("\n".join(str(tmp_path / f"g{k}.fa") for k in range(1, 6)))
     runs = [compare.from_fasta(spark, compare.Run(str(tmp_path / "list"), level=2, window=w)) for w in (None, 64)]
     assert sorted(map(str, runs[0].distances.collect())) == sorted(map(str, runs[1].distances.collect()))
+
+
+def test_tasks_are_bounded_and_their_ranges_are_the_same(tmp_path):
+    """Short ranges of a long file were a task each, thousands of which the driver held."""
+    data = b"".join(b">r%d\n%s\n" % (k, b"ACGT" * (k % 90)) for k in range(2000))
+    (tmp_path / "long.fa").write_bytes(data)
+    reader = fr._Ranges([str(tmp_path / "long.fa")], 31, False)
+    tasks = reader.partitions()
+    assert len(tasks) <= fr.TASKS < len(data) // 31
+    rows = [r for t in tasks for b in reader.read(t) for r in b.to_pylist()]
+    apart = [fr._Bytes(t.path, t.file, a // 31, a, min(a + 31, t.end)) for t in tasks for a in range(t.start, t.end, 31)]
+    assert rows == [r for t in apart for b in reader.read(t) for r in b.to_pylist()]
