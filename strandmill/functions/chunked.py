@@ -12,14 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .lcp import coded, label_cores, parse_many, reduce_labels, run_cores, with_gaps
+from .lcp import coded, parse_many
 
 #: Bases of a window and of its first halo on either side; how much longer the halo of an open window gets.
 SIZE, HALO, GROWTH = 1 << 20, 4096, 4
+#: Bases of the windows that a task parses together, about.
+TOGETHER = 1 << 20
 
 
 def pieces_of(sequences: DataFrame, size: int = SIZE) -> DataFrame:
@@ -52,50 +55,43 @@ def windows_of(pieces: DataFrame, size: int, halo: int, only: DataFrame | None =
     return whole.select(*keys, "window", F.col("got")[0]["begin"].alias("begins"), F.array_join(F.transform("got", lambda p: p["part"]), "").alias("bases"), "length")
 
 
+def parse_windows(bases: list[str], level: int, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window, start, end, label) of the cores that start in ``low`` to ``high`` of many stretches, coordinates in each, and which stretches do not settle all of theirs, of which
+    there are none. ``left`` and ``right`` tell whether a stretch's ends are the record's own. All stretches are parsed together."""
+    texts = [t.encode("latin-1", "replace") for t in bases]
+    x = coded(b"\n".join(texts))
+    size = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(size + 1) - size - 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], x == 4, [True]]).astype(np.int8))).reshape(-1, 2)
+    a, b = edges[:, 0], edges[:, 1]
+    of = np.searchsorted(begins, a, "right") - 1
+    cut = (a == begins[of]) & ~left[of], (b == begins[of] + size[of]) & ~right[of]
+    good = x != 4
+    start, end, label = parse_many(x[good], np.flatnonzero(good), np.repeat(np.arange(len(a)), b - a), level, cut)
+    # A segment that its stretch cuts has to reach from what the window owns of it to its end.
+    which = np.searchsorted(a, start, "right") - 1
+    first, last = np.searchsorted(which, np.arange(len(a)), "left"), np.searchsorted(which, np.arange(len(a)), "right") - 1
+    none, own_low, own_high = last < first, (begins + low)[of], (begins + high)[of]
+    told = np.concatenate([start, [0]])
+    short = (cut[0] & (none | (told[first] > np.maximum(own_low, a)))) | (cut[1] & (none | (told[last] < np.minimum(own_high, b) - 1)))
+    is_open = np.zeros(len(texts), bool)
+    is_open[of[short & (b > own_low) & (a < own_high)]] = True
+    window = of[which]
+    mine = (start >= (begins + low)[window]) & (start < (begins + high)[window]) & ~is_open[window]
+    window, start, end, label = window[mine], start[mine], end[mine], label[mine]
+    return window, start - begins[window], end - begins[window], label, is_open
+
+
 def parse_open(codes: np.ndarray, level: int, left: bool, right: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, label) of consecutive cores of the segment that ``codes`` is a stretch of, as many as the stretch settles. ``left`` and ``right`` tell
     whether its ends are the segment's own."""
-    labels = codes.astype(np.int64)
-    symbols, start = labels, np.arange(len(codes))
-    end = start + 1
-    for k in range(level):
-        if k:  # the first token has no left neighbour: its symbol is unknown, or it drops as the segment's first
-            symbols = reduce_labels(labels) if len(labels) > 1 else np.zeros(0, np.int64)
-            labels, start, end = labels[1:], start[1:], end[1:]
-        begin, size, runs = run_cores(symbols)
-        # A run's kind depends on two runs on either side, of which the outermost may be longer than they look.
-        runs = runs[(runs >= (0 if left else 2)) & (runs < (len(begin) if right else len(begin) - 2))]
-        first, last = with_gaps(begin[runs] - 1, begin[runs] + size[runs])
-        labels, start, end = label_cores(labels, first, last), start[first], end[last]
-    return start, end, labels
+    return parse_many(codes, np.arange(len(codes)), np.zeros(len(codes), np.int64), level, (np.array([not left]), np.array([not right])))
 
 
 def parse_window(bases: str, level: int, low: int, high: int, left: bool, right: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(start, end, label) of the cores that start in ``low`` to ``high`` of a stretch, coordinates in it; None if it does not settle them all."""
-    x = coded(bases.encode("latin-1", "replace"))
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], x == 4, [True]]).astype(np.int8))).reshape(-1, 2)
-    found = []
-    # Segments that end inside the stretch are parsed together; those that its ends may cut, apart.
-    cut = {k for k, (a, b) in enumerate(edges.tolist()) if (a == 0 and not left) or (b == len(x) and not right)}
-    inner = [k for k in range(len(edges)) if k not in cut]
-    if inner:
-        place = np.concatenate([np.arange(a, b) for a, b in edges[inner]])
-        found.append(parse_many(x[place], place, np.repeat(np.arange(len(inner)), np.diff(edges[inner], axis=1).ravel()), level))
-    for k in sorted(cut):
-        a, b = edges[k].tolist()
-        if b <= low or a >= high:
-            continue
-        own_left, own_right = a > 0 or left, b < len(x) or right
-        start, end, label = parse_open(x[a:b], level, own_left, own_right)
-        start, end = start + a, end + a
-        if not own_left and (not len(start) or start[0] > max(low, a)) or not own_right and (not len(start) or start[-1] < min(high, b) - 1):
-            return None
-        found.append((start, end, label))
-    start, end, label = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    mine = (start >= low) & (start < high)
-    start, end, label = start[mine], end[mine], label[mine]
-    order = np.argsort(start, kind="stable")
-    return start[order], end[order], label[order]
+    """parse_windows of one stretch; None if it does not settle all cores that start in ``low`` to ``high``."""
+    _, start, end, label, is_open = parse_windows([bases], level, *(np.array([v]) for v in (low, high, left, right)))
+    return None if is_open[0] else (start, end, label)
 
 
 def cores_of_pieces(pieces: DataFrame, level: int = 1, size: int = SIZE, halo: int = HALO) -> DataFrame:
@@ -111,15 +107,22 @@ def cores_of_pieces(pieces: DataFrame, level: int = 1, size: int = SIZE, halo: i
 
     def run(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            windows, begins, bases, lengths = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("window", "begins", "bases", "length"))
-            for k, (window, begin, text, length) in enumerate(zip(windows, begins, bases, lengths)):
-                low, high = window * size - begin, min((window + 1) * size, length) - begin
-                got = parse_window(text, level, low, high, begin == 0, begin + len(text) == length)
-                n = 1 if got is None else len(got[0])
-                start, end, label = ([None],) * 3 if got is None else (got[0] + begin, got[1] + begin, got[2])
-                long = [pa.array(v, pa.int64()) for v in (start, end, label)]
-                lens = pa.array([None] if got is None else end - start, pa.int32(), from_pandas=True) if got is None else pa.array((end - start).astype(np.int32))
-                own = [b.column(b.schema.get_field_index(c)).take(pa.array([k] * n, pa.int64())) for c in (*keys, "window")]
+            window, begin, length = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("window", "begins", "length"))
+            bases = b.column(b.schema.get_field_index("bases"))
+            held = pc.binary_length(bases).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(held) // TOGETHER)) + 1).tolist(), b.num_rows]
+            for p, q in zip(cuts[:-1], cuts[1:]):
+                if p == q:
+                    continue
+                at, texts = begin[p:q], bases.slice(p, q - p).to_pylist()
+                low, high = window[p:q] * size - at, np.minimum((window[p:q] + 1) * size, length[p:q]) - at
+                k, start, end, label, is_open = parse_windows(texts, level, low, high, at == 0, at + [len(t) for t in texts] == length[p:q])
+                todo = np.flatnonzero(is_open)  # a row without a core for each
+                core = np.arange(len(k) + len(todo)) >= len(k)
+                rows = np.concatenate([k, todo])
+                long = [pa.array(np.concatenate([v, np.zeros(len(todo), np.int64)]), pa.int64(), mask=core) for v in (start + at[k], end + at[k], label)]
+                lens = pa.array(np.concatenate([end - start, np.zeros(len(todo), np.int64)]).astype(np.int32), mask=core)
+                own = [b.column(b.schema.get_field_index(c)).take(pa.array(rows + p)) for c in (*keys, "window")]
                 yield pa.RecordBatch.from_arrays([*own, *long, lens], [*keys, "window", "start", "end", "label", "len"])
 
     kinds = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in keys)

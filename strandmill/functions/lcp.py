@@ -104,8 +104,16 @@ def label_cores(tokens: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
     return labels_of(content[one])[which]
 
 
-def parse_many(codes: np.ndarray, place: np.ndarray, segment: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, label) of the level's cores of many short segments at once; ``place`` has each symbol's coordinate."""
+def settled_runs(runs: np.ndarray, of: np.ndarray, open_left: np.ndarray, open_right: np.ndarray) -> np.ndarray:
+    """Those of ``runs`` that a cut before or after their segment can't have changed; ``of`` is every run's segment. A run's kind depends on two runs on either side, of
+    which the outermost may be longer than they look."""
+    first, last = np.searchsorted(of, of[runs], "left"), np.searchsorted(of, of[runs], "right")
+    return runs[~(open_left[of[runs]] & (runs - first < 2)) & ~(open_right[of[runs]] & (last - runs <= 2))]
+
+
+def parse_many(codes: np.ndarray, place: np.ndarray, segment: np.ndarray, level: int, cut: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, label) of the level's cores of many short segments at once; ``place`` has each symbol's coordinate. ``cut`` tells of each segment by its number whether it went on before
+    its first and after its last symbol; of such ones come the consecutive cores that are settled."""
     symbols, labels, start, end = codes, codes.astype(np.int64), place, place + 1
     for k in range(level):
         if k:
@@ -113,6 +121,8 @@ def parse_many(codes: np.ndarray, place: np.ndarray, segment: np.ndarray, level:
             symbols = reduce_labels(labels)[joined] if len(labels) else labels
             labels, start, end, segment = (v[1:][joined] for v in (labels, start, end, segment))
         begin, size, runs = run_cores(symbols, segment)
+        if cut is not None and len(runs):
+            runs = settled_runs(runs, segment[begin], *cut)
         first, last = with_gaps(begin[runs] - 1, begin[runs] + size[runs], segment)
         labels, start, end, segment = label_cores(labels, first, last), start[first], end[last], segment[first]
     return start, end, labels

@@ -161,3 +161,19 @@ def test_tasks_are_bounded_and_their_ranges_are_the_same(tmp_path):
     rows = [r for t in tasks for b in reader.read(t) for r in b.to_pylist()]
     apart = [fr._Bytes(t.path, t.file, a // 31, a, min(a + 31, t.end)) for t in tasks for a in range(t.start, t.end, 31)]
     assert rows == [r for t in apart for b in reader.read(t) for r in b.to_pylist()]
+
+
+def test_windows_are_parsed_together(monkeypatch):
+    rng = random.Random(12)
+    seq = "".join(rng.choice("ACGT" if k // 50 % 7 else "AN") for k in range(4000))
+    spans = [(max(0, low - 40), low, min(low + 100, 4000), min(4000, low + 140)) for low in range(0, 4000, 100)]
+    calls, plain = [], chunked.parse_many
+    monkeypatch.setattr(chunked, "parse_many", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    at = np.array([a for a, *_ in spans])
+    low, high = np.array([x[1] for x in spans]) - at, np.array([x[2] for x in spans]) - at
+    window, start, end, label, is_open = chunked.parse_windows([seq[a:b] for a, _, _, b in spans], 3, low, high, at == 0, np.array([b == 4000 for *_, b in spans]))
+    assert len(calls) == 1
+    for k, (a, lo, hi, b) in enumerate(spans):
+        one = chunked.parse_window(seq[a:b], 3, lo - a, hi - a, a == 0, b == 4000)
+        mine = window == k
+        assert (one is None) == is_open[k] and (one is None or all(np.array_equal(x, y[mine]) for x, y in zip(one, (start, end, label))))
