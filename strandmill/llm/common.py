@@ -78,9 +78,8 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
     rows, size = small.agg(F.count("*"), F.coalesce(F.sum(wide), F.lit(0))).first()
     if rows <= min(BROADCAST_ROWS, BROADCAST_ROWS if most is None else most) and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), key, how)
-    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    if most is not None:
-        dealt = dealt.hint("merge")  # its files may look small enough for a broadcast, of every copy
+    # Its files may look small enough for a broadcast, of every copy.
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
     mix = F.xxhash64(*[c for c in big.columns if c != key], F.lit(0))
     salted = big.withColumn("__salt", F.when(F.col(key).isNull(), F.pmod(mix, F.lit(1 << 30)).cast("int")).otherwise(F.pmod(mix, F.lit(salt)).cast("int")))
     return salted.join(dealt, [key, "__salt"], how).drop("__salt")

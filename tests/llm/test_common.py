@@ -34,3 +34,11 @@ def test_folds(spark):
 
 def test_only_ascii_letters_are_lowered(spark):
     assert spark.range(1).select(common.ascii_lower(F.lit("AZÄİz"))).first()[0] == "azÄİz"
+
+
+def test_copies_of_a_large_table_are_not_broadcast(spark, monkeypatch):
+    """Beyond the limits every salt has a copy, which the files' size, that Spark goes by, does not tell."""
+    big = spark.createDataFrame([(k % 7, f"t{k}") for k in range(60)], "key int, text string")
+    small = common.spool(spark.createDataFrame([(k, k * 2) for k in range(5)], "key int, value int"), "small")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert "Broadcast" not in common.lookup_join(big, small, "key")._jdf.queryExecution().executedPlan().toString()
